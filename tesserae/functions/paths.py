@@ -11,7 +11,39 @@ STAND_INS = ("", "-", "--", "n/a", "na", "nan", "nil", "none", "null", "unknown"
 #: Pattern of the directories that names below the project root begin with.
 TOP_DIRS = r"(?:data|outputs)(?:_[A-Za-z0-9]+)?"
 
-_EDGE_SPACE = r"^[\s ﻿​]+|[\s ﻿​]+$"
+_EDGE_SPACE = r"^[\s\u00A0\uFEFF\u200B]+|[\s\u00A0\uFEFF\u200B]+$"
+
+# One SQL text instead of some sixty Column calls: building it costs one call,
+# and transform(array(x), v -> ...)[0] names a value that is computed once.
+_FILE_KEY = r"""
+transform(array(regexp_replace({value}, r'{edge}', '')), t -> CASE WHEN lower(t) NOT IN ({stand_ins}) THEN
+  nullif(regexp_replace(transform(array(
+    regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(
+      CASE WHEN contains(t, '%') THEN coalesce(try_url_decode(replace(t, '+', '%2B')), t) ELSE t END,
+      r'^(?i:file:)(//[^/\\]*)?', ''), r'\', '/'),
+      r'^/?[A-Za-z]:/', '/'), r'/+(?:\./+)*(?:\.$)?', '/'), r'^(?:\./)+', '')
+  ), p -> transform(array(
+    CASE WHEN p RLIKE r'(?:^|/)\.\.(?:/|$)' THEN concat('/', array_join(aggregate(split(p, '/'), cast(array() AS array<string>),
+      (acc, x) -> CASE WHEN x IN ('', '.') THEN acc WHEN x = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0)) ELSE concat(acc, array(x)) END), '/'))
+    ELSE p END
+  ), q -> CASE WHEN t RLIKE r'^(?i:file:|[a-z]:[\\/])|^[\\/]' THEN regexp_replace(q, r'^/.*?(?<=/)(?={top_dirs}/)', '') ELSE q END)[0])[0],
+  r'^/+', ''), '')
+END)[0]
+"""
+
+
+def file_key(value: str, top_dirs: str = TOP_DIRS) -> Column:
+    """The place below the project root a written file name leads to, else null.
+
+    ``value`` is a column name or SQL expression. Understands ``file:`` URLs,
+    percent escapes, back-slashes, drive letters, absolute names under any
+    project root, ``.``, ``..`` and doubled slashes. Letter case and extension
+    are kept. Null, blank and stand-ins give null. An absolute name is cut
+    before its first directory matching ``top_dirs``; one without such a
+    directory is kept from its first segment. ``..`` above the root is dropped.
+    """
+    named = ", ".join(f"'{x}'" for x in STAND_INS)
+    return F.expr(_FILE_KEY.format(value=value, edge=_EDGE_SPACE, stand_ins=named, top_dirs=top_dirs))
 
 
 def trimmed(value: Column) -> Column:
@@ -19,43 +51,6 @@ def trimmed(value: Column) -> Column:
     return F.regexp_replace(value, _EDGE_SPACE, "")
 
 
-def file_key(value: Column, top_dirs: str = TOP_DIRS) -> Column:
-    """The place below the project root a written file name leads to, else null.
-
-    Understands ``file:`` URLs, percent escapes, back-slashes, drive letters,
-    absolute names under any project root, ``.``, ``..`` and doubled slashes.
-    Letter case and extension are kept. Null, blank and stand-ins give null.
-    An absolute name is cut before its first directory matching ``top_dirs``;
-    one without such a directory is kept from its first segment. ``..`` above
-    the root is dropped.
-    """
-    t = trimmed(value)
-    t = F.when(~F.lower(t).isin(*STAND_INS), t)
-    escaped = F.try_url_decode(F.replace(t, F.lit("+"), F.lit("%2B")))
-    t = F.when(t.contains("%"), F.coalesce(escaped, t)).otherwise(t)
-    absolute = t.rlike(r"^(?i:file:|[a-z]:[\\/])|^[\\/]")
-    t = F.regexp_replace(t, r"(?i)^file:(//[^/\\]*)?", "")
-    t = F.translate(t, "\\", "/")
-    t = F.when(absolute, F.regexp_replace(t, r"^/?[A-Za-z]:/", "/")).otherwise(t)
-    t = F.regexp_replace(t, r"/+(?:\./+)*(?:\.$)?", "/")
-    t = F.regexp_replace(t, r"^(?:\./)+", "")
-    climbed = F.array_join(
-        F.aggregate(
-            F.split(t, "/"),
-            F.array().cast("array<string>"),
-            lambda acc, x: F.when(x.isin("", "."), acc)
-            .when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-            .otherwise(F.concat(acc, F.array(x))),
-        ),
-        "/",
-    )
-    climbs = t.rlike(r"(?:^|/)\.\.(?:/|$)")
-    t = F.when(climbs, F.concat(F.when(absolute, "/").otherwise(""), climbed)).otherwise(t)
-    rooted = F.regexp_extract(t, rf"^.*?/({top_dirs}/.*)$", 1)
-    t = F.when(absolute & (rooted != ""), rooted).otherwise(F.regexp_replace(t, r"^/+", ""))
-    return F.nullif(t, F.lit(""))
-
-
 def file_name(value: Column) -> Column:
     """Last segment of a path in either slash notation."""
     return F.regexp_extract(value, r"([^/\\]*)$", 1)
