@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.operators.flatten import AUTO_MASK_CHILDREN, candidate_table, linked_rows, shred
 from tesserae.operators.orphans import TABLES, cascade_orphans, orphan_report
 from tesserae.session import table
 
@@ -24,7 +25,22 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(_orphans(spark, sf_dir))
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report}
+def _shredded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["settings", "mask_variant_paths", "mask_variant_overlay_paths"]
+    return shred(table(spark, sf_dir, "auto_mask_records"), "auto_mask_id", fields, AUTO_MASK_CHILDREN)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every flat child row with its parent's and its own key."""
+    return linked_rows(_shredded(spark, sf_dir)).withColumnRenamed("id", "auto_mask_id")
+
+
+def p3_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat candidate table with its values."""
+    return candidate_table(_shredded(spark, sf_dir)).withColumnRenamed("id", "auto_mask_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_candidates": p3_candidates}
 
 _NAMED = r"""
 named AS (
@@ -55,4 +71,33 @@ direct AS (
 
 SQL = {
     "p2_found": f"WITH {_NAMED} SELECT table_name, field_name, record_id FROM direct",
+    "p3_found": """
+WITH r AS (
+  SELECT auto_mask_id, arg_min(settings, ingested_at) AS s, arg_min(mask_variant_paths, ingested_at) AS v, arg_min(mask_variant_overlay_paths, ingested_at) AS o
+  FROM auto_mask_records GROUP BY auto_mask_id),
+mode AS (
+  SELECT DISTINCT auto_mask_id, unnest(list_concat(list_concat(coalesce(map_keys(s.candidate_scores), []), coalesce(map_keys(s.candidate_qc), [])),
+    list_concat(coalesce(map_keys(s.candidate_refined_paths), []), coalesce(map_keys(s.candidate_heatmap_paths), [])))) AS m FROM r),
+qc AS (SELECT auto_mask_id, unnest(map_entries(s.candidate_qc)) AS e FROM r),
+reason AS (SELECT auto_mask_id, e.key AS k, unnest(e.value.reasons) AS x, generate_subscripts(e.value.reasons, 1) - 1 AS i FROM qc),
+pred AS (SELECT auto_mask_id, unnest(s.candidate_predictions) AS x, generate_subscripts(s.candidate_predictions, 1) - 1 AS i FROM r),
+comp AS (SELECT auto_mask_id, i, unnest(x.components) AS c, generate_subscripts(x.components, 1) - 1 AS j FROM pred),
+box AS (SELECT auto_mask_id, unnest(s.qwen_sub_boxes_xyxy) AS x, generate_subscripts(s.qwen_sub_boxes_xyxy, 1) - 1 AS i FROM r),
+variant AS (SELECT DISTINCT auto_mask_id, unnest(list_concat(coalesce(map_keys(v), []), coalesce(map_keys(o), []))) AS k FROM r)
+SELECT auto_mask_id, 'candidate' AS child_table, '' AS parent_key, m AS child_key FROM mode
+UNION ALL SELECT auto_mask_id, 'reason', k, i::VARCHAR FROM reason WHERE x IS NOT NULL
+UNION ALL SELECT auto_mask_id, 'prediction', '', i::VARCHAR FROM pred WHERE x IS NOT NULL
+UNION ALL SELECT auto_mask_id, 'component', i::VARCHAR, j::VARCHAR FROM comp WHERE c IS NOT NULL
+UNION ALL SELECT auto_mask_id, 'sub_box', '', i::VARCHAR FROM box WHERE x IS NOT NULL
+UNION ALL SELECT auto_mask_id, 'variant', '', k FROM variant
+""",
+    "p3_candidates": """
+WITH r AS (SELECT auto_mask_id, arg_min(settings, ingested_at) AS s FROM auto_mask_records GROUP BY auto_mask_id),
+mode AS (
+  SELECT DISTINCT auto_mask_id, s, unnest(list_concat(list_concat(coalesce(map_keys(s.candidate_scores), []), coalesce(map_keys(s.candidate_qc), [])),
+    list_concat(coalesce(map_keys(s.candidate_refined_paths), []), coalesce(map_keys(s.candidate_heatmap_paths), [])))) AS m FROM r)
+SELECT auto_mask_id, m AS mode, s.candidate_scores[m] AS score, s.candidate_qc[m].mask_area AS mask_area,
+  s.candidate_qc[m].mask_to_qwen_box_fraction AS box_fraction, s.candidate_qc[m].component_count AS component_count,
+  s.candidate_refined_paths[m] AS refined_path, s.candidate_heatmap_paths[m] AS heatmap_path FROM mode
+""",
 }
