@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators.flatten import AUTO_MASK_CHILDREN, candidate_table, linked_rows, shred
 from tesserae.operators.orphans import TABLES, cascade_orphans, orphan_report
+from tesserae.operators.rescue import ingest, schema_changes
 from tesserae.session import table
 
 
@@ -40,7 +41,43 @@ def p3_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidate_table(_shredded(spark, sf_dir)).withColumnRenamed("id", "auto_mask_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_candidates": p3_candidates}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed from each file to the next."""
+    return schema_changes(table(spark, sf_dir, "raw_record_lines"))
+
+
+#: Names approved as further spellings of target fields, as seen in p6_found.
+APPROVED = {
+    "auto_mask": {
+        "evalMaskPath": "eval_mask_path", "eval_mask_file": "eval_mask_path", "evaluation_mask_path": "eval_mask_path", "mask_eval": "eval_mask_path",
+        "uncertaintyMaskPath": "uncertainty_mask_path", "uncertainty_map_path": "uncertainty_mask_path", "unc_mask": "uncertainty_mask_path",
+        "mask_uncertainty_uri": "uncertainty_mask_path", "conf": "confidence", "qwen_confidence": "confidence",
+        "region": "region_xyxy", "bbox_xyxy": "region_xyxy", "settings.runId": "settings.auto_mask_run_id", "settings.run_id": "settings.auto_mask_run_id",
+    },
+    "generation": {
+        "elapsed_sec": "latency_sec", "latency": "latency_sec", "settings.guidance": "settings.guidance_scale", "settings.cfg_scale": "settings.guidance_scale",
+        "settings.guidanceScale": "settings.guidance_scale", "settings.steps": "settings.num_inference_steps", "settings.numSteps": "settings.num_inference_steps",
+        "settings.neg_prompt": "settings.negative_prompt", "settings.promptNegative": "settings.negative_prompt", "settings.placement": "settings.placement_mode",
+        "settings.placementMode": "settings.placement_mode", "settings.bbox": "settings.target_bbox_xyxy", "settings.target_region": "settings.target_bbox_xyxy",
+        "settings.inpaint_mask": "settings.inpaint_mask_path", "settings.inpaintMaskPath": "settings.inpaint_mask_path",
+    },
+}
+
+
+def p6_auto_mask_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readable auto-mask lines in one typed table."""
+    return ingest(table(spark, sf_dir, "raw_record_lines"), "auto_mask", APPROVED["auto_mask"])
+
+
+def p6_generation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readable generation lines in one typed table."""
+    return ingest(table(spark, sf_dir, "raw_record_lines"), "generation", APPROVED["generation"])
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_candidates": p3_candidates,
+    "p6_found": p6_found, "p6_auto_mask_table": p6_auto_mask_table, "p6_generation_table": p6_generation_table,
+}
 
 _NAMED = r"""
 named AS (
