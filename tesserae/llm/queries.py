@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.paths import file_key
 from tesserae.llm.components import components, split_together
+from tesserae.llm.overlap import capture_overlaps
 from tesserae.llm.topn import top_n
 from tesserae.session import table
 
@@ -35,7 +36,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("category", "defect_type", "rank_no", "phase4_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p5_found": p5_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of samples of one capture, one in training and one in evaluation."""
+    return capture_overlaps(table(spark, sf_dir, "anomaly_samples")).select("sample_id_a", "sample_id_b")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per evaluation split and pair of sources."""
+    pairs = capture_overlaps(table(spark, sf_dir, "anomaly_samples"))
+    return pairs.groupBy("split_e", "source_e", "source_t").agg(
+        F.count("*").alias("n_pairs"), F.count_if("same_path").alias("n_same_path")
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found}
 
 _GROUPS = r"""
 WITH RECURSIVE raw AS (
