@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.paths import file_key
 from tesserae.llm.components import components, split_together
+from tesserae.llm.offensive import fit_offensive, score_documents, source_rates
 from tesserae.llm.overlap import capture_overlaps
 from tesserae.llm.topn import top_n
 from tesserae.session import table
@@ -49,7 +50,29 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found}
+def _scored(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit_offensive(documents, table(spark, sf_dir, "review_labels"))
+    return score_documents(documents, model, *keep)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content."""
+    return _scored(spark, sf_dir).filter("offensive").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every document."""
+    return _scored(spark, sf_dir).select("doc_id", "score", "offensive")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates per source."""
+    return source_rates(_scored(spark, sf_dir, "source"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found,
+           "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 _GROUPS = r"""
 WITH RECURSIVE raw AS (
