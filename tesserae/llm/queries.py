@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.paths import file_key
 from tesserae.llm.components import components, split_together
+from tesserae.llm.mixing import mix_report, mix_sources
 from tesserae.llm.offensive import fit_offensive, score_documents, source_rates
 from tesserae.llm.overlap import capture_overlaps
+from tesserae.llm.packing import pack_items, packing_report, split_large
+from tesserae.llm.tokens import with_token_counts
 from tesserae.llm.topn import top_n
-from tesserae.session import table
+from tesserae.session import cut, table
 
 SHARED_FILES = ("source_image_path", "source_mask_path", "background_path")
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -50,6 +53,37 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = with_token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return pack_items(split_large(sizes.withColumnRenamed("doc_id", "id"))).withColumnRenamed("id", "doc_id")
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A container for every text or piece of one."""
+    return _packed(spark, sf_dir)
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing_report(_packed(spark, sf_dir))
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = with_token_counts(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"])
+    return cut(sizes.withColumnRenamed("doc_id", "id"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents and how often each is used."""
+    return mix_sources(_sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual against target share per source."""
+    sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "mix_targets")
+    return mix_report(mix_sources(sizes, targets), sizes, targets)
+
+
 def _scored(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = fit_offensive(documents, table(spark, sf_dir, "review_labels"))
@@ -72,6 +106,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found,
+           "p7_packing": p7_packing, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report,
            "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 _GROUPS = r"""
