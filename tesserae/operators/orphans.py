@@ -48,7 +48,7 @@ TABLES = (
 KEYS = ["table_name", "field_name", "record_id"]
 
 
-def _links(df: DataFrame, table: RecordTable, fields: tuple[str, ...], *extra: Column) -> DataFrame:
+def links(df: DataFrame, table: RecordTable, fields: tuple[str, ...], *extra: Column) -> DataFrame:
     """One row per field that names a file: (table, field, id, key, at)."""
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), file_key(f).alias("key")) for f in fields])
     return (
@@ -64,7 +64,7 @@ def _links(df: DataFrame, table: RecordTable, fields: tuple[str, ...], *extra: C
 def direct_orphans(tables: dict[str, DataFrame], inventory: DataFrame, graph: tuple[RecordTable, ...] = TABLES) -> DataFrame:
     """(table_name, field_name, record_id, at, key, produced) of every reference to a file not there at ``at``."""
     refs = [
-        _links(tables[t.name], t, t.references, F.array(*[tables[t.name][p] for p in t.produces]).cast("array<string>").alias("written"))
+        links(tables[t.name], t, t.references, F.array(*[tables[t.name][p] for p in t.produces]).cast("array<string>").alias("written"))
         for t in graph
         if t.references and t.name in tables
     ]
@@ -91,7 +91,7 @@ def cascade_orphans(
         tainted = frontier.select(F.explode("written").alias("w")).select(file_key("w").alias("key")).filter("key is not null").distinct()
         if readers is None:
             readers = [
-                _links(tables[t.name], t, (*t.reads, *[r for r in t.references if r not in t.produces]),
+                links(tables[t.name], t, (*t.reads, *[r for r in t.references if r not in t.produces]),
                        F.array(*[tables[t.name][p] for p in t.produces]).cast("array<string>").alias("written"))
                 for t in graph if t.name in tables
             ]
