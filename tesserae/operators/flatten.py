@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.json_index import JsonIndex
+from tesserae.session import spread
 
 #: Bytes of JSON indexed at once in a worker.
 BATCH_BYTES = 4_000_000
@@ -76,7 +77,7 @@ def shred(records: DataFrame, id_column: str, fields: list[str], children: tuple
             for ids, texts in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield from _shred_texts(ids, texts, children, batch.schema.field(0).type)
 
-    return source.mapInArrow(run, schema)
+    return spread(source).mapInArrow(run, schema)
 
 
 def _shred_texts(ids: list, texts: list[str], children: tuple[ChildTable, ...], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ file are orphans by inheritance, and so on down until no new record is found.
 
 Defined cases: a reference that names no file (null, blank, stand-in) is none;
 records delivered twice count once; a record without time is orphaned only if
-its file never existed; rows without record id are kept under the null id;
+its file never existed; rows of a field without record id count as one record;
 empty tables give an empty result; further columns are ignored.
 """
 

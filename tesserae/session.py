@@ -44,3 +44,12 @@ def shuffle_width(spark: SparkSession) -> int:
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
     """Broadcast hint only below ``limit`` rows; ``rows`` is the counted size."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """``df`` in enough partitions to busy all cores, for work that costs far more than its input.
+
+    Large inputs already are, and are left alone; only a small one is shuffled.
+    """
+    wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
