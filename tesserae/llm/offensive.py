@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from tesserae.llm import lexicon
 from tesserae.llm.gbt import BoostedTrees, Isotonic
 from tesserae.llm.textnorm import tokens_of
+from tesserae.session import spread
 
 MAX_LABELLED = 20_000
 MAX_TRAIN_CHARS = 20_000
@@ -41,7 +42,13 @@ FOLDS = 3
 PHRASE_SUPPORT, PHRASE_ODDS, PHRASE_WORDS = 3, 1.5, 4
 THRESHOLD = 0.5
 
+#: Characters turned into features at once in a worker.
+BATCH_CHARS = 1_000_000
+
 _NAMES = list(lexicon.LISTS)
+#: Where ``features`` has means rather than largest values, and the length.
+MEAN_COLUMNS = [*range(len(_NAMES), 2 * len(_NAMES)), *range(2 * len(_NAMES) + 12, 2 * len(_NAMES) + 15)]
+SIZE_COLUMN = 2 * len(_NAMES) + 15
 _BIT = {n: 1 << i for i, n in enumerate(_NAMES)}
 _MASKABLE = sum(_BIT[n] for n in lexicon.DISGUISED)
 #: Lists whose words all stand for one another in learnt phrases.
@@ -211,6 +218,18 @@ def features(tokens: Tokens, words: list[str], phrases: dict[str, float]) -> np.
     return np.stack(columns, axis=1) if columns else np.zeros((n, 0))
 
 
+def _merged(x: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Rows of a text's segments as one row: largest values stay, means weigh by length."""
+    out = np.full((n, x.shape[1]), -np.inf)
+    np.maximum.at(out, owner, x)
+    size = np.expm1(x[:, SIZE_COLUMN])
+    total = np.bincount(owner, size, n)
+    for j in MEAN_COLUMNS:
+        out[:, j] = np.bincount(owner, size * x[:, j], n) / np.maximum(total, 1)
+    out[:, SIZE_COLUMN] = np.log1p(total)
+    return out
+
+
 @dataclass
 class OffensiveModel:
     phrases: dict[str, float] = field(default_factory=dict)
@@ -219,8 +238,15 @@ class OffensiveModel:
     threshold: float = THRESHOLD
 
     def probability(self, texts: list[str | None]) -> np.ndarray:
-        tokens = Tokens.of(texts)
-        x = features(tokens, tokens.phrases(), self.phrases)
+        parts = [_segments(t) if t else [""] for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+        rows = []
+        for segments in ([s for p in parts for s in p],) if len(owner) == len(texts) else ([s] for p in parts for s in p):
+            tokens = Tokens.of(segments)
+            rows.append(features(tokens, tokens.phrases(), self.phrases))
+        x = np.concatenate(rows) if rows else np.zeros((0, 1))
+        if len(owner) > len(texts):
+            x = _merged(x, owner, len(texts))
         if self.trees is None or self.calibration is None:
             k = 2 * len(_NAMES)
             return 1 / (1 + np.exp(-(x[:, k + 2] + x[:, k + 3] + x[:, k + 7] + x[:, k + 8] + x[:, k + 6] - 2.5)))
@@ -276,21 +302,41 @@ def fit_offensive(documents: DataFrame, labels: DataFrame) -> OffensiveModel:
 def score_documents(documents: DataFrame, model: OffensiveModel, *keep: str) -> DataFrame:
     """(doc_id, *keep, score, offensive) of every document."""
     columns = ["doc_id", *keep]
-    source = documents.filter("doc_id is not null").select(*columns, "text")
+    source = spread(documents.filter("doc_id is not null").select(*columns, "text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*columns).schema) + ", score double, offensive boolean"
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for part in parts:
-            for i in range(0, len(part), 500):
-                rows = part.iloc[i : i + 500]
-                p = m.probability([t if isinstance(t, str) else None for t in rows["text"]])
-                yield rows[columns].assign(score=p, offensive=p >= m.threshold)
+            texts = [t if isinstance(t, str) else None for t in part["text"]]
+            for i, j in _batches(texts):
+                p = m.probability(texts[i:j])
+                yield part[columns].iloc[i:j].assign(score=p, offensive=p >= m.threshold)
 
     return source.mapInPandas(run, schema)
 
 
+def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of at most 500 texts and, but for a single long one, ``BATCH_CHARS`` characters."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > first and (size + n > BATCH_CHARS or i - first >= 500):
+            yield first, i
+            first, size = i, 0
+        size += n
+    if first < len(texts):
+        yield first, len(texts)
+
+
+def _segments(text: str) -> list[str]:
+    """A very long text in overlapping parts, so that every window lies whole in one of them."""
+    if len(text) <= BATCH_CHARS:
+        return [text]
+    return [text[i : i + BATCH_CHARS + 500] for i in range(0, len(text), BATCH_CHARS)]
+
+
 def source_rates(scored: DataFrame) -> DataFrame:
     """Documents, offensive ones, their share and the mean score per source."""
     return scored.groupBy("source").agg(

@@ -85,6 +85,6 @@ def tokens_of(text: str) -> tuple[list[str], list[int]]:
         if _REPEAT.search(low):
             low, flag = _REPEAT.sub(r"\1", low), flag | 2
         parts = low.split("-") if _COMPOUND.fullmatch(low) else [low.strip("'’")]
-        words += parts
+        words += [w if len(w) <= 40 else w[:20] + w[-20:] for w in parts]
         flags += [flag] * len(parts)
     return words, flags

@@ -1,8 +1,9 @@
 """Sizes of texts in tokens of a public byte-level BPE vocabulary.
 
 The vocabulary file is a parameter; every executor must reach it under that
-path. A text is counted in pieces cut at white space, so a very long one needs
-no more memory than a short one.
+path. A text is counted in pieces cut where no token can cross, so a very long
+one needs little more memory than a short one; only a run of 100,000 characters
+without such a place is cut where it stands, which may count a token twice.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tesserae.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How such vocabularies cut a text into words before merging bytes.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,7 +53,7 @@ def count_tokens(text: str | None, path: str = VOCABULARY) -> int:
 
 def with_token_counts(df: DataFrame, text: str, keep: list[str], path: str = VOCABULARY) -> DataFrame:
     """(*keep, n_tokens); a null or empty text has none."""
-    source = df.select(*keep, df[text].alias("__text"))
+    source = spread(df.select(*keep, df[text].alias("__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", n_tokens bigint"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
