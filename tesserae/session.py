@@ -50,6 +50,7 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """``df`` in enough partitions to busy all cores, for work that costs far more than its input.
 
     Large inputs already are, and are left alone; only a small one is shuffled.
+    For plans without a shuffle: counting partitions would run one.
     """
     wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
