@@ -65,8 +65,8 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
 
     ``sizes``: (id, source, n_tokens); ``targets``: (source, target_share, max_repeat).
     """
-    sizes = sizes.filter("id is not null and source is not null and n_tokens > 0").dropDuplicates(["id"])
-    wanted = targets.filter("source is not null and target_share > 0 and max_repeat >= 1").dropDuplicates(["source"])
+    sizes = sizes.select("id", "source", "n_tokens").filter("id is not null and source is not null and n_tokens > 0").dropDuplicates(["id"])
+    wanted = targets.select("source", "target_share", "max_repeat").filter("source is not null and target_share > 0 and max_repeat >= 1").dropDuplicates(["source"])
     held = cut(sizes.join(F.broadcast(wanted.select("source")), "source", "left_semi"))
     # at most one row per target comes to the driver
     stock = held.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).join(wanted, "source")

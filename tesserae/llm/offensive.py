@@ -249,7 +249,7 @@ class OffensiveModel:
             x = _merged(x, owner, len(texts))
         if self.trees is None or self.calibration is None:
             k = 2 * len(_NAMES)
-            return 1 / (1 + np.exp(-(x[:, k + 2] + x[:, k + 3] + x[:, k + 7] + x[:, k + 8] + x[:, k + 6] - 2.5)))
+            return 1 / (1 + np.exp(-(3 * x[:, k + 2] + 1.5 * x[:, k + 3] + 2 * x[:, k + 7] + x[:, k + 8] + x[:, k + 6] - 2.5)))
         return self.calibration.predict(self.trees.score(x))
 
     @classmethod

@@ -78,7 +78,7 @@ def tokens_of(text: str) -> tuple[list[str], list[int]]:
                 solved = low.translate(_LEET)
                 if solved.isalpha():
                     low, flag = solved, flag | 2
-            if _MASK.search(low) and _LETTER.search(low):
+            if _MASK.search(low) and _LETTER.search(low) and not any(c.isdigit() for c in low):
                 bare = _MASK.sub("", low)
                 if len(bare) <= len(low) - 1 and not _COMPOUND.fullmatch(low):
                     flag |= 8
