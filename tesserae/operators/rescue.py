@@ -93,7 +93,10 @@ def ingest(lines: DataFrame, record_type: str, renames: dict[str, str] | None =
     for field, kind in target.items():
         casts = [_cast(F.col("json")[name], kind) for name in aliases[field]]
         typed.append(F.coalesce(*casts).alias(field.replace(".", "_")))
-        used += [F.when(c.isNotNull(), F.lit(name)) for name, c in zip(aliases[field], casts)]
+        chosen = F.when(casts[0].isNotNull(), aliases[field][0])
+        for name, c in zip(aliases[field][1:], casts[1:]):
+            chosen = chosen.when(c.isNotNull(), name)
+        used.append(chosen)
     taken = F.array_compact(F.array(*used))
     left = F.map_filter("json", lambda k, v: ~F.array_contains(F.col("taken"), k) & (k != "settings") & (v != "null"))
     lone = F.map_filter("json", lambda k, v: (k == "settings") & ~v.startswith("{") & ~v.startswith('"{'))
