@@ -52,9 +52,9 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], checks
         raise
     finally:
         _write_text(spark, f"{where}/_status.json", json.dumps({"run": run, "status": status, "error": error, "tables": sorted(tables)}, sort_keys=True))
-    _write_text(spark, f"{root}/_current.new", run)
-    fs, new = _fs(spark, f"{root}/_current.new")
-    _, now = _fs(spark, f"{root}/_current")
+    _write_text(spark, f"{root}/NEXT", run)
+    fs, new = _fs(spark, f"{root}/NEXT")
+    _, now = _fs(spark, f"{root}/CURRENT")
     options = spark._jvm.org.apache.hadoop.fs.Options.Rename
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration())
     modes = spark.sparkContext._gateway.new_array(options, 1)
@@ -65,7 +65,7 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], checks
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the run that is current."""
-    return spark.read.parquet(f"{root}/runs/{_read_text(spark, f'{root}/_current')}/{name}")
+    return spark.read.parquet(f"{root}/runs/{_read_text(spark, f'{root}/CURRENT')}/{name}")
 
 
 def copy_changed(spark: SparkSession, source: DataFrame, target: DataFrame) -> DataFrame:
