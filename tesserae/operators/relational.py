@@ -67,11 +67,17 @@ def carried_and_missing(wanted: DataFrame, existing: DataFrame, keys: list[str])
 
 
 def hash_split(df: DataFrame, group: list[str], identity: str, seed: str, n_first: int) -> DataFrame:
-    """``split``: the ``n_first`` rows of each group by hash order adapt, the rest is held out."""
+    """``split``: the ``n_first`` rows of each group by hash order adapt, the rest is held out.
+
+    Only the chosen rows are ranked, cut per group before the shuffle; the
+    others are never put in order. ``identity`` tells the rows of a group apart.
+    """
     point = F.sha2(F.concat_ws("|", F.lit(seed), *group, F.col(identity).cast("string")), 256)
     order = Window.partitionBy(*group).orderBy("__h", identity)
-    placed = df.withColumn("__h", point).withColumn("__nth", F.row_number().over(order))
-    return placed.withColumn("split", F.when(F.col("__nth") <= n_first, "adaptation").otherwise("held_out")).drop("__h", "__nth")
+    chosen = df.select(*group, identity).withColumn("__h", point).withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= n_first)
+    keys = [*group, identity]
+    marked = df.join(chosen.select(*keys, F.lit("adaptation").alias("split")), keys, "left")
+    return marked.withColumn("split", F.coalesce("split", F.lit("held_out")))
 
 
 def ratio_mix(real: DataFrame, synthetic: DataFrame, order: str, ratio: float) -> DataFrame:
@@ -100,7 +106,9 @@ def balanced_round_robin(df: DataFrame, keys: list[str], order: str, n: int) ->
     """``n`` rows taken from the keys in turn, each key starting over when used up; with ``turn`` from 0."""
     dim = df.groupBy(*keys).agg(F.count("*").alias("__size"))
     dim = dim.withColumn("__k", F.row_number().over(Window.orderBy(*keys)) - 1).withColumn("__keys", F.count("*").over(Window.partitionBy()))
-    numbered = df.withColumn("__pos", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    # no key is asked for more than its n first rows: the filter cuts a large key before the shuffle
+    numbered = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("__rn") <= n)
+    numbered = numbered.withColumn("__pos", F.col("__rn") - 1).drop("__rn")
     turns = df.sparkSession.range(n).withColumnRenamed("id", "turn")
     count = F.broadcast(dim.agg(F.max("__keys").alias("__keys")))
     picks = turns.crossJoin(count).withColumn("__k", F.pmod("turn", "__keys")).drop("__keys").join(F.broadcast(dim.drop("__keys")), "__k")
