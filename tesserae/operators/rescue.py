@@ -37,6 +37,9 @@ TARGETS = {
     },
 }
 
+#: Numbers of one run of files that are put in order by one task.
+RUN_FILES = 4096
+
 #: Least likeness of contents for a field that goes and one that comes to be one.
 SAME_CONTENT = 0.8
 
@@ -130,9 +133,33 @@ def field_inventory(lines: DataFrame) -> DataFrame:
 
 
 def _steps(inventory: DataFrame) -> DataFrame:
-    """(feed_id, file_no, before): each file with the feed's preceding file."""
-    files = inventory.select("feed_id", "file_no").distinct()
-    return files.withColumn("before", F.lag("file_no").over(Window.partitionBy("feed_id").orderBy("file_no")))
+    """(feed_id, file_no, before): each file with the feed's preceding file.
+
+    Runs of ``RUN_FILES`` numbers are ordered by themselves; only the last
+    file of each run meets the other runs of its feed.
+    """
+    files = inventory.select("feed_id", "file_no", _run().alias("run")).distinct()
+    own = Window.partitionBy("feed_id", "run").orderBy("file_no")
+    last = files.groupBy("feed_id", "run").agg(F.max("file_no").alias("last"))
+    last = last.select("feed_id", "run", F.lag("last").over(Window.partitionBy("feed_id").orderBy("run")).alias("earlier"))
+    ordered = files.withColumn("near", F.lag("file_no").over(own)).join(last, ["feed_id", "run"])
+    return ordered.select("feed_id", "file_no", F.coalesce("near", "earlier").alias("before"))
+
+
+def _run() -> Column:
+    return F.floor(F.col("file_no") / RUN_FILES)
+
+
+def _with_known_kind(inventory: DataFrame) -> DataFrame:
+    """``known_kind``: the type of the field's latest values up to the file, in runs as above."""
+    rows = inventory.withColumn("run", _run())
+    own = Window.partitionBy("feed_id", "field_name", "run").orderBy("file_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("file_no")))
+    runs = rows.groupBy("feed_id", "field_name", "run").agg(latest.alias("kind"))
+    earlier = Window.partitionBy("feed_id", "field_name").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("feed_id", "field_name", "run", F.last("kind", ignorenulls=True).over(earlier).alias("earlier"))
+    ordered = rows.withColumn("near", F.last("kind", ignorenulls=True).over(own)).join(runs, ["feed_id", "field_name", "run"])
+    return ordered.withColumn("known_kind", F.coalesce("near", "earlier")).drop("near", "earlier", "run")
 
 
 def content_profile(lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -172,10 +199,7 @@ def content_profile(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 def schema_changes(lines: DataFrame, same_content: float = SAME_CONTENT) -> DataFrame:
     """(feed_id, file_no, change_kind, field_name, old_name) against the preceding file."""
     inventory = cut(field_inventory(lines))
-    carried = F.last("kind", ignorenulls=True).over(
-        Window.partitionBy("feed_id", "field_name").orderBy("file_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    inventory = inventory.withColumn("known_kind", carried)
+    inventory = _with_known_kind(inventory)
     steps = _steps(inventory)
     # each field as of a file, laid beside the same field as of the file before
     now = inventory.join(steps.filter("before is not null"), ["feed_id", "file_no"]).select("feed_id", "file_no", "field_name", F.col("known_kind").alias("kind"))
