@@ -214,6 +214,7 @@ def features(tokens: Tokens, words: list[str], phrases: dict[str, float]) -> np.
         largest(hidden), largest(masked), largest(hidden * (about[0] + about[1] + about[2])),
         mean((tokens.flags & 1).astype(float)), mean(((tokens.flags & 4) > 0).astype(float)), mean(((tokens.flags & 2) > 0).astype(float)), np.log1p(size),
         largest(ev), largest(strongest), largest(_window_sums((strongest > 0) * 1.0, tokens, doc)), largest(ev * (abuse + w["sexual"] + w["threat"] > 0)),
+        largest(about[1] * w["threat"]), largest(about[2] * w["threat"]), largest((about[0] + about[1]) * w["exclude"]),
     ]
     return np.stack(columns, axis=1) if columns else np.zeros((n, 0))
 
