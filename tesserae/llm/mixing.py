@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.session import cut
+from tesserae.session import broadcast_if_small, cut
 
 BLOCK_TOKENS = 2048
 #: Documents of a source per shard, about.
@@ -102,8 +102,8 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
         won = sainte_lague([float(t) for t in group["tokens"]], int(group["blocks"].iloc[0]), most)
         return pd.DataFrame({"source": group["source"], "shard": group["shard"], "tokens_in": group["tokens"], "quota": won})
 
-    won = shards.groupBy("source").applyInPandas(spread, "source string, shard int, tokens_in bigint, quota bigint")
-    placed = docs.join(F.broadcast(cut(won)), ["source", "shard"])
+    won = cut(shards.groupBy("source").applyInPandas(spread, "source string, shard int, tokens_in bigint, quota bigint"))
+    placed = docs.join(broadcast_if_small(won, sum(max(1, math.ceil(r["docs"] / SHARD_DOCS)) for r in plan)), ["source", "shard"])
     # a seeded first block: documents are laid out from there, around the end and back
     run = Window.partitionBy("source", "shard").orderBy(spot("id", F.lit("order")), "id")
     placed = placed.withColumn("stop", F.sum("n_tokens").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
