@@ -33,6 +33,10 @@ def live_events(lives: DataFrame, key: str, start: str, end: str) -> DataFrame:
     )
 
 
+#: Where questions without a time stand: after everything else.
+_LAST = "9999-12-31 00:00:00"
+
+
 def _bucket(at: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(at.cast("timestamp")) / seconds)
 
@@ -44,28 +48,26 @@ def alive_counts(questions: DataFrame, events: DataFrame, payload: list[str], bu
     a null time counts every life its key ever had, whenever that was.
     """
     bundle = F.struct(*payload)
-    asked = questions.filter(F.col("at").isNotNull()).select("key", "at", F.lit(0).alias("change"), bundle.alias("q"))
-    changes = events.select("key", "at", "change", F.lit(None).cast(asked.schema["q"].dataType).alias("q"))
-    line = changes.unionByName(asked).withColumn("bucket", _bucket(F.col("at"), bucket_seconds))
+    ending = F.coalesce("at", F.to_timestamp(F.lit(_LAST)).cast(questions.schema["at"].dataType))
+    asked = questions.select("key", ending.alias("at"), F.lit(0).alias("change"), F.struct(F.col("at").isNull().alias("ever"), bundle.alias("p")).alias("q"))
+    nothing = F.lit(None).cast(asked.schema["q"].dataType)
+    line = events.select("key", "at", "change", nothing.alias("q")).unionByName(asked)
+    line = line.withColumn("born", F.when(F.col("change") > 0, F.col("change")).otherwise(0)).withColumn("bucket", _bucket(F.col("at"), bucket_seconds))
 
-    per_bucket = line.groupBy("key", "bucket").agg(F.sum("change").alias("net"))
+    per_bucket = line.groupBy("key", "bucket").agg(F.sum("change").alias("net"), F.sum("born").alias("births"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         per_bucket.withColumn("carry", F.coalesce(F.sum("net").over(before), F.lit(0)))
-        .filter(F.col("carry") != 0)
-        .select("key", F.lit(None).cast(line.schema["at"].dataType).alias("at"), F.col("carry").cast("int").alias("change"),
-                F.lit(None).cast(asked.schema["q"].dataType).alias("q"), "bucket")
-    )
-    run = Window.partitionBy("key", "bucket").orderBy(F.col("at").asc_nulls_first(), F.col("q").isNotNull()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+        .withColumn("born", F.coalesce(F.sum("births").over(before), F.lit(0)).cast("int"))
+        .filter(F.col("born") != 0)
+        .select("key", F.lit(None).cast(line.schema["at"].dataType).alias("at"), F.col("carry").cast("int").alias("change"), nothing.alias("q"), "born", "bucket")
     )
-    counted = line.unionByName(carried).withColumn("alive", F.sum("change").over(run)).filter(F.col("q").isNotNull())
-    timed = counted.select("key", "at", "q.*", "alive")
-
-    ever = events.filter(F.col("change") > 0).groupBy("key").agg(F.count("*").alias("ever"))
-    untimed = (
-        questions.filter(F.col("at").isNull())
-        .join(ever, "key", "left")
-        .select("key", "at", *payload, F.coalesce("ever", F.lit(0)).alias("alive"))
+    run = (
+        Window.partitionBy("key", "bucket")
+        .orderBy(F.col("at").asc_nulls_first(), F.col("q").isNotNull())
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return timed.unionByName(untimed)
+    counted = line.unionByName(carried)
+    alive = F.when(F.col("q.ever"), F.sum("born").over(run)).otherwise(F.sum("change").over(run))
+    counted = counted.withColumn("alive", alive).filter(F.col("q").isNotNull())
+    return counted.select("key", F.when(~F.col("q.ever"), F.col("at")).alias("at"), "q.p.*", "alive")
