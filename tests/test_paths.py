@@ -8,9 +8,9 @@ CASES = {
     "  data/a/b.png\t": "data/a/b.png",
     "./data/a/b.png": "data/a/b.png",
     "../../data/a/b.png": "data/a/b.png",
-    "/mnt/iad/data/a/b.png": "data/a/b.png",
-    "file:///mnt/iad/data/a%20c/b.png": "data/a c/b.png",
-    "D:\\iad\\outputs\\a\\b.png": "outputs/a/b.png",
+    "/mnt/lab/data/a/b.png": "data/a/b.png",
+    "file:///mnt/lab/data/a%20c/b.png": "data/a c/b.png",
+    "D:\\lab\\outputs\\a\\b.png": "outputs/a/b.png",
     "outputs\\a\\b.png": "outputs/a/b.png",
     "outputs//a/./b.png": "outputs/a/b.png",
     "outputs/tmp/../a/b.png": "outputs/a/b.png",
