@@ -39,18 +39,24 @@ def top_k(df: DataFrame, groups: list[str], score: str, tie: str, k: int) -> Dat
     return df.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def capped_top_k(df: DataFrame, groups: list[str], score: str, tie: str, special: Column, k: int, fraction: float) -> DataFrame:
+def capped_top_k(df: DataFrame, groups: list[str], score: str, tie: str, special: Column, k: int, fraction: float, repeated: bool = False) -> DataFrame:
     """Top-k per group with at most ``round(k * fraction)`` special rows before all others had their turn.
 
     Special rows beyond the quota are deferred and only fill what is left. As
     no more than ``k`` rows of either kind can matter, both kinds are cut to
-    ``k`` per group before the shuffle of the final ranking.
+    ``k`` per group before the shuffle of the final ranking. ``repeated`` says
+    that rows may stand there several times under one tie value; they share a
+    rank in the first cut and are made one after it, so that no shuffle of all
+    rows is needed to remove them.
     """
     if k <= 0:
         return df.withColumn("place", F.lit(0)).limit(0)
     quota = round(k * fraction)
     kind = Window.partitionBy(*groups, "special").orderBy(F.col(score).desc_nulls_last(), F.col(tie))
-    best = df.withColumn("special", special).withColumn("nth", F.row_number().over(kind)).filter(F.col("nth") <= k)
+    rank = F.dense_rank() if repeated else F.row_number()
+    best = df.withColumn("special", special).withColumn("nth", rank.over(kind)).filter(F.col("nth") <= k)
+    if repeated:
+        best = best.dropDuplicates([*groups, tie])
     deferred = F.col("special") & (F.col("nth") > quota)
     order = Window.partitionBy(*groups).orderBy(deferred.cast("int"), F.col(score).desc_nulls_last(), F.col(tie))
     return best.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).drop("nth")

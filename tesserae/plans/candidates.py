@@ -49,11 +49,12 @@ scored AS (SELECT *, round({_Q}, 6) + 0.0e0 AS quality,
 """
 
 
-def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phase-4 candidates once each, with quality, score and reasons against them."""
+def scored_candidates(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataFrame:
+    """Phase-4 candidates with quality, score and reasons against them; once each unless ``repeated``."""
     fields = ["category", "defect_type", "provider", "variant", "quality_profile", "defect_visibility_score", "background_preservation_l1",
               "outside_refined_change_fraction", "inpaint_mask_area_fraction", "quality_flags", "settings", "tfidg_lite", "critic_guided_generation"]
-    rows = R.once(table(spark, sf_dir, "phase4_records"), "phase4_id", *fields)
+    rows = table(spark, sf_dir, "phase4_records")
+    rows = rows.filter("phase4_id is not null").select("phase4_id", *fields) if repeated else R.once(rows, "phase4_id", *fields)
     v, l1, out, inp = (S.safe_number(F.col(c)) for c in fields[5:9])
     flags = F.greatest(F.coalesce(F.size("quality_flags"), F.lit(0)), F.lit(0))
     quality = sel.quality_score(v, l1, out, flags)
@@ -83,9 +84,9 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY category, defect_type ORDER
 
 
 def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored_candidates(spark, sf_dir).filter("size(reasons) = 0 and category is not null and defect_type is not null")
+    rows = scored_candidates(spark, sf_dir, repeated=True).filter("size(reasons) = 0 and category is not null and defect_type is not null")
     repaired = F.coalesce(F.col("critic_guided_generation.selected_repair_index"), F.lit(0)) > 0
-    return sel.capped_top_k(rows, ["category", "defect_type"], "score", "phase4_id", repaired, 10, 0.5)
+    return sel.capped_top_k(rows, ["category", "defect_type"], "score", "phase4_id", repaired, 10, 0.5, repeated=True)
 
 
 @query(f"WITH {_SCORED}, {_CAPPED} SELECT category, defect_type, place, phase4_id, score, special AS repaired FROM placed WHERE place <= 10")

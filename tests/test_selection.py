@@ -21,6 +21,9 @@ def test_quota_of_special_rows(spark):
     back_filled = [r.id for r in sel.capped_top_k(df, ["g"], "score", "id", F.col("rep"), 5, 0.2).orderBy("place").collect()]
     assert back_filled == ["rep_a", "nat_a", "nat_b", "rep_b", "rep_c"]
     assert sel.capped_top_k(df, ["g"], "score", "id", F.col("rep"), 0, 0.5).count() == 0
+    thrice = df.unionAll(df).unionAll(df)
+    again = [r.id for r in sel.capped_top_k(thrice, ["g"], "score", "id", F.col("rep"), 5, 0.2, repeated=True).orderBy("place").collect()]
+    assert again == back_filled
     assert sel.top_k(df, ["g"], "score", "id", 2).count() == 2 and sel.top_k(df, ["g"], "score", "id", 0).count() == 0
 
 
