@@ -49,12 +49,11 @@ scored AS (SELECT *, round({_Q}, 6) + 0.0e0 AS quality,
 """
 
 
-def scored_candidates(spark: SparkSession, sf_dir: str, repeated: bool = False) -> DataFrame:
-    """Phase-4 candidates with quality, score and reasons against them; once each unless ``repeated``."""
+def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phase-4 candidates, as often as delivered, with quality, score and reasons against them."""
     fields = ["category", "defect_type", "provider", "variant", "quality_profile", "defect_visibility_score", "background_preservation_l1",
               "outside_refined_change_fraction", "inpaint_mask_area_fraction", "quality_flags", "settings", "tfidg_lite", "critic_guided_generation"]
-    rows = table(spark, sf_dir, "phase4_records")
-    rows = rows.filter("phase4_id is not null").select("phase4_id", *fields) if repeated else R.once(rows, "phase4_id", *fields)
+    rows = table(spark, sf_dir, "phase4_records").filter("phase4_id is not null").select("phase4_id", *fields)
     v, l1, out, inp = (S.safe_number(F.col(c)) for c in fields[5:9])
     flags = F.greatest(F.coalesce(F.size("quality_flags"), F.lit(0)), F.lit(0))
     quality = sel.quality_score(v, l1, out, flags)
@@ -62,17 +61,25 @@ def scored_candidates(spark: SparkSession, sf_dir: str, repeated: bool = False)
     return rows.withColumn("quality", F.round(quality, 6) + 0.0).withColumn("score", F.round(score, 6) + 0.0).withColumn("reasons", sel.reject_reasons())
 
 
+def measured_candidates(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
+    """(phase4_id, columns...) once per candidate.
+
+    What is asked for is computed row by row first; deliveries of one record
+    have equal values, so only the few results are shuffled to make them one.
+    """
+    return scored_candidates(spark, sf_dir).select("phase4_id", *columns).dropDuplicates(["phase4_id"])
+
+
 @query(f"WITH {_SCORED} SELECT phase4_id, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS accepted FROM scored")
 def reject_reasons(spark, sf_dir):
     """Why each candidate is refused."""
-    rows = scored_candidates(spark, sf_dir)
-    return rows.select("phase4_id", F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("accepted"))
+    return measured_candidates(spark, sf_dir, F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("accepted"))
 
 
 @query(f"WITH {_SCORED} SELECT phase4_id, quality, score FROM scored")
 def quality_score(spark, sf_dir):
     """Quality and selector score of each candidate."""
-    return scored_candidates(spark, sf_dir).select("phase4_id", "quality", "score")
+    return measured_candidates(spark, sf_dir, "quality", "score")
 
 
 _CAPPED = """
@@ -84,7 +91,7 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY category, defect_type ORDER
 
 
 def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored_candidates(spark, sf_dir, repeated=True).filter("size(reasons) = 0 and category is not null and defect_type is not null")
+    rows = scored_candidates(spark, sf_dir).filter("size(reasons) = 0 and category is not null and defect_type is not null")
     repaired = F.coalesce(F.col("critic_guided_generation.selected_repair_index"), F.lit(0)) > 0
     return sel.capped_top_k(rows, ["category", "defect_type"], "score", "phase4_id", repaired, 10, 0.5, repeated=True)
 
@@ -103,16 +110,18 @@ SELECT phase4_id, why, why = '' AS accepted FROM log"""
 )
 def selector_log(spark, sf_dir):
     """Both outcomes of the selection, with the reason."""
-    rows = scored_candidates(spark, sf_dir).filter("category is not null and defect_type is not null")
+    named = F.col("category").isNotNull() & F.col("defect_type").isNotNull()
+    rows = measured_candidates(spark, sf_dir, F.array_join("reasons", ",").alias("reasons"), named.alias("named")).filter("named")
     chosen = _capped(spark, sf_dir).select("phase4_id", F.lit(True).alias("in"))
-    why = F.when(F.size("reasons") > 0, F.array_join("reasons", ",")).when(F.col("in").isNull(), "selector_group_limit").otherwise("")
+    why = F.when(F.col("reasons") != "", F.col("reasons")).when(F.col("in").isNull(), "selector_group_limit").otherwise("")
     return rows.join(chosen, "phase4_id", "left").select("phase4_id", why.alias("why"), (why == "").alias("accepted"))
 
 
 @query(f"WITH {_SCORED} SELECT reason, count(*) AS n_rows FROM (SELECT unnest(reasons) AS reason FROM scored) GROUP BY reason")
 def selector_summary(spark, sf_dir):
     """How often each reason stands."""
-    return sel.reason_histogram(scored_candidates(spark, sf_dir), "reasons")
+    rows = measured_candidates(spark, sf_dir, F.array_join("reasons", ",").alias("reasons"))
+    return sel.reason_histogram(rows.filter("reasons <> ''").withColumn("reasons", F.split("reasons", ",")), "reasons")
 
 
 @query(
@@ -121,9 +130,10 @@ def selector_summary(spark, sf_dir):
 )
 def accepted_by_profile(spark, sf_dir):
     """Accepted rows and mean score per morphology and profile."""
-    rows = scored_candidates(spark, sf_dir)
-    return rows.groupBy(F.col("settings.quality_morphology").alias("morphology"), "quality_profile").agg(
-        F.count("*").alias("n_rows"), F.count_if(F.size("reasons") == 0).alias("accepted"), F.round(F.avg("score"), 9).alias("mean_score")
+    morphology, fine = F.col("settings.quality_morphology").alias("morphology"), (F.size("reasons") == 0).alias("fine")
+    rows = measured_candidates(spark, sf_dir, morphology, "quality_profile", "score", fine)
+    return rows.groupBy("morphology", "quality_profile").agg(
+        F.count("*").alias("n_rows"), F.count_if("fine").alias("accepted"), F.round(F.avg("score"), 9).alias("mean_score")
     )
 
 
@@ -133,7 +143,7 @@ def accepted_by_profile(spark, sf_dir):
 )
 def rollup_report(spark, sf_dir):
     """Counts and mean scores with their subtotals in one pass."""
-    return scored_candidates(spark, sf_dir).rollup("category", "defect_type").agg(
+    return measured_candidates(spark, sf_dir, "category", "defect_type", "score").rollup("category", "defect_type").agg(
         F.grouping("category").cast("int").alias("all_categories"), F.grouping("defect_type").cast("int").alias("all_types"),
         F.count("*").alias("n_rows"), F.round(F.avg("score"), 9).alias("mean_score"),
     )

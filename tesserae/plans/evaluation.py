@@ -35,10 +35,15 @@ judged AS (SELECT phase4_id, provider, category, least(1.0e0, greatest(0.0e0, {s
 
 
 def judged(spark, sf_dir):
-    """Candidates with a score in [0, 1] and whether reviewers left them without a flag."""
-    rows = R.once(table(spark, sf_dir, "phase4_records"), "phase4_id", "provider", "category", "generation_quality_score", "quality_flags")
+    """Candidates with a score in [0, 1] and whether reviewers left them without a flag.
+
+    Deliveries of one record have equal values, so they are made one on the
+    few columns that come out.
+    """
+    rows = table(spark, sf_dir, "phase4_records").filter("phase4_id is not null")
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), safe_number(F.col("generation_quality_score"))))
-    return rows.filter("quality_flags is not null").select("phase4_id", "provider", "category", score.alias("score"), (F.size("quality_flags") == 0).alias("truth"))
+    rows = rows.filter("quality_flags is not null").select("phase4_id", "provider", "category", score.alias("score"), (F.size("quality_flags") == 0).alias("truth"))
+    return rows.dropDuplicates(["phase4_id"])
 
 
 _RANKED = """r AS (SELECT {g} score, truth, rank() OVER ({w} ORDER BY score) + (count(*) OVER (PARTITION BY {g} score) - 1) / 2.0e0 AS rk FROM judged)
