@@ -195,16 +195,14 @@ def chosen_candidate(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_MODES}, best AS (SELECT auto_mask_id, max(score) AS oracle, arg_max(score, (adjusted, -ascii(mode))) AS x FROM adj GROUP BY 1),
+    f"""WITH {_MODES}, best AS (SELECT auto_mask_id, max(score) AS oracle FROM adj GROUP BY 1),
 pick AS (SELECT auto_mask_id, mode, score FROM adj QUALIFY row_number() OVER (PARTITION BY auto_mask_id ORDER BY adjusted DESC, mode) = 1)
 SELECT auto_mask_id, round(oracle, 6) AS oracle, round(p.score, 6) AS chosen, round(greatest(0.0e0, oracle - p.score), 6) AS regret FROM best JOIN pick p USING (auto_mask_id)"""
 )
 def oracle_regret(spark, sf_dir):
     """What choosing by adjusted score lost against the best raw score."""
     rows = adjusted_candidates(spark, sf_dir)
-    best = rows.groupBy("auto_mask_id").agg(
-        F.max("score").alias("oracle"), F.max_by("score", F.struct("adjusted", F.expr("transform(array(mode), m -> -1)"))).alias("__")
-    )
+    best = rows.groupBy("auto_mask_id").agg(F.max("score").alias("oracle"))
     pick = sel.first_best(rows, ["auto_mask_id"], "adjusted", "mode").select("auto_mask_id", F.col("score").alias("chosen"))
     both = best.join(pick, "auto_mask_id")
     regret = F.greatest(F.lit(0.0), F.col("oracle") - F.col("chosen"))
