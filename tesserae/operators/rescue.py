@@ -37,6 +37,9 @@ TARGETS = {
     },
 }
 
+#: Members that hold the value of a target field in wrapped objects, besides "value".
+INNER = {"region_xyxy": ("xyxy",), "settings.target_bbox_xyxy": ("xyxy",)}
+
 #: Numbers of one run of files that are put in order by one task.
 RUN_FILES = 4096
 
@@ -92,32 +95,47 @@ def ingest(lines: DataFrame, record_type: str, renames: dict[str, str] | None =
     aliases: dict[str, list[str]] = {f: [f] for f in target}
     for written, field in (renames or {}).items():
         aliases[field].append(written)
-    typed, used = [], []
-    for field, kind in target.items():
-        casts = [_cast(F.col("json")[name], kind) for name in aliases[field]]
-        typed.append(F.coalesce(*casts).alias(field.replace(".", "_")))
-        chosen = F.when(casts[0].isNotNull(), aliases[field][0])
-        for name, c in zip(aliases[field][1:], casts[1:]):
-            chosen = chosen.when(c.isNotNull(), name)
-        used.append(chosen)
-    taken = F.array_compact(F.array(*used))
+    chosen = {field: _chosen({name: F.col("json")[name] for name in aliases[field]}, kind, INNER.get(field, ())) for field, kind in target.items()}
+    out = rows.select(*keep, "json", *[c.alias(f"__{field}") for field, c in chosen.items()])
+    parts = [F.col(f"`__{field}`") for field in target]
+    taken = F.array_compact(F.array(*[p["name"] for p in parts]))
     left = F.map_filter("json", lambda k, v: ~F.array_contains(F.col("taken"), k) & (k != "settings") & (v != "null"))
     lone = F.map_filter("json", lambda k, v: (k == "settings") & ~v.startswith("{") & ~v.startswith('"{'))
-    out = rows.withColumn("taken", taken)
-    rescued = F.when((F.size(left) + F.size(lone)) > 0, F.to_json(F.map_concat(left, lone)))
+    rests = F.map_from_entries(F.filter(F.array(*[F.struct(p["name"], p["rest"]) for p in parts]), lambda e: e["rest"].isNotNull()))
+    out = out.withColumn("taken", taken)
+    rescued = F.when((F.size(left) + F.size(lone) + F.size(rests)) > 0, F.to_json(F.map_concat(left, lone, rests)))
+    typed = [p["typed"].alias(field.replace(".", "_")) for field, p in zip(target, parts)]
     return out.select(*keep, *typed, rescued.alias("_rescued"))
 
 
-def _cast(value: Column, kind: str) -> Column:
-    """A JSON text as a typed value; wrapped ones (one-element array, {"value": x}) are opened."""
-    opened = F.coalesce(
-        F.when(value.startswith("{"), F.get_json_object(value, "$.value")),
-        F.when(value.startswith("[") & F.lit(not kind.startswith("array")), F.get_json_object(value, "$[0]")),
-        F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"),
-    )
+def _chosen(values: dict[str, Column], kind: str, inner: tuple[str, ...]) -> Column:
+    """(name, typed, rest): the first of the named JSON texts that takes the type; null if none does.
+
+    Wrapped ones (one-element array, {"value": x} or an ``inner`` member) are
+    opened; ``rest`` has, as JSON, what of the wrapping is not in ``typed``.
+    """
+    options = []
+    for name, value in values.items():
+        nothing = F.lit(None).cast("string")
+        ways = [(F.when(value.startswith("{"), F.get_json_object(value, "$.value")), nothing)]
+        ways += [(F.when(value.startswith("{"), F.get_json_object(value, f"$.{m}")), _without(value, m)) for m in inner]
+        if not kind.startswith("array"):
+            ways.append((F.when(value.startswith("["), F.get_json_object(value, "$[0]")), nothing))
+        ways.append((F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"), nothing))
+        options += [F.struct(F.lit(name).alias("name"), _cast(text, kind).alias("typed"), rest.alias("rest")) for text, rest in ways]
+    return F.get(F.filter(F.array(*options), lambda o: o["typed"].isNotNull()), F.lit(0))
+
+
+def _without(value: Column, member: str) -> Column:
+    """The other members of a JSON object, null if there are none."""
+    members = F.try_parse_json(value).try_cast("map<string,variant>")
+    return F.when(value.startswith("{"), F.nullif(F.to_json(F.map_filter(members, lambda k, v: k != member), {"ignoreNullFields": "false"}), F.lit("{}")))
+
+
+def _cast(text: Column, kind: str) -> Column:
     if kind.startswith("array"):
-        return F.from_json(opened, kind)
-    return opened if kind == "string" else opened.try_cast(kind)
+        return F.from_json(text, kind)
+    return text if kind == "string" else text.try_cast(kind)
 
 
 def field_inventory(lines: DataFrame) -> DataFrame:

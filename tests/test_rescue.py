@@ -55,6 +55,16 @@ def test_rescued_and_replayed(spark):
     assert got[1].seed == 3 and got[2].latency_sec == 4.5 and got[2].settings_target_bbox_xyxy == [1, 2, 3, 4] and got[2]._rescued is None
 
 
+def test_boxes_with_a_unit_are_replayed(spark):
+    rows = [{"settings": {"bbox": {"xyxy": [1, 2, 3, 4], "unit": "px"}}}, {"settings": {"target_bbox_xyxy": {"xyxy": [5, 6, 7, 8]}}}, {"settings": {"bbox": {"corners": [1], "unit": "px"}}}]
+    got = {r.line_no: r for r in ingest(_lines(spark, {(1, 1): rows}), "generation", {"settings.bbox": "settings.target_bbox_xyxy"}).collect()}
+    assert got[0].settings_target_bbox_xyxy == [1, 2, 3, 4] and json.loads(json.loads(got[0]._rescued)["settings.bbox"]) == {"unit": "px"}
+    assert got[1].settings_target_bbox_xyxy == [5, 6, 7, 8] and got[1]._rescued is None
+    assert got[2].settings_target_bbox_xyxy is None and json.loads(json.loads(got[2]._rescued)["settings.bbox"]) == {"corners": [1], "unit": "px"}
+    region = ingest(_lines(spark, {(1, 1): [{"region_xyxy": {"xyxy": [1, 2, 3, 4], "unit": "px"}}]}, "auto_mask"), "auto_mask").first()
+    assert region.region_xyxy == [1, 2, 3, 4] and json.loads(json.loads(region._rescued)["region_xyxy"]) == {"unit": "px"}
+
+
 def test_empty_table(spark):
     lines = _lines(spark, {(1, 1): []})
     assert schema_changes(lines).count() == 0 and ingest(lines, "auto_mask").count() == 0
