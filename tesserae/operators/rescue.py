@@ -113,15 +113,17 @@ def _chosen(values: dict[str, Column], kind: str, inner: tuple[str, ...]) -> Col
 
     Wrapped ones (one-element array, {"value": x} or an ``inner`` member) are
     opened; ``rest`` has, as JSON, what of the wrapping is not in ``typed``.
+    An array of which an element would be lost is not taken.
     """
     options = []
     for name, value in values.items():
         nothing = F.lit(None).cast("string")
-        ways = [(F.when(value.startswith("{"), F.get_json_object(value, "$.value")), nothing)]
-        ways += [(F.when(value.startswith("{"), F.get_json_object(value, f"$.{m}")), _without(value, m)) for m in inner]
+        ways = [(F.when(value.startswith("{"), F.get_json_object(value, f"$.{m}")), _without(value, m)) for m in ("value", *inner)]
+        whole = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
         if not kind.startswith("array"):
-            ways.append((F.when(value.startswith("["), F.get_json_object(value, "$[0]")), nothing))
-        ways.append((F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"), nothing))
+            ways.append((F.when(value.startswith("[") & (F.json_array_length(value) == 1), F.get_json_object(value, "$[0]")), nothing))
+            whole = F.when(~value.startswith("["), whole)
+        ways.append((whole, nothing))
         options += [F.struct(F.lit(name).alias("name"), _cast(text, kind).alias("typed"), rest.alias("rest")) for text, rest in ways]
     return F.get(F.filter(F.array(*options), lambda o: o["typed"].isNotNull()), F.lit(0))
 
@@ -134,7 +136,9 @@ def _without(value: Column, member: str) -> Column:
 
 def _cast(text: Column, kind: str) -> Column:
     if kind.startswith("array"):
-        return F.from_json(text, kind)
+        cast, each = F.from_json(text, kind), F.from_json(text, "array<string>")
+        lost = F.exists(F.arrays_zip(cast.alias("a"), each.alias("b")), lambda p: p["a"].isNull() & p["b"].isNotNull())
+        return F.when(~lost, cast)
     return text if kind == "string" else text.try_cast(kind)
 
 

@@ -65,6 +65,20 @@ def test_boxes_with_a_unit_are_replayed(spark):
     assert region.region_xyxy == [1, 2, 3, 4] and json.loads(json.loads(region._rescued)["region_xyxy"]) == {"unit": "px"}
 
 
+def test_what_a_cast_leaves_stays_rescued(spark):
+    rows = [
+        {"model": {"value": "m", "checked": False, "by": None}, "output_path": ["a", "b"], "seed": [3, 4], "category": ["c"]},
+        {"model": {"value": "m"}, "seed": [], "output_path": [["a", "b"]], "settings": {"target_bbox_xyxy": [1, 2.5, 3, 4]}},
+        {"settings": {"bbox": {"value": [1, 2, 3, 4], "checked": True}, "target_bbox_xyxy": [1, None]}},
+    ]
+    got = {r.line_no: r for r in ingest(_lines(spark, {(1, 1): rows}), "generation", {"settings.bbox": "settings.target_bbox_xyxy"}).collect()}
+    kept = {n: {k: json.loads(v) for k, v in json.loads(r._rescued).items()} for n, r in got.items()}
+    assert (got[0].model, got[0].output_path, got[0].seed, got[0].category) == ("m", None, None, "c")
+    assert kept[0] == {"model": {"checked": False, "by": None}, "output_path": ["a", "b"], "seed": [3, 4]}
+    assert got[1].model == "m" and got[1].settings_target_bbox_xyxy is None and kept[1] == {"seed": [], "settings.target_bbox_xyxy": [1, 2.5, 3, 4]}
+    assert got[2].settings_target_bbox_xyxy == [1, None] and kept[2] == {"settings.bbox": {"value": [1, 2, 3, 4], "checked": True}}
+
+
 def test_empty_table(spark):
     lines = _lines(spark, {(1, 1): []})
     assert schema_changes(lines).count() == 0 and ingest(lines, "auto_mask").count() == 0
