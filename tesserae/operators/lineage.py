@@ -40,10 +40,10 @@ def manifest(df: DataFrame, target: list[str], split: str, sample: list[str], or
 
 
 def manifest_samples(rows: DataFrame, cap: int | None = None) -> DataFrame:
-    """(target, split, place, sample...): a manifest flattened, each split in stored order and cut at ``cap``."""
+    """(target, split, place, sample...): a manifest flattened, each split in stored order, held-out samples cut at ``cap``."""
     sides = []
     for s in ("adaptation", "held_out"):
-        listed = F.slice(s, 1, cap) if cap else F.col(s)
+        listed = F.slice(s, 1, cap) if cap and s == "held_out" else F.col(s)
         sides.append(rows.select("target", F.lit(s).alias("split"), F.posexplode(listed).alias("place", "sample")))
     return sides[0].unionByName(sides[1]).select("target", "split", "place", "sample.*")
 

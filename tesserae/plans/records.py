@@ -42,7 +42,7 @@ def samples(spark, sf_dir):
 WHERE split IN ('adaptation', 'held_out') AND category IS NOT NULL AND defect_type IS NOT NULL QUALIFY place < 20"""
 )
 def manifest_flatten(spark, sf_dir):
-    """Samples of nested manifests, at most twenty per target and split."""
+    """Samples of nested manifests: all of the adaptation split, at most twenty held out per target."""
     rows = samples(spark, sf_dir).filter("split in ('adaptation', 'held_out') and category is not null and defect_type is not null")
     nested = N.manifest(rows, ["category", "defect_type"], "split", ["image_path"], "sample_id")
     return N.manifest_samples(nested, 20)

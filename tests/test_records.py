@@ -53,6 +53,14 @@ def test_paths_and_guards(spark):
     assert N.shared_keys(a, b, ["v"]).first().v == 2 and N.unassigned(a, b, ["v"]).first().v == 1
 
 
+def test_only_held_out_samples_are_capped(spark):
+    rows = spark.range(70).selectExpr("id", "if(id % 10 < 6, 'adaptation', 'held_out') as split", "'c' as category", "'d' as defect_type", "concat('p', id) as image_path")
+    nested = N.manifest(rows, ["category", "defect_type"], "split", ["image_path"], "id")
+    got = [(r.split, r.place, r.id) for r in N.manifest_samples(nested, 20).collect()]
+    listed = {s: [i for i in range(70) if (i % 10 < 6) == (s == "adaptation")] for s in ("adaptation", "held_out")}
+    assert sorted(got) == [("adaptation", n, i) for n, i in enumerate(listed["adaptation"])] + [("held_out", n, i) for n, i in enumerate(listed["held_out"][:20])]
+
+
 def test_fingerprint_depends_on_content_only(spark):
     rows = [("k", 1, "x", 10), ("k", 2, None, 20)]
     of = lambda r: R.content_fingerprint(spark.createDataFrame(r, "k string, i int, h string, mtime int"), ["k"], "i", "h").first().fingerprint
