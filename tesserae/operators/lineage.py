@@ -48,6 +48,26 @@ def manifest_samples(rows: DataFrame, cap: int | None = None) -> DataFrame:
     return sides[0].unionByName(sides[1]).select("target", "split", "place", "sample.*")
 
 
+def fuse_scores(df: DataFrame, first: str, second: str, weight: float, out: str) -> DataFrame:
+    """``df`` with ``out``: two arrays blended place by place and kept within 0 and 1; unequal lengths fail the query."""
+    w = min(1.0, max(0.0, weight))
+    unequal = ~F.size(first).eqNullSafe(F.size(second)) | F.col(first).isNull() | F.col(second).isNull()
+    blend = F.zip_with(first, second, lambda a, b: F.greatest(F.lit(0.0), F.least(F.lit(1.0), a * (1 - w) + b * w)))
+    return guard(df, unequal, "Cannot fuse scores with different shapes").withColumn(out, blend)
+
+
+def fuse_score_rows(student: DataFrame, prior: DataFrame, key: list[str], score: str, weight: float) -> DataFrame:
+    """The student's rows with ``score`` fused with that of the prior's row at the same key.
+
+    ``student_score`` and ``prior_score`` keep the parts. A key that stands on
+    one side only fails the query; keys are unique.
+    """
+    a = student.withColumnRenamed(score, "student_score").withColumn("__a", F.lit(True))
+    b = prior.select(*key, F.col(score).alias("prior_score"), F.lit(True).alias("__b"))
+    both = guard(a.join(b, key, "full_outer"), F.col("__a").isNull() | F.col("__b").isNull(), "Cannot fuse score rows with different lengths")
+    return fuse_scores(both.drop("__a", "__b"), "student_score", "prior_score", weight, score)
+
+
 def exists_audit(refs: DataFrame, inventory: DataFrame) -> DataFrame:
     """(table_name, field_name, n_refs, n_known, n_unknown): references whose file the inventory ever had."""
     known = inventory.select(F.col("rel_path").alias("key")).filter("key is not null").distinct().withColumn("known", F.lit(1))

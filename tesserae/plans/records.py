@@ -136,7 +136,7 @@ def config_path_references(spark, sf_dir):
 SELECT o_custkey, list_transform(list(o_totalprice ORDER BY n), lambda x: round(x * 0.75e0 + 25, 4))[1] AS first_fused, count(*) AS n FROM a GROUP BY 1"""
 )
 def zip_fuse(spark, sf_dir):
-    """Two lists of one length fused place by place."""
+    """First fused place of two lists; like its SQL for the first three orders only. The whole lists are in ``zip_fuse_rasters``."""
     from pyspark.sql import Window
 
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
@@ -147,6 +147,16 @@ def zip_fuse(spark, sf_dir):
     return lists.select("o_custkey", fused[0].alias("first_fused"), F.size("a").cast("bigint").alias("n"))
 
 
+@query(
+    """SELECT vec_id AS id, [round(greatest(0e0, least(1e0, (0.5e0 + embedding[i]::DOUBLE / 2) * 0.75e0 + (0.5e0 + embedding[i - 2 * ((i - 1) % 8) + 7]::DOUBLE / 2) * 0.25e0)), 6) FOR i IN generate_series(1, 64)] AS fused FROM embeddings"""
+)
+def zip_fuse_rasters(spark, sf_dir):
+    """The scores of each 8 x 8 raster fused with those of its mirror image, every cell."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: F.lit(0.5) + v.cast("double") / 2).alias("score"))
+    rows = rows.withColumn("mirrored", F.flatten(F.transform(F.sequence(F.lit(1), F.size("score"), F.lit(8)), lambda i: F.reverse(F.slice("score", i, F.lit(8))))))
+    return N.fuse_scores(rows, "score", "mirrored", 0.25, "fused").select("id", F.transform("fused", lambda v: F.round(v, 6)).alias("fused"))
+
+
 @query(
     "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, count(*) AS n_rows, round(sum(value), 4) AS total FROM events GROUP BY ALL"
 )

@@ -61,6 +61,21 @@ def test_only_held_out_samples_are_capped(spark):
     assert sorted(got) == [("adaptation", n, i) for n, i in enumerate(listed["adaptation"])] + [("held_out", n, i) for n, i in enumerate(listed["held_out"][:20])]
 
 
+def test_scores_are_fused_place_by_place(spark):
+    of = lambda *rows: spark.createDataFrame(list(rows), "n int, score array<double>")
+    student, prior = of((0, [0.0, 1.0, 0.4, 0.2, 0.8]), (1, [1.0])), of((1, [3.0]), (0, [1.0, 0.0, 0.4, 0.6, 0.8]))
+    got = {r.n: r for r in N.fuse_score_rows(student, prior, ["n"], "score", 0.25).collect()}
+    assert [round(v, 9) for v in got[0].score] == [0.25, 0.75, 0.4, 0.3, 0.8] and got[1].score == [1.0]
+    assert got[1].student_score == [1.0] and got[1].prior_score == [3.0]
+    assert N.fuse_score_rows(student, prior, ["n"], "score", 7.0).filter("n = 0").first().score == [1.0, 0.0, 0.4, 0.6, 0.8]
+    for a, b in ((student, prior.filter("n = 0")), (student.filter("n = 0"), prior)):
+        with pytest.raises(Exception, match="different lengths"):
+            N.fuse_score_rows(a, b, ["n"], "score", 0.25).collect()
+    for short in ([0.5] * 4, None):
+        with pytest.raises(Exception, match="different shapes"):
+            N.fuse_score_rows(student, of((0, short), (1, [1.0])), ["n"], "score", 0.25).collect()
+
+
 def test_fingerprint_depends_on_content_only(spark):
     rows = [("k", 1, "x", 10), ("k", 2, None, 20)]
     of = lambda r: R.content_fingerprint(spark.createDataFrame(r, "k string, i int, h string, mtime int"), ["k"], "i", "h").first().fingerprint
