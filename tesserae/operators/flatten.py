@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.operators.json_index import JsonIndex
@@ -125,3 +125,45 @@ def candidate_table(shredded: DataFrame) -> DataFrame:
         text("candidate_refined_paths").alias("refined_path"),
         text("candidate_heatmap_paths").alias("heatmap_path"),
     )
+
+
+def _of(shredded: DataFrame, child: str) -> DataFrame:
+    return shredded.filter(F.col("child_table") == child)
+
+
+def _text(value: Column) -> Column:
+    """A JSON value as text, strings without their quotes."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
+
+
+def reason_table(shredded: DataFrame) -> DataFrame:
+    """(id, mode, reason_no, reason) of every reason."""
+    return _of(shredded, "reason").select("id", F.col("parent_key").alias("mode"), F.col("child_key").cast("int").alias("reason_no"), _text(F.col("value")).alias("reason"))
+
+
+def prediction_table(shredded: DataFrame) -> DataFrame:
+    """(id, prediction_no, mode, expected_iou, disposition) of every prediction."""
+    member = lambda m: F.get_json_object("value", f"$.{m}")
+    return _of(shredded, "prediction").select(
+        "id", F.col("child_key").cast("int").alias("prediction_no"), member("mode").alias("mode"), member("expected_iou").try_cast("double").alias("expected_iou"), member("disposition").alias("disposition")
+    )
+
+
+def component_table(shredded: DataFrame) -> DataFrame:
+    """(id, prediction_no, component_no, area, box_xyxy) of every component of a prediction."""
+    return _of(shredded, "component").select(
+        "id", F.col("parent_key").cast("int").alias("prediction_no"), F.col("child_key").cast("int").alias("component_no"),
+        F.get_json_object("value", "$.area").try_cast("int").alias("area"), F.from_json(F.get_json_object("value", "$.box_xyxy"), "array<int>").alias("box_xyxy"),
+    )
+
+
+def sub_box_table(shredded: DataFrame) -> DataFrame:
+    """(id, box_no, box_xyxy) of every sub-box."""
+    return _of(shredded, "sub_box").select("id", F.col("child_key").cast("int").alias("box_no"), F.from_json("value", "array<int>").alias("box_xyxy"))
+
+
+def variant_table(shredded: DataFrame) -> DataFrame:
+    """(id, variant, mask_path, overlay_path): the paths of each variant side by side."""
+    rows = _of(shredded, "variant").withColumn("path", F.when(F.col("value") != "null", _text(F.col("value"))))
+    pick = lambda f: F.max(F.when(F.col("field") == f, F.col("path")))
+    return rows.groupBy("id", F.col("child_key").alias("variant")).agg(pick("mask_variant_paths").alias("mask_path"), pick("mask_variant_overlay_paths").alias("overlay_path"))

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators.flatten import AUTO_MASK_CHILDREN, candidate_table, linked_rows, shred
+from tesserae.operators.flatten import (
+    AUTO_MASK_CHILDREN,
+    candidate_table,
+    component_table,
+    linked_rows,
+    prediction_table,
+    reason_table,
+    shred,
+    sub_box_table,
+    variant_table,
+)
 from tesserae.operators.orphans import TABLES, cascade_orphans, orphan_report
 from tesserae.operators.rescue import ingest, schema_changes
 from tesserae.session import table
@@ -41,6 +51,31 @@ def p3_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidate_table(_shredded(spark, sf_dir)).withColumnRenamed("id", "auto_mask_id")
 
 
+def p3_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reason with its text."""
+    return reason_table(_shredded(spark, sf_dir)).withColumnRenamed("id", "auto_mask_id")
+
+
+def p3_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prediction with its mode, expected overlap and disposition."""
+    return prediction_table(_shredded(spark, sf_dir)).withColumnRenamed("id", "auto_mask_id")
+
+
+def p3_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every component of a prediction with its area and box."""
+    return component_table(_shredded(spark, sf_dir)).withColumnRenamed("id", "auto_mask_id")
+
+
+def p3_sub_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sub-box with its corners."""
+    return sub_box_table(_shredded(spark, sf_dir)).withColumnRenamed("id", "auto_mask_id")
+
+
+def p3_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mask variant with its paths."""
+    return variant_table(_shredded(spark, sf_dir)).withColumnRenamed("id", "auto_mask_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What changed from each file to the next."""
     return schema_changes(table(spark, sf_dir, "raw_record_lines"))
@@ -76,6 +111,7 @@ def p6_generation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_candidates": p3_candidates,
+    "p3_reasons": p3_reasons, "p3_predictions": p3_predictions, "p3_components": p3_components, "p3_sub_boxes": p3_sub_boxes, "p3_variants": p3_variants,
     "p6_found": p6_found, "p6_auto_mask_table": p6_auto_mask_table, "p6_generation_table": p6_generation_table,
 }
 
@@ -136,5 +172,32 @@ mode AS (
 SELECT auto_mask_id, m AS mode, s.candidate_scores[m] AS score, s.candidate_qc[m].mask_area AS mask_area,
   s.candidate_qc[m].mask_to_qwen_box_fraction AS box_fraction, s.candidate_qc[m].component_count AS component_count,
   s.candidate_refined_paths[m] AS refined_path, s.candidate_heatmap_paths[m] AS heatmap_path FROM mode
+""",
+    "p3_reasons": """
+WITH r AS (SELECT auto_mask_id, arg_min(settings, ingested_at) AS s FROM auto_mask_records GROUP BY auto_mask_id),
+qc AS (SELECT auto_mask_id, unnest(map_entries(s.candidate_qc)) AS e FROM r),
+reason AS (SELECT auto_mask_id, e.key AS mode, unnest(e.value.reasons) AS reason, (generate_subscripts(e.value.reasons, 1) - 1)::INT AS reason_no FROM qc)
+SELECT auto_mask_id, mode, reason_no, reason FROM reason WHERE reason IS NOT NULL
+""",
+    "p3_predictions": """
+WITH r AS (SELECT auto_mask_id, arg_min(settings, ingested_at) AS s FROM auto_mask_records GROUP BY auto_mask_id),
+pred AS (SELECT auto_mask_id, unnest(s.candidate_predictions) AS x, (generate_subscripts(s.candidate_predictions, 1) - 1)::INT AS i FROM r)
+SELECT auto_mask_id, i AS prediction_no, x.mode AS mode, x.expected_iou AS expected_iou, x.disposition AS disposition FROM pred WHERE x IS NOT NULL
+""",
+    "p3_components": """
+WITH r AS (SELECT auto_mask_id, arg_min(settings, ingested_at) AS s FROM auto_mask_records GROUP BY auto_mask_id),
+pred AS (SELECT auto_mask_id, unnest(s.candidate_predictions) AS x, (generate_subscripts(s.candidate_predictions, 1) - 1)::INT AS i FROM r),
+comp AS (SELECT auto_mask_id, i, unnest(x.components) AS c, (generate_subscripts(x.components, 1) - 1)::INT AS j FROM pred)
+SELECT auto_mask_id, i AS prediction_no, j AS component_no, c.area AS area, c.box_xyxy AS box_xyxy FROM comp WHERE c IS NOT NULL
+""",
+    "p3_sub_boxes": """
+WITH r AS (SELECT auto_mask_id, arg_min(settings, ingested_at) AS s FROM auto_mask_records GROUP BY auto_mask_id),
+box AS (SELECT auto_mask_id, unnest(s.qwen_sub_boxes_xyxy) AS x, (generate_subscripts(s.qwen_sub_boxes_xyxy, 1) - 1)::INT AS i FROM r)
+SELECT auto_mask_id, i AS box_no, x AS box_xyxy FROM box WHERE x IS NOT NULL
+""",
+    "p3_variants": """
+WITH r AS (SELECT auto_mask_id, arg_min(mask_variant_paths, ingested_at) AS v, arg_min(mask_variant_overlay_paths, ingested_at) AS o FROM auto_mask_records GROUP BY auto_mask_id),
+variant AS (SELECT DISTINCT auto_mask_id, v, o, unnest(list_concat(coalesce(map_keys(v), []), coalesce(map_keys(o), []))) AS k FROM r)
+SELECT auto_mask_id, k AS variant, v[k] AS mask_path, o[k] AS overlay_path FROM variant
 """,
 }

@@ -4,7 +4,17 @@ import json
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tesserae.operators.flatten import AUTO_MASK_CHILDREN, candidate_table, linked_rows, shred
+from tesserae.operators.flatten import (
+    AUTO_MASK_CHILDREN,
+    candidate_table,
+    component_table,
+    linked_rows,
+    prediction_table,
+    reason_table,
+    shred,
+    sub_box_table,
+    variant_table,
+)
 from tesserae.operators.json_index import JsonIndex
 
 LEAF = st.none() | st.booleans() | st.integers(-99, 99) | st.text(alphabet='ab"\\{}[]:, \n\té', max_size=6)
@@ -63,6 +73,22 @@ def test_children_keep_their_keys(spark):
     assert table["a"].score == 0.5 and table["b"].mask_area == 3 and table["b"].score is None and table['d"\\'].refined_path == "p"
 
 
+def test_children_keep_their_values(spark):
+    schema = SCHEMA.replace("struct<mode: string, components", "struct<mode: string, expected_iou: double, disposition: string, components")
+    full = (
+        None, {"b": (3, 0.1, 1, ["low", None, 'say "x"\\é'])}, None, None,
+        [("a", 0.25, "keep", [(7, [0, 1, 2, 3]), None, (None, None)]), None, (None, None, None, None)], [[1, 2, None, 4], None, []],
+    )
+    rows = [(1, "x", "y", full, {"soft": None, "hard": "m"}, {"soft": "o", "top": None}, dt.datetime(2024, 1, 1))]
+    parts = shred(spark.createDataFrame(rows, schema), "auto_mask_id", ["settings", "mask_variant_paths", "mask_variant_overlay_paths"], AUTO_MASK_CHILDREN)
+    of = lambda table: sorted((tuple(r) for r in table(parts).collect()), key=lambda r: r[:3])
+    assert of(reason_table) == [(1, "b", 0, "low"), (1, "b", 2, 'say "x"\\é')]
+    assert of(prediction_table) == [(1, 0, "a", 0.25, "keep"), (1, 2, None, None, None)]
+    assert of(component_table) == [(1, 0, 0, 7, [0, 1, 2, 3]), (1, 0, 2, None, None)]
+    assert of(sub_box_table) == [(1, 0, [1, 2, None, 4]), (1, 2, [])]
+    assert sorted(tuple(r) for r in variant_table(parts).collect()) == [(1, "hard", "m", None), (1, "soft", None, "o"), (1, "top", None, None)]
+
+
 def test_empty_table(spark):
     parts = shred(spark.createDataFrame([], SCHEMA), "auto_mask_id", ["settings", "mask_variant_paths"], AUTO_MASK_CHILDREN)
     assert linked_rows(parts).count() == 0
