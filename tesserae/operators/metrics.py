@@ -110,7 +110,7 @@ def best_threshold(sweep: DataFrame, weight: float, target: float, least_rate: f
     return rows.orderBy(F.col("satisfied").desc(), F.col("objective").desc(), F.col("dice").desc(), F.round(F.abs(F.col("rate") - target), 9), "threshold").limit(1)
 
 
-def bootstrap_interval(df: DataFrame, group: str, value: str, tie: str, rounds: int = 200, seed: str = "boot-1") -> DataFrame:
+def bootstrap_interval(df: DataFrame, group: str, value: str, tie: str, rounds: int = 1000, seed: str = "boot-1") -> DataFrame:
     """(mean, low, high): 95 % interval of the mean of group means, groups and rows redrawn.
 
     Hash-indexed: draw number i of a round takes the row its hash names, so

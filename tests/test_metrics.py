@@ -60,6 +60,12 @@ def test_bootstrap_covers_the_mean(spark):
     assert M.bootstrap_interval(df, "g", "v", "n", 100).first() == row
 
 
+def test_bootstrap_takes_a_thousand_rounds(spark):
+    df = spark.createDataFrame([(f"g{i % 4}", float(i * 7 % 31), i) for i in range(60)], "g string, v double, n int")
+    row = M.bootstrap_interval(df, "g", "v", "n").first()
+    assert row == M.bootstrap_interval(df, "g", "v", "n", 1000).first() != M.bootstrap_interval(df, "g", "v", "n", 200).first()
+
+
 def test_neighbours_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(V, "BLOCK_VECTORS", 30)
     x = np.random.default_rng(0).normal(size=(120, 5))
