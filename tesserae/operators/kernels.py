@@ -112,6 +112,49 @@ def patch_features(x: np.ndarray, size: int = 4, stride: int = 2) -> np.ndarray:
     return np.stack([p.mean(-1), p.std(-1), p.min(-1), p.max(-1), py.mean(-1), px.mean(-1), np.hypot(py, px).mean(-1)], axis=-1)
 
 
+def periodicity(mask: np.ndarray) -> float:
+    """Share of the strongest frequency in the mask's projection on its longer side; 0 below eight places or without change."""
+    line = mask.mean(axis=1 if mask.shape[0] >= mask.shape[1] else 0)
+    if line.size < 8 or line.std() < 1e-6:
+        return 0.0
+    spectrum = np.abs(np.fft.rfft(line - line.mean()))
+    return float(np.clip(spectrum[1:].max() / max(1e-6, spectrum[1:].sum()), 0.0, 1.0)) if spectrum.size > 2 else 0.0
+
+
+def mask_measurements(mask: np.ndarray, score: np.ndarray, count: int) -> dict[str, float]:
+    """The measurements of a proposal of ``count`` components that need only its mask and the fused score."""
+    ys, xs = np.nonzero(mask)
+    h, w = int(np.ptp(ys)) + 1, int(np.ptp(xs)) + 1
+    area, inside = len(ys), float(score[mask].mean())
+    return {
+        "evidence_coverage": inside, "normal_contrast": inside - (float(score[~mask].mean()) if area < mask.size else 0.0),
+        "component_count": float(count), "area_fraction": area / mask.size, "compactness": area / (h * w), "elongation": max(w / h, h / w),
+        "boundary_contact": float(np.mean([mask[0].any(), mask[-1].any(), mask[:, 0].any(), mask[:, -1].any()])), "periodicity_disruption": periodicity(mask),
+    }
+
+
+def generic_proposals(score: np.ndarray, quantiles: tuple[float, ...] = (0.85, 0.90, 0.95, 0.975), min_area: int = 8, least: float = 0.05) -> list[tuple[str, np.ndarray, dict[str, float]]]:
+    """(mode, mask, measurements) of one image: per quantile the whole mask and its four largest components, each mask once.
+
+    Components below ``min_area`` are removed; no threshold is below ``least``.
+    """
+    out, seen = [], set()
+    finite = score[np.isfinite(score)]
+    for q in quantiles:
+        raw = score >= max(least, float(np.quantile(finite, q)) if finite.size else 1.0)
+        label = components(raw[None], True)[0]
+        names, sizes = np.unique(label[label >= 0], return_counts=True)
+        names, sizes = names[sizes >= min_area], sizes[sizes >= min_area]
+        mode = f"fused_q{round(q * 1000):03d}"
+        parts = [(f"{mode}_component_{i + 1}", label == names[k], 1) for i, k in enumerate(np.argsort(-sizes, kind="stable")[:4])]
+        for name, mask, count in [(mode, np.isin(label, names), len(names)), *parts]:
+            key = np.packbits(mask).tobytes()
+            if mask.any() and key not in seen:
+                seen.add(key)
+                out.append((name, mask, mask_measurements(mask, score, count)))
+    return out
+
+
 def aupro(score: np.ndarray, truth: np.ndarray, limit: float = 0.3) -> np.ndarray:
     """Mean overlap per true component against false positives up to ``limit``, over 101 thresholds; NaN without either class.
 

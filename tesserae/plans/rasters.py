@@ -286,22 +286,17 @@ def patch_features(spark, sf_dir):
 
 @query()
 def generic_proposals(spark, sf_dir):
-    """Per image and quantile threshold the four largest areas with their measurements."""
+    """Per image and quantile threshold the whole mask and its four largest areas, each mask once, with their measurements.
+
+    An 8 x 8 raster has areas of few cells, so none is too small.
+    """
+    names = ("evidence_coverage", "normal_contrast", "component_count", "area_fraction", "compactness", "elongation", "boundary_contact", "periodicity_disruption")
 
     def run(ids, s):
-        out = []
-        for q in (0.80, 0.90, 0.95):
-            mask = s >= np.quantile(s, q, axis=(1, 2), keepdims=True)
-            label = K.components(mask, True).reshape(len(s), -1)
-            flat = s.reshape(len(s), -1)
-            i, at = np.nonzero(label >= 0)
-            rows = pd.DataFrame({"id": ids[i], "label": label[i, at], "v": flat[i, at]}).groupby(["id", "label"], as_index=False).agg(area=("v", "size"), mean=("v", "mean"))
-            rows = rows.sort_values(["id", "area", "label"], ascending=[True, False, True]).groupby("id").head(4)
-            ground = pd.Series(flat.mean(1), index=ids)
-            out.append(rows.assign(quantile=q, contrast=np.round(rows["mean"] - rows["id"].map(ground), 6), area_fraction=rows["area"] / flat.shape[1]))
-        return pd.concat(out)[["id", "quantile", "label", "area", "area_fraction", "contrast"]]
-
-    return G.map_rasters(images(spark, sf_dir), run, "id bigint, quantile double, label int, area bigint, area_fraction double, contrast double")
+        rows = [(i, mode, int(mask.sum()), *(round(m[n], 6) for n in names)) for i, image in zip(ids, s) for mode, mask, m in K.generic_proposals(image, min_area=1)]
+        return pd.DataFrame(rows, columns=["id", "mode", "area", *names])
+
+    return G.map_rasters(images(spark, sf_dir), run, "id bigint, mode string, area bigint, " + ", ".join(f"{n} double" for n in names))
 
 
 @query()

@@ -128,3 +128,15 @@ def test_rasters_of_odd_shape_are_left_out(spark):
     out = map_rasters(df, lambda ids, s: pd.DataFrame({"id": ids, "total": s.sum((1, 2))}), "id long, total double")
     assert {r.id: r.total for r in out.collect()} == {1: 6.0, 4: 6.0}
     assert spark.range(1).select(soft_entropy(F.array(F.lit(0.0), F.lit(1.0)))).first()[0] == 0.0
+
+
+def test_generic_proposals_are_whole():
+    score = np.zeros((20, 20))
+    score[2:8, 3:9], score[12:15, 10:14], score[18, 18] = 0.9, 0.6, 0.95
+    got = {mode: (mask, m) for mode, mask, m in K.generic_proposals(score)}
+    assert list(got) == ["fused_q850", "fused_q850_component_1", "fused_q850_component_2"]
+    mask, m = got["fused_q850"]
+    assert mask.sum() == 48 and m["component_count"] == 2 and m["area_fraction"] == 0.12 and m["boundary_contact"] == 0
+    mask, m = got["fused_q850_component_2"]
+    assert (mask.sum(), m["compactness"], round(m["elongation"], 6), round(m["evidence_coverage"], 6)) == (12, 1.0, 1.333333, 0.6)
+    assert any(mode.startswith("fused_q975") for mode, _, _ in K.generic_proposals(np.arange(400.0).reshape(20, 20) / 400))
