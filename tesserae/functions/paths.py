@@ -15,7 +15,9 @@ _EDGE_SPACE = r"^[\s\u00A0\uFEFF\u200B]+|[\s\u00A0\uFEFF\u200B]+$"
 
 # One SQL text instead of some sixty Column calls: building it costs one call,
 # and transform(array(x), v -> ...)[0] names a value that is computed once.
+# A name that is its own place already (most are) is told by a scan without any rewriting.
 _FILE_KEY = r"""
+CASE WHEN {value} RLIKE r'^{top_dirs}/[A-Za-z0-9_./ -]*[A-Za-z0-9_]$' AND NOT contains({value}, '//') AND NOT contains({value}, '/.') THEN {value} ELSE
 transform(array(regexp_replace({value}, r'{edge}', '')), t -> CASE WHEN lower(t) NOT IN ({stand_ins}) THEN
   nullif(regexp_replace(transform(array(
     regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(
@@ -28,7 +30,7 @@ transform(array(regexp_replace({value}, r'{edge}', '')), t -> CASE WHEN lower(t)
     ELSE p END
   ), q -> CASE WHEN t RLIKE r'^(?i:file:|[a-z]:[\\/])|^[\\/]' THEN regexp_replace(q, r'^/.*?(?<=/)(?={top_dirs}/)', '') ELSE q END)[0])[0],
   r'^/+', ''), '')
-END)[0]
+END)[0] END
 """
 
 

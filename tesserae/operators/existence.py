@@ -4,8 +4,11 @@ Lives (start inclusive, end exclusive) and questions (key, time) are laid on
 one time line per key. A key may hold a third of all rows on either side, so
 the line is cut into days: one aggregation gives every (key, day) its net
 change, a window over those few rows carries the count into each day, and the
-running count itself is only taken within a day. No pair of a question and a
-life is ever formed, so many lives per key cost no more than few.
+running count itself is only taken within a day. A day of a key with more than
+``HOT_QUESTIONS`` questions (a bulk load that names one file) is cut further:
+its questions are spread over parts by hash, each with all changes of the day.
+No pair of a question and a life is ever formed, so many lives per key cost no
+more than few.
 """
 
 from __future__ import annotations
@@ -13,6 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.session import broadcast_if_small, cut
+
+#: Questions about one key on one day up to which one task answers them.
+HOT_QUESTIONS = 500_000
+
 
 def live_events(lives: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """(key, at, change): +1 when a life starts and -1 when it ends.
@@ -41,6 +49,31 @@ def _bucket(at: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(at.cast("timestamp")) / seconds)
 
 
+def _cell(key: Column, bucket: Column) -> Column:
+    return F.xxhash64(key, bucket)
+
+
+def _hot_cells(questions: DataFrame, seconds: int) -> DataFrame | None:
+    """(cell, parts) of days of a key with too many questions for one task, counted; None if there are none.
+
+    A cell is known by a hash; should two share one, both are cut, which changes no answer.
+    """
+    ending = F.coalesce("at", F.to_timestamp(F.lit(_LAST)).cast(questions.schema["at"].dataType))
+    cells = questions.groupBy(_cell(F.col("key"), _bucket(ending, seconds)).alias("cell")).agg(F.count("*").alias("n"))
+    cells = cut(cells.filter(F.col("n") > HOT_QUESTIONS).select("cell", F.ceil(F.col("n") / HOT_QUESTIONS).cast("int").alias("parts")))
+    count = cells.count()
+    return broadcast_if_small(cells, count) if count else None
+
+
+def _in_parts(rows: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """``rows`` with ``part``: questions of a hot cell by hash, its changes in every part."""
+    if hot is None:
+        return rows.withColumn("part", F.lit(0))
+    known = rows.withColumn("cell", _cell(F.col("key"), F.col("bucket"))).join(hot, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.array(F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"))
+    return known.withColumn("part", F.explode(F.when(F.col("q").isNotNull(), own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))).drop("cell", "parts")
+
+
 def alive_counts(questions: DataFrame, events: DataFrame, payload: list[str], bucket_seconds: int = 86_400) -> DataFrame:
     """``questions`` (key, at, *payload) with ``alive``: lives that hold at ``at``.
 
@@ -48,6 +81,7 @@ def alive_counts(questions: DataFrame, events: DataFrame, payload: list[str], bu
     a null time counts every life its key ever had, whenever that was.
     """
     bundle = F.struct(*payload)
+    hot = _hot_cells(questions, bucket_seconds)
     ending = F.coalesce("at", F.to_timestamp(F.lit(_LAST)).cast(questions.schema["at"].dataType))
     asked = questions.select("key", ending.alias("at"), F.lit(0).alias("change"), F.struct(F.col("at").isNull().alias("ever"), bundle.alias("p")).alias("q"))
     nothing = F.lit(None).cast(asked.schema["q"].dataType)
@@ -63,11 +97,11 @@ def alive_counts(questions: DataFrame, events: DataFrame, payload: list[str], bu
         .select("key", F.lit(None).cast(line.schema["at"].dataType).alias("at"), F.col("carry").cast("int").alias("change"), nothing.alias("q"), "born", "bucket")
     )
     run = (
-        Window.partitionBy("key", "bucket")
+        Window.partitionBy("key", "bucket", "part")
         .orderBy(F.col("at").asc_nulls_first(), F.col("q").isNotNull())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    counted = line.unionByName(carried)
+    counted = _in_parts(line.unionByName(carried), hot)
     alive = F.when(F.col("q.ever"), F.sum("born").over(run)).otherwise(F.sum("change").over(run))
     counted = counted.withColumn("alive", alive).filter(F.col("q").isNotNull())
     return counted.select("key", F.when(~F.col("q.ever"), F.col("at")).alias("at"), "q.p.*", "alive")

@@ -1,6 +1,9 @@
 import datetime as dt
 import random
 
+import pytest
+
+from tesserae.operators import existence
 from tesserae.operators.existence import alive_counts, live_events
 from tesserae.operators.orphans import RecordTable, cascade_orphans, orphan_report
 
@@ -23,6 +26,19 @@ def test_running_count_equals_brute_force(spark):
         assert got[n] == want
 
 
+def test_hot_days_are_cut_into_parts(spark, monkeypatch):
+    lives = [("hot", at(1), at(30), 1), ("hot", at(26), at(28), 1), ("cold", at(2), None, 1)]
+    asked = [("hot", at(27 if i % 3 else 29), i) for i in range(300)] + [("hot", at(i % 40), 300 + i) for i in range(80)] + [("cold", at(1), 900), ("hot", None, 901)]
+    events = live_events(spark.createDataFrame(lives, LIVES), "rel_path", "registered_at", "deleted_at")
+    questions = spark.createDataFrame(asked, "key string, at timestamp, n int")
+    monkeypatch.setattr(existence, "HOT_QUESTIONS", 10)
+    cut_up = sorted((r.n, r.alive) for r in alive_counts(questions, events, ["n"]).collect())
+    monkeypatch.setattr(existence, "HOT_QUESTIONS", 1000)
+    assert cut_up == sorted((r.n, r.alive) for r in alive_counts(questions, events, ["n"]).collect())
+    known = dict(cut_up)
+    assert len(cut_up) == 382 and known[1] == 2 and known[0] == 1 and known[900] == 0 and known[901] == 2
+
+
 GRAPH = (
     RecordTable("masks", "mask_id", ("mask_path",), ("refined",), ()),
     RecordTable("images", "image_id", ("source",), ("output",), ("base",)),
@@ -62,3 +78,23 @@ def test_direct_and_inherited(spark):
 def test_empty_tables(spark):
     found = cascade_orphans(_tables(spark, [], []), spark.createDataFrame([], LIVES), GRAPH)
     assert found.count() == 0
+
+
+def _chain(spark, length):
+    images = [(i, "data/s.png" if i else "data/none.png", f"outputs/c{i}.png", f"outputs/c{i - 1}.png" if i else None, at(10), "z", 1) for i in range(length)]
+    return _tables(spark, [], images), spark.createDataFrame([("data/s.png", at(0), None, 0)], LIVES)
+
+
+def test_a_chain_is_followed_to_its_end_or_refused(spark):
+    tables, inventory = _chain(spark, 8)
+    assert sorted((r.record_id, r.depth) for r in cascade_orphans(tables, inventory, GRAPH).collect()) == [(i, i) for i in range(8)]
+    assert cascade_orphans(tables, inventory, GRAPH, max_rounds=8).count() == 8
+    with pytest.raises(RuntimeError):
+        cascade_orphans(tables, inventory, GRAPH, max_rounds=3)
+
+
+def test_records_without_id_stay_apart(spark):
+    images = [(None, "data/none.png", "outputs/a.png", None, at(1), "z", 1), (None, "data/none.png", "outputs/b.png", None, at(2), "z", 1),
+              (None, "data/none.png", "outputs/b.png", None, at(2), "z", 1), (None, "data/s.png", None, "outputs/b.png", at(3), "z", 1)]
+    found = cascade_orphans(_tables(spark, [], images), spark.createDataFrame([("data/s.png", at(0), None, 0)], LIVES), GRAPH)
+    assert sorted((r.field_name, r.kind) for r in found.collect()) == [("base", "inherited"), ("source", "direct"), ("source", "direct")]

@@ -18,7 +18,8 @@ CASES = {
     "/srv/lab/x/data_old/a.png": "data_old/a.png",
     "data/50%.png": "data/50%.png",
     "data/a+b.png": "data/a+b.png",
-    "data/A/B.PNG": "data/A/B.PNG",
+    "data/A/B.PNG": "data/A/B.PNG", "data/lot 7/b.png": "data/lot 7/b.png", "data/a/../b.png": "data/b.png", "data/a/.": "data/a/", "data": "data",
+    "data/.hidden.png": "data/.hidden.png",
     "outputs/data/b.png": "outputs/data/b.png",
     "/elsewhere/b.png": "elsewhere/b.png",
     "": None, "   ": None, "-": None, "N/A": None, "unknown": None, "None": None, None: None,
