@@ -1,20 +1,25 @@
 """Drifting JSON records read into one table, and what changed from file to file.
 
-Rescue-column ingestion: every readable line is enforced against a target
-schema. Fields that are unknown, or whose value will not take the target type,
-are kept as JSON in ``_rescued``. Names approved for promotion are then
-replayed: their rescued values move into the typed columns they belong to.
-The same pass notes each field's JSON type, from which the file-to-file
-changes are found.
+Rescue-column ingestion: ``line_fields`` reads every line once into its fields
+with their JSON types and values. From these the file-to-file changes are
+found, renames among them (``schema_changes``); names that were renamed from
+or to a target field are promoted to further spellings of it
+(``promoted_names``); and ``ingest`` enforces the target schema: fields that
+are unknown, or whose value will not take the target type, are kept as JSON in
+``_rescued``, and rescued values of promoted names are replayed into the typed
+columns they belong to.
 
 Defined cases: lines that are null, empty, damaged or no JSON object are
 ignored; of a repeated key the last value counts; a settings string that is no
-JSON object is an unknown value of ``settings``; an empty table gives empty
-results; lines without feed or file number are read but have no changes.
+JSON object is an unknown value of ``settings``; an unknown field that is null
+is kept as such; an object or array is no value of a text column; an empty
+table gives empty results; lines without feed or file number are read but have
+no changes.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,64 +48,70 @@ INNER = {"region_xyxy": ("xyxy",), "settings.target_bbox_xyxy": ("xyxy",)}
 #: Numbers of one run of files that are put in order by one task.
 RUN_FILES = 4096
 
+#: Pairs of renamed fields, counted over all feeds, that names are promoted from.
+MAX_PAIRS = 100_000
+
 #: Least likeness of contents for a field that goes and one that comes to be one.
 SAME_CONTENT = 0.8
+#: Least likeness if besides no word that all values of one have is missing from the other: few values of a kind vary by chance.
+LIKE_CONTENT = 0.6
+#: Share of values from which on a word counts as one that all have.
+ALL_VALUES = 0.95
 
 
 def _object(text: str) -> str:
     """SQL: the members of a text that is exactly one JSON object, else null."""
-    whole = f"try_cast(try_parse_json(concat('[', {text}, ']')) AS array<variant>)"
-    return f"CASE WHEN size({whole}) = 1 AND rtrim({text}) LIKE '%}}' THEN try_cast(get({whole}, 0) AS map<string,variant>) END"
+    whole = f"transform(array(try_cast(try_parse_json(concat('[', {text}, ']')) AS array<variant>)), "
+    return whole + f"w -> CASE WHEN size(w) = 1 AND rtrim({text}) LIKE '%}}' THEN try_cast(get(w, 0) AS map<string,variant>) END)[0]"
 
 
 def allow_repeated_keys(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
+#: SQL: JSON type of the JSON text ``j``; null for a null.
+_KIND = (
+    "CASE left(j, 1) WHEN '{' THEN 'object' WHEN '[' THEN 'array' WHEN '\"' THEN 'string' WHEN 't' THEN 'boolean' WHEN 'f' THEN 'boolean' "
+    "WHEN 'n' THEN NULL ELSE 'number' END"
+)
+
+
 def line_fields(lines: DataFrame, *keep: str) -> DataFrame:
     """(*keep, fields): per readable line an array of (name, kind, value as JSON).
 
     ``kind`` is string, number, boolean, array or object, null for a JSON null.
+    A line is parsed once: what an explode gives out is not computed again.
     """
     allow_repeated_keys(lines.sparkSession)
-    inner = (
-        "CASE WHEN map_contains_key(m, 'settings') THEN coalesce(try_cast(m['settings'] AS map<string,variant>), "
-        + _object("try_cast(m['settings'] AS string)")
-        + ") END"
-    )
-    kind = (
-        "CASE WHEN s = 'VOID' THEN NULL WHEN s LIKE 'ARRAY%' THEN 'array' WHEN s LIKE 'OBJECT%' THEN 'object' "
-        "WHEN s = 'STRING' THEN 'string' WHEN s = 'BOOLEAN' THEN 'boolean' ELSE 'number' END"
-    )
-    entry = (
-        "e -> named_struct('name', concat({prefix}, e.key), 'kind', transform(array(schema_of_variant(e.value)), s -> " + kind + ")[0], 'value', to_json(e.value))"
-    )
-    rows = lines.select(*keep, F.expr(_object("payload")).alias("m")).filter("m is not null").withColumn("inner", F.expr(inner))
-    top = "transform(map_entries(m), " + entry.format(prefix="''") + ")"
-    nested = "coalesce(transform(map_entries(inner), " + entry.format(prefix="'settings.'") + "), array())"
-    return rows.select(*keep, F.expr(f"concat({top}, {nested})").alias("fields"))
+    rows = lines.select(*keep, F.expr(f"explode(filter(array({_object('payload')}), m -> m IS NOT NULL))").alias("m"))
+    entry = "transform(map_entries(MAP), e -> transform(array(to_json(e.value)), j -> struct(concat('PREFIX', e.key) AS name, " + _KIND + " AS kind, j AS value))[0])"
+    inner = "CASE WHEN map_contains_key(m, 'settings') THEN coalesce(try_cast(m['settings'] AS map<string,variant>), " + _object("try_cast(m['settings'] AS string)") + ") END"
+    top, low = entry.replace("MAP", "m").replace("PREFIX", ""), entry.replace("MAP", "i").replace("PREFIX", "settings.")
+    return rows.select(*keep, F.expr(f"explode(array(concat({top}, transform(array({inner}), i -> coalesce({low}, array()))[0])))").alias("fields"))
 
 
 def ingest(lines: DataFrame, record_type: str, renames: dict[str, str] | None = None) -> DataFrame:
     """One typed row per readable line of a record type, with ``_rescued``.
 
-    ``renames`` are the approved names: old or new spelling -> target field.
-    Dots in target names become underscores.
+    ``renames``: further spelling -> target field. Dots in target names become
+    underscores.
     """
     target = TARGETS[record_type]
     keep = ["line_id", "feed_id", "file_no", "line_no"]
     rows = line_fields(lines.filter(F.col("record_type") == record_type), *keep)
     named = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["name"], f["value"])))
-    rows = rows.select(*keep, named.alias("json"))
+    rows = rows.select(*keep, F.explode(F.array(named)).alias("json"))
     aliases: dict[str, list[str]] = {f: [f] for f in target}
     for written, field in (renames or {}).items():
-        aliases[field].append(written)
+        if field in aliases and written not in target:
+            aliases[field].append(written)
     chosen = {field: _chosen({name: F.col("json")[name] for name in aliases[field]}, kind, INNER.get(field, ())) for field, kind in target.items()}
     out = rows.select(*keep, "json", *[c.alias(f"__{field}") for field, c in chosen.items()])
     parts = [F.col(f"`__{field}`") for field in target]
     taken = F.array_compact(F.array(*[p["name"] for p in parts]))
-    left = F.map_filter("json", lambda k, v: ~F.array_contains(F.col("taken"), k) & (k != "settings") & (v != "null"))
-    lone = F.map_filter("json", lambda k, v: (k == "settings") & ~v.startswith("{") & ~v.startswith('"{'))
+    known = F.array(*[F.lit(n) for names in aliases.values() for n in names])
+    left = F.map_filter("json", lambda k, v: ~F.array_contains(F.col("taken"), k) & (k != "settings") & ((v != "null") | ~F.array_contains(known, k)))
+    lone = F.map_filter("json", lambda k, v: (k == "settings") & ~v.startswith("{") & ~v.startswith('"{') & (v != "null"))
     rests = F.map_from_entries(F.filter(F.array(*[F.struct(p["name"], p["rest"]) for p in parts]), lambda e: e["rest"].isNotNull()))
     out = out.withColumn("taken", taken)
     rescued = F.when((F.size(left) + F.size(lone) + F.size(rests)) > 0, F.to_json(F.map_concat(left, lone, rests)))
@@ -115,31 +126,35 @@ def _chosen(values: dict[str, Column], kind: str, inner: tuple[str, ...]) -> Col
     opened; ``rest`` has, as JSON, what of the wrapping is not in ``typed``.
     An array of which an element would be lost is not taken.
     """
+    nothing = F.lit(None).cast("string")
     options = []
     for name, value in values.items():
-        nothing = F.lit(None).cast("string")
-        ways = [(F.when(value.startswith("{"), F.get_json_object(value, f"$.{m}")), _without(value, m)) for m in ("value", *inner)]
-        whole = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
+        members = F.when(value.startswith("{"), F.try_parse_json(value).try_cast("map<string,variant>"))
+        ways = [(value, nothing)]
+        for m in ("value", *inner):
+            ways.append((F.to_json(members[m]), _others(members, m)))
         if not kind.startswith("array"):
-            ways.append((F.when(value.startswith("[") & (F.json_array_length(value) == 1), F.get_json_object(value, "$[0]")), nothing))
-            whole = F.when(~value.startswith("["), whole)
-        ways.append((whole, nothing))
-        options += [F.struct(F.lit(name).alias("name"), _cast(text, kind).alias("typed"), rest.alias("rest")) for text, rest in ways]
-    return F.get(F.filter(F.array(*options), lambda o: o["typed"].isNotNull()), F.lit(0))
+            lone = F.when(value.startswith("[") & (F.json_array_length(value) == 1), F.try_parse_json(value).try_cast("array<variant>"))
+            ways.append((F.to_json(F.get(lone, F.lit(0))), nothing))
+        for text, rest in ways:
+            typed = _cast(text, kind)
+            options.append(F.when(typed.isNotNull(), F.struct(F.lit(name).alias("name"), typed.alias("typed"), rest.alias("rest"))))
+    return F.coalesce(*options)
 
 
-def _without(value: Column, member: str) -> Column:
-    """The other members of a JSON object, null if there are none."""
-    members = F.try_parse_json(value).try_cast("map<string,variant>")
-    return F.when(value.startswith("{"), F.nullif(F.to_json(F.map_filter(members, lambda k, v: k != member), {"ignoreNullFields": "false"}), F.lit("{}")))
+def _others(members: Column, member: str) -> Column:
+    """The other members as JSON, null if there are none."""
+    return F.nullif(F.to_json(F.map_filter(members, lambda k, v: k != member), {"ignoreNullFields": "false"}), F.lit("{}"))
 
 
 def _cast(text: Column, kind: str) -> Column:
+    """A JSON text as a value of the type, null if it is none."""
     if kind.startswith("array"):
         cast, each = F.from_json(text, kind), F.from_json(text, "array<string>")
         lost = F.exists(F.arrays_zip(cast.alias("a"), each.alias("b")), lambda p: p["a"].isNull() & p["b"].isNotNull())
-        return F.when(~lost, cast)
-    return text if kind == "string" else text.try_cast(kind)
+        return F.when(text.startswith("[") & ~lost, cast)
+    plain = F.when(~text.startswith("{") & ~text.startswith("["), F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v"))
+    return plain if kind == "string" else plain.try_cast(kind)
 
 
 def field_inventory(lines: DataFrame) -> DataFrame:
@@ -147,8 +162,8 @@ def field_inventory(lines: DataFrame) -> DataFrame:
 
     Should a file mix types, the commonest counts, then the first by name.
     """
-    each = line_fields(lines, "feed_id", "file_no").select("feed_id", "file_no", F.explode("fields").alias("f"))
-    each = each.filter("feed_id is not null and file_no is not null")
+    placed = lines.filter("feed_id is not null and file_no is not null")
+    each = line_fields(placed, "feed_id", "file_no").select("feed_id", "file_no", F.explode("fields").alias("f"))
     kinds = each.groupBy("feed_id", "file_no", F.col("f.name").alias("field_name"), F.col("f.kind").alias("kind")).agg(F.count("*").alias("n"))
     best = F.min(F.when(F.col("kind").isNotNull(), F.struct((-F.col("n")).alias("rank"), "kind")))["kind"]
     return kinds.groupBy("feed_id", "file_no", "field_name").agg(best.alias("kind"), F.sum("n").alias("n"))
@@ -192,9 +207,11 @@ def content_profile(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     counts as itself, as its number of decimals and as its size in powers of ten.
     ``weight`` is the share of the field's values that have the token.
     """
-    each = line_fields(lines, "feed_id", "file_no").select("feed_id", "file_no", F.explode("fields").alias("f"))
-    each = each.select("feed_id", "file_no", F.col("f.name").alias("field_name"), F.col("f.value").alias("value")).filter("value <> 'null'")
-    each = each.join(wanted, ["feed_id", "file_no", "field_name"], "left_semi")
+    # only files with a wanted field are read again, and only wanted fields go on
+    files = wanted.groupBy("feed_id", "file_no").agg(F.collect_set("field_name").alias("names"))
+    each = line_fields(lines.join(files, ["feed_id", "file_no"]), "feed_id", "file_no", "names")
+    asked = F.filter("fields", lambda f: F.array_contains(F.col("names"), f["name"]) & (f["value"] != "null"))
+    each = each.select("feed_id", "file_no", F.explode(asked).alias("f")).select("feed_id", "file_no", F.col("f.name").alias("field_name"), F.col("f.value").alias("value"))
     opened = F.expr(
         "coalesce(CASE WHEN value LIKE '{%' THEN get_json_object(value, '$.value') END, "
         "CASE WHEN value LIKE '[%' AND get_json_object(value, '$[1]') IS NULL THEN get_json_object(value, '$[0]') END, "
@@ -218,7 +235,7 @@ def content_profile(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return counted.withColumn("weight", F.col("c") / total).filter("token <> ''").drop("c")
 
 
-def schema_changes(lines: DataFrame, same_content: float = SAME_CONTENT) -> DataFrame:
+def schema_changes(lines: DataFrame, same_content: float = SAME_CONTENT, like_content: float = LIKE_CONTENT) -> DataFrame:
     """(feed_id, file_no, change_kind, field_name, old_name) against the preceding file."""
     inventory = cut(field_inventory(lines))
     inventory = _with_known_kind(inventory)
@@ -236,7 +253,7 @@ def schema_changes(lines: DataFrame, same_content: float = SAME_CONTENT) -> Data
     changed = both.withColumn("change_kind", kind).filter("change_kind is not null").select("feed_id", "file_no", "field_name", "change_kind", "before")
     changed = cut(changed)
 
-    pairs = cut(_renames(lines, changed, same_content))
+    pairs = cut(_renames(lines, changed, same_content, like_content))
     gone = pairs.select("feed_id", "file_no", F.explode(F.array(F.struct(F.lit("added").alias("change_kind"), F.col("field_name")),
                                                                 F.struct(F.lit("removed").alias("change_kind"), F.col("old_name").alias("field_name")))).alias("g"))
     plain = changed.join(gone.select("feed_id", "file_no", "g.*"), ["feed_id", "file_no", "change_kind", "field_name"], "left_anti")
@@ -245,7 +262,7 @@ def schema_changes(lines: DataFrame, same_content: float = SAME_CONTENT) -> Data
     return plain.unionByName(renamed)
 
 
-def _renames(lines: DataFrame, changed: DataFrame, same_content: float) -> DataFrame:
+def _renames(lines: DataFrame, changed: DataFrame, same_content: float, like_content: float) -> DataFrame:
     """(feed_id, file_no, field_name, old_name): pairs alike in content, best first, each name once."""
     level = F.when(F.col("field_name").startswith("settings."), "inner").otherwise("top")
     came = changed.filter("change_kind = 'added'").select("feed_id", "file_no", "field_name", level.alias("level"))
@@ -255,13 +272,22 @@ def _renames(lines: DataFrame, changed: DataFrame, same_content: float) -> DataF
     went = went.join(came.select(*step).distinct(), step, "left_semi")
     wanted = came.select("feed_id", "file_no", "field_name").unionByName(went.select("feed_id", F.col("before").alias("file_no"), "field_name"))
     profile = content_profile(lines, wanted.distinct())
-    norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("feed_id", "file_no", "field_name")))
-    profile = profile.withColumn("unit", F.col("weight") / norm).drop("weight")
-    new = came.join(profile, ["feed_id", "file_no", "field_name"]).withColumnRenamed("unit", "unit_new")
+    field = Window.partitionBy("feed_id", "file_no", "field_name")
+    common = (F.col("weight") >= ALL_VALUES).cast("int")
+    profile = profile.select(
+        "feed_id", "file_no", "field_name", "token", (F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(field))).alias("unit"),
+        common.alias("common"), F.sum(common).over(field).alias("commons"),
+    )
+    sides = ["unit", "common", "commons"]
+    new = came.join(profile, ["feed_id", "file_no", "field_name"]).withColumnsRenamed({c: f"{c}_new" for c in sides})
     old = went.join(profile.withColumnRenamed("file_no", "before"), ["feed_id", "before", "field_name"])
-    old = old.select(*step, F.col("field_name").alias("old_name"), "token", F.col("unit").alias("unit_old"))
-    like = new.join(old, [*step, "token"]).groupBy("feed_id", "file_no", "field_name", "old_name").agg(F.sum(F.col("unit_new") * F.col("unit_old")).alias("like"))
-    like = like.filter(F.col("like") >= same_content).withColumn("order", F.struct((-F.round("like", 6)).alias("d"), "field_name", "old_name"))
+    old = old.select(*step, F.col("field_name").alias("old_name"), "token", *[F.col(c).alias(f"{c}_old") for c in sides])
+    at_one = lambda c: F.sum(f"common_{c}") == F.first(f"commons_{c}")
+    like = new.join(old, [*step, "token"]).groupBy("feed_id", "file_no", "field_name", "old_name").agg(
+        F.sum(F.col("unit_new") * F.col("unit_old")).alias("like"), (at_one("new") & at_one("old")).alias("at_one")
+    )
+    like = like.filter((F.col("like") >= same_content) | (F.col("at_one") & (F.col("like") >= like_content))).drop("at_one")
+    like = like.withColumn("order", F.struct((-F.round("like", 6)).alias("d"), "field_name", "old_name"))
     like = cut(like)
     # the best pair of both names is taken; what is then still free is matched again
     taken, free = [], like
@@ -277,3 +303,38 @@ def _renames(lines: DataFrame, changed: DataFrame, same_content: float) -> DataF
             )
         )
     return reduce(DataFrame.unionByName, taken, like.select("feed_id", "file_no", "field_name", "old_name").limit(0))
+
+
+def promoted_names(lines: DataFrame, changes: DataFrame) -> dict[str, dict[str, str]]:
+    """Per record type: further spelling -> target field, from the renames that were found.
+
+    A name stands for the target field it was most often renamed from or to,
+    over names already promoted if need be; of equal ones the first by name. Only
+    counts per pair of names come to the driver, which must name every column of
+    a schema anyway; more than ``MAX_PAIRS`` of them are an error.
+    """
+    feeds = lines.select("feed_id", "record_type").distinct()
+    pairs = changes.filter("change_kind = 'renamed'").join(feeds, "feed_id").groupBy("record_type", "field_name", "old_name").agg(F.count("*").alias("n"))
+    rows = pairs.limit(MAX_PAIRS + 1).collect()
+    if len(rows) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of renamed fields")
+    found: dict[str, dict[str, str]] = {}
+    for kind, target in TARGETS.items():
+        links: dict[str, Counter[str]] = {}
+        for r in rows:
+            if r["record_type"] == kind:
+                for a, b in ((r["field_name"], r["old_name"]), (r["old_name"], r["field_name"])):
+                    links.setdefault(a, Counter())[b] += r["n"]
+        stands = {t: t for t in target}
+        while True:
+            votes = {a: Counter() for a in links if a not in stands}
+            for a, own in votes.items():
+                for b, n in links[a].items():
+                    if b in stands:
+                        own[stands[b]] += n
+            new = {a: min(own, key=lambda t: (-own[t], t)) for a, own in votes.items() if own}
+            if not new:
+                break
+            stands |= new
+        found[kind] = {a: t for a, t in sorted(stands.items()) if a != t}
+    return found

@@ -17,8 +17,8 @@ from tesserae.operators.flatten import (
     variant_table,
 )
 from tesserae.operators.orphans import TABLES, cascade_orphans, orphan_report
-from tesserae.operators.rescue import ingest, schema_changes
-from tesserae.session import table
+from tesserae.operators.rescue import ingest, promoted_names, schema_changes
+from tesserae.session import cut, table
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(table(spark, sf_dir, "raw_record_lines"))
 
 
-#: Names approved as further spellings of target fields, as seen in p6_found.
+#: Names approved by hand as further spellings of target fields; they go before what the renames of the data say.
 APPROVED = {
     "auto_mask": {
         "evalMaskPath": "eval_mask_path", "eval_mask_file": "eval_mask_path", "evaluation_mask_path": "eval_mask_path", "mask_eval": "eval_mask_path",
@@ -99,14 +99,20 @@ APPROVED = {
 }
 
 
+def _typed(spark: SparkSession, sf_dir: str, record_type: str) -> DataFrame:
+    lines = table(spark, sf_dir, "raw_record_lines")
+    found = promoted_names(lines, cut(schema_changes(lines)))[record_type]
+    return ingest(lines, record_type, {**found, **APPROVED[record_type]})
+
+
 def p6_auto_mask_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All readable auto-mask lines in one typed table."""
-    return ingest(table(spark, sf_dir, "raw_record_lines"), "auto_mask", APPROVED["auto_mask"])
+    return _typed(spark, sf_dir, "auto_mask")
 
 
 def p6_generation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All readable generation lines in one typed table."""
-    return ingest(table(spark, sf_dir, "raw_record_lines"), "generation", APPROVED["generation"])
+    return _typed(spark, sf_dir, "generation")
 
 
 QUERIES = {

@@ -1,6 +1,6 @@
 import json
 
-from tesserae.operators.rescue import ingest, schema_changes
+from tesserae.operators.rescue import ingest, promoted_names, schema_changes
 
 LINES = "line_id long, feed_id long, record_type string, file_no int, line_no int, payload string, m string, inner string"
 
@@ -40,6 +40,15 @@ def test_unlike_content_is_no_rename(spark):
     assert sorted(r.change_kind for r in got) == ["added", "added", "removed", "removed"]
 
 
+def test_few_values_of_a_kind_vary_by_chance(spark):
+    def rows(name, values, path, kind):
+        return [{name: v, path: f"outputs/{kind}/x{i}.png"} for i, v in enumerate(values)]
+
+    files = {(1, 1): rows("mode", ["random", "random", "random", "surface"], "eval_path", "eval"), (1, 2): rows("placement", ["surface", "random", "surface", "random"], "unc_path", "unc")}
+    got = {(r.change_kind, r.field_name, r.old_name) for r in schema_changes(_lines(spark, files)).collect()}
+    assert got == {("renamed", "placement", "mode"), ("added", "unc_path", ""), ("removed", "eval_path", "")}
+
+
 def test_rescued_and_replayed(spark):
     rows = [
         {"category": "c", "latency_sec": "2.5", "seed": 7, "elapsed": 9.5, "settings": {"steps": "20", "odd": [1, {"a": None}]}},
@@ -75,10 +84,37 @@ def test_what_a_cast_leaves_stays_rescued(spark):
     kept = {n: {k: json.loads(v) for k, v in json.loads(r._rescued).items()} for n, r in got.items()}
     assert (got[0].model, got[0].output_path, got[0].seed, got[0].category) == ("m", None, None, "c")
     assert kept[0] == {"model": {"checked": False, "by": None}, "output_path": ["a", "b"], "seed": [3, 4]}
-    assert got[1].model == "m" and got[1].settings_target_bbox_xyxy is None and kept[1] == {"seed": [], "settings.target_bbox_xyxy": [1, 2.5, 3, 4]}
+    assert got[1].model == "m" and got[1].settings_target_bbox_xyxy is None and kept[1] == {"seed": [], "output_path": [["a", "b"]], "settings.target_bbox_xyxy": [1, 2.5, 3, 4]}
     assert got[2].settings_target_bbox_xyxy == [1, None] and kept[2] == {"settings.bbox": {"value": [1, 2, 3, 4], "checked": True}}
 
 
 def test_empty_table(spark):
     lines = _lines(spark, {(1, 1): []})
     assert schema_changes(lines).count() == 0 and ingest(lines, "auto_mask").count() == 0
+
+
+def test_nothing_is_lost_in_a_cast(spark):
+    rows = [
+        {"confidence": [0.5, 0.9], "category": ["a", "b"]},
+        {"confidence": {"value": 0.3, "unit": "pct"}, "region_xyxy": {"value": [1, 2], "frame": "px"}},
+        {"category": {"a": 1, "b": 2}, "image_path": {"value": {"a": 1}}, "odd": None, "mask_path": None, "settings": None},
+        {"category": [{"a": 1}], "image_path": "{}", "defect_type": True, "seed": [7]},
+    ]
+    got = {r.line_no: r for r in ingest(_lines(spark, {(1, 1): rows}, "auto_mask"), "auto_mask").collect()}
+    kept = {n: {k: json.loads(v) for k, v in json.loads(r._rescued).items()} if r._rescued else None for n, r in got.items()}
+    assert got[0].confidence is None and got[0].category is None and kept[0] == {"confidence": [0.5, 0.9], "category": ["a", "b"]}
+    assert (got[1].confidence, got[1].region_xyxy) == (0.3, [1, 2]) and kept[1] == {"confidence": {"unit": "pct"}, "region_xyxy": {"frame": "px"}}
+    assert got[2].category is None and kept[2] == {"category": {"a": 1, "b": 2}, "image_path": {"value": {"a": 1}}, "odd": None}
+    assert (got[3].image_path, got[3].defect_type, got[3].seed) == ("{}", "true", 7) and kept[3] == {"category": [{"a": 1}]}
+
+
+def test_names_are_promoted_by_the_renames_found(spark):
+    def rows(name, n=4):
+        return [{"seed": i, name: _path(i, "eval")} for i in range(n)]
+
+    files = {(1, 1): rows("eval_mask_path"), (1, 2): rows("evalPath"), (1, 3): rows("ep"), (2, 1): rows("ep"), (2, 2): rows("other") + [{"junk": None}]}
+    lines = _lines(spark, files, "auto_mask")
+    names = promoted_names(lines, schema_changes(lines))
+    assert names == {"auto_mask": {"ep": "eval_mask_path", "evalPath": "eval_mask_path", "other": "eval_mask_path"}, "generation": {}}
+    table = ingest(lines, "auto_mask", names["auto_mask"])
+    assert table.filter("eval_mask_path is not null and _rescued is null").count() == 20 and table.count() == 21
