@@ -1,11 +1,13 @@
 """Mixing sources to target weights, in tokens.
 
 Method: Sainte-Laguë apportionment. The total is cut into blocks of equal
-tokens. Sources get whole blocks by the highest quotients of their shares;
-within a source, shards of its documents get whole blocks the same way by the
-tokens they hold. In each shard documents stand in a seeded order, which the
-blocks cut into stretches; the shard's quota takes all stretches as often as
-it has full rounds and the first ones once more, starting at a seeded block.
+tokens, ``RESOLUTION`` per source and never less than a token. Sources get
+whole blocks by the highest quotients of their shares; within a source, groups
+of shards and then the shards of each group get blocks of their source's
+tokens the same way by the tokens they hold. In each shard documents stand in
+a seeded order; its quota takes all of them as often as it has full rounds,
+and for the rest those that fit, one after another from a seeded block on,
+and last the one that comes closest to what is left.
 
 The total is the largest for which no source must exceed ``max_repeat``,
 unless a smaller one is asked for. Targets without any token can not be met;
@@ -15,7 +17,7 @@ Defined cases: sources without a target are not used; a null source is none;
 null and empty texts have no tokens and are never chosen; a target that is
 null or not positive, or a repeat below one, gives the source nothing; rows
 without id are left out; of repeated ids one is used; empty tables give an
-empty result.
+empty result; more than ``MAX_TARGETS`` sources that hold tokens are an error.
 """
 
 from __future__ import annotations
@@ -23,15 +25,18 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.session import broadcast_if_small, cut
 
-BLOCK_TOKENS = 2048
-#: Documents of a source per shard, about.
+#: Blocks a total is cut into, per part it goes to.
+RESOLUTION = 1000
+#: Documents of a source per shard, about, and shards per group of shards.
 SHARD_DOCS = 20_000
+GROUP_SHARDS = 1000
 #: Sources with a target; the table of targets is the user's and small.
 MAX_TARGETS = 100_000
 
@@ -56,8 +61,44 @@ def sainte_lague(shares: list[float], seats: int, caps: list[int] | None = None)
     return won
 
 
-def _stretch(value: Column) -> Column:
-    return F.floor(value / BLOCK_TOKENS)
+def apportion(quota: int, weights: list[float], caps: list[int]) -> list[int]:
+    """``quota`` tokens to parts in equal blocks by Sainte-Laguë, none above its cap."""
+    if quota <= 0 or not weights:
+        return [0] * len(weights)
+    block = max(1, quota // (RESOLUTION * len(weights)))
+    return [n * block for n in sainte_lague(weights, quota // block, [c // block for c in caps])]
+
+
+def choose(sizes: np.ndarray, quota: int, first: int) -> np.ndarray:
+    """How often each document is used so that the tokens come to about ``quota``."""
+    whole = int(sizes.sum())
+    rounds, left = divmod(quota, whole)
+    again = np.zeros(len(sizes), np.int64)
+    if left:
+        start = int(np.searchsorted(np.cumsum(sizes), first, side="right")) if first else 0
+        for i in np.r_[start : len(sizes), 0:start]:
+            if sizes[i] <= left:
+                again[i] = 1
+                left -= int(sizes[i])
+        free = np.flatnonzero(again == 0)
+        if left and len(free):
+            near = free[np.argmin(np.abs(sizes[free] - left))]
+            if abs(int(sizes[near]) - left) < left:
+                again[near] = 1
+    return rounds + again
+
+
+def _apportioned(parts: DataFrame, keys: list[str], part: str) -> DataFrame:
+    """``parts`` (keys, part, tokens, quota, max_repeat) with the quota of all their rows shared out per group of keys."""
+
+    def share(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(part, ignore_index=True)
+        tokens = [int(t) for t in group["tokens"]]
+        won = apportion(int(group["quota"].iloc[0]), [float(t) for t in tokens], [t * int(r) for t, r in zip(tokens, group["max_repeat"])])
+        return group[[*keys, part]].assign(quota=won)
+
+    types = dict(parts.dtypes)
+    return parts.groupBy(*keys).applyInPandas(share, ", ".join(f"{c} {types[c]}" for c in [*keys, part]) + ", quota bigint")
 
 
 def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: str = "mix-1") -> DataFrame:
@@ -67,54 +108,43 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total_tokens: int | None =
     """
     sizes = sizes.select("id", "source", "n_tokens").filter("id is not null and source is not null and n_tokens > 0").dropDuplicates(["id"])
     wanted = targets.select("source", "target_share", "max_repeat").filter("source is not null and target_share > 0 and max_repeat >= 1").dropDuplicates(["source"])
-    held = cut(sizes.join(F.broadcast(wanted.select("source")), "source", "left_semi"))
-    # at most one row per target comes to the driver
+    held = cut(sizes.join(wanted.select("source"), "source", "left_semi"))
+    # one row per target comes to the driver, and not more than the bound
     stock = held.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")).join(wanted, "source")
-    plan = stock.orderBy("source").limit(MAX_TARGETS).collect()
+    plan = sorted(stock.limit(MAX_TARGETS + 1).collect(), key=lambda r: r["source"])
+    if len(plan) > MAX_TARGETS:
+        raise ValueError(f"more than {MAX_TARGETS} sources with a target")
     if not plan:
         return held.select("id", "source", "n_tokens", F.lit(0).alias("repeats")).limit(0)
-    whole = sum(float(r["target_share"]) for r in plan)
-    most = min(int(r["max_repeat"]) * int(r["tokens"]) * whole / float(r["target_share"]) for r in plan)
-    total = most if total_tokens is None else min(most, total_tokens)
-    caps = [int(r["max_repeat"]) * int(r["tokens"]) // BLOCK_TOKENS for r in plan]
-    blocks = sainte_lague([float(r["target_share"]) for r in plan], int(total // BLOCK_TOKENS), caps)
+    shares, most = [float(r["target_share"]) for r in plan], [int(r["max_repeat"]) * int(r["tokens"]) for r in plan]
+    total = min(int(m * (sum(shares) / s)) for m, s in zip(most, shares))
+    total = total if total_tokens is None else min(total, total_tokens)
+    won = apportion(total, shares, most)
     quota = held.sparkSession.createDataFrame(
-        pd.DataFrame(
-            {
-                "source": [r["source"] for r in plan],
-                "shards": [max(1, math.ceil(r["docs"] / SHARD_DOCS)) for r in plan],
-                "blocks": [int(b) for b in blocks],
-                "max_repeat": [int(r["max_repeat"]) for r in plan],
-            }
-        ),
-        "source string, shards int, blocks bigint, max_repeat int",
+        [(r["source"], max(1, math.ceil(r["docs"] / SHARD_DOCS)), w, int(r["max_repeat"])) for r, w in zip(plan, won)], "source string, shards int, quota bigint, max_repeat int"
     )
+    quota = broadcast_if_small(quota, len(plan))
     spot = lambda *c: F.xxhash64(F.lit(seed), *c)
-    docs = held.join(F.broadcast(quota), "source").withColumn("shard", F.pmod(spot("id"), F.col("shards")).cast("int"))
-    docs = cut(docs.select("id", "source", "n_tokens", "shard", "blocks", "max_repeat"))
-
-    # blocks per shard by the same apportionment, a few rows per shard of a source at a time
-    shards = docs.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens"), F.first("blocks").alias("blocks"), F.first("max_repeat").alias("max_repeat"))
-
-    def spread(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("shard", ignore_index=True)
-        most = [int(t) * int(r) // BLOCK_TOKENS for t, r in zip(group["tokens"], group["max_repeat"])]
-        won = sainte_lague([float(t) for t in group["tokens"]], int(group["blocks"].iloc[0]), most)
-        return pd.DataFrame({"source": group["source"], "shard": group["shard"], "tokens_in": group["tokens"], "quota": won})
-
-    won = cut(shards.groupBy("source").applyInPandas(spread, "source string, shard int, tokens_in bigint, quota bigint"))
-    placed = docs.join(broadcast_if_small(won, sum(max(1, math.ceil(r["docs"] / SHARD_DOCS)) for r in plan)), ["source", "shard"])
-    # a seeded first block: documents are laid out from there, around the end and back
-    run = Window.partitionBy("source", "shard").orderBy(spot("id", F.lit("order")), "id")
-    placed = placed.withColumn("stop", F.sum("n_tokens").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    middle = F.col("stop") - F.col("n_tokens") / 2
-    begin = F.pmod(spot("source", "shard"), F.greatest(F.lit(1), _stretch(F.col("tokens_in")))) * F.lit(BLOCK_TOKENS)
-    middle = F.pmod(middle - begin, F.col("tokens_in").cast("double"))
-    budget = F.col("quota") * F.lit(BLOCK_TOKENS)
-    rounds = F.floor(budget / F.col("tokens_in"))
-    again = F.when(middle < F.pmod(budget, F.col("tokens_in")), 1).otherwise(0)
-    repeats = F.least(rounds + again, F.col("max_repeat")).cast("int")
-    return placed.select("id", "source", "n_tokens", repeats.alias("repeats")).filter("repeats > 0")
+    docs = held.join(quota.select("source", "shards"), "source").withColumn("shard", F.pmod(spot("id"), F.col("shards")).cast("int"))
+    docs = docs.select("id", "source", "n_tokens", "shard")
+
+    shards = cut(docs.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).withColumn("grp", F.floor(F.col("shard") / GROUP_SHARDS).cast("int")))
+    groups = shards.groupBy("source", "grp").agg(F.sum("tokens").alias("tokens")).join(quota.drop("shards"), "source")
+    groups = _apportioned(groups, ["source"], "grp")
+    shards = shards.join(groups, ["source", "grp"]).join(quota.select("source", "max_repeat"), "source")
+    shards = cut(_apportioned(shards, ["source", "grp"], "shard").select("source", "shard", "quota"))
+    count = sum(max(1, math.ceil(r["docs"] / SHARD_DOCS)) for r in plan)
+    placed = docs.join(broadcast_if_small(shards, count), ["source", "shard"])
+    placed = placed.select("*", spot("id", F.lit("order")).alias("spot"), spot("source", "shard").alias("first"))
+
+    def pick(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["spot", "id"], ignore_index=True)
+        tokens = group["n_tokens"].to_numpy(np.int64)
+        group["repeats"] = choose(tokens, int(group["quota"].iloc[0]), int(group["first"].iloc[0]) % int(tokens.sum()))
+        return group.loc[group["repeats"] > 0, ["id", "source", "n_tokens", "repeats"]]
+
+    types = dict(held.dtypes)
+    return placed.groupBy("source", "shard").applyInPandas(pick, f"id {types['id']}, source string, n_tokens {types['n_tokens']}, repeats int")
 
 
 def mix_report(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:

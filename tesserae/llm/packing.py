@@ -3,10 +3,11 @@
 Method: hierarchical residual packing. Items are spread over partitions of a
 bounded number of items; each packs best-fit, largest first, and emits the
 containers that are nearly full. Underfull containers become items themselves
-and meet others in fewer partitions, round after round, until a round closes
-nothing more or one partition is left. Containers only ever merge whole, so a
-text is never cut unless it is larger than a container; then it becomes full
-pieces and one rest.
+and meet others in fewer partitions, round after round, until one partition
+has packed all that is left or no two of them fit into one container, which a
+round that merges nothing shows or the two smallest do. Containers only ever
+merge whole, so a text is never cut unless it is larger than a container; then
+it becomes full pieces and one rest.
 
 Defined cases: an empty or null text has size 0 and goes to a container of its
 partition all the same; of equal sizes the earlier row goes first; rows without
@@ -27,7 +28,9 @@ from tesserae.session import cut
 
 CAPACITY = 2048
 #: Items one task packs at a time.
-PARTITION_ITEMS = 50_000
+PARTITION_ITEMS = 8192
+#: A container's number has seven bits for its round.
+MAX_ROUNDS = 127
 #: Free room up to which a container is closed, as a share of the capacity.
 NEARLY_FULL = 1 / 128
 
@@ -73,47 +76,57 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _round(items: DataFrame, capacity: int, partitions: int, number: int) -> DataFrame:
-    """(item, size, bin, fill): every item with its container of this round."""
+    """``items`` with the container of this round (``bin``) and its ``fill``."""
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("item", ignore_index=True)
         local = best_fit(group["size"].to_numpy(), capacity)
         fill = np.bincount(local, group["size"], minlength=1).astype(np.int64)
         part = int(group["part"].iloc[0])
-        bins = (number << 56) | (part << 28) | local
-        return pd.DataFrame({"item": group["item"], "size": group["size"], "bin": bins, "fill": fill[local].astype(np.int32)})
+        return group.drop(columns="part").assign(bin=(number << 56) | (part << 28) | local, fill=fill[local].astype(np.int32))
 
     part = F.pmod(F.xxhash64("item", F.lit(number)), F.lit(partitions)).cast("int")
-    return items.withColumn("part", part).groupBy("part").applyInPandas(pack, "item bigint, size int, bin bigint, fill int")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", bin bigint, fill int"
+    return items.withColumn("part", part).groupBy("part").applyInPandas(pack, schema)
 
 
-def pack_items(pieces: DataFrame, capacity: int = CAPACITY, max_rounds: int = 12) -> DataFrame:
+def pack_items(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (id, piece_no, token_start, n_tokens) with ``container_id``."""
     if capacity >= 1 << 28:
         raise ValueError("capacity must be below 2**28")
-    pieces = cut(pieces)
-    full = pieces.filter(F.col("n_tokens") == capacity)
-    rest = pieces.filter(F.col("n_tokens") < capacity)
+    columns = ["id", "piece_no", "token_start", "n_tokens"]
     # numbered on the materialised pieces: unique even for repeated ids, and the same whenever a task is run again
-    keyed = cut(rest.select("*", F.monotonically_increasing_id().alias("item")))
-    items = keyed.select("item", F.col("n_tokens").alias("size"))
+    pieces = cut(pieces).select(*columns, F.monotonically_increasing_id().alias("item"))
     limit = capacity - max(1, int(capacity * NEARLY_FULL))
-    links, count = [], items.count()
-    for number in range(1, max_rounds + 1):
+    items = pieces.filter(F.col("n_tokens") < capacity).withColumn("size", F.col("n_tokens"))
+    rounds, count = [], items.count()
+    while True:
+        if len(rounds) == MAX_ROUNDS:
+            raise RuntimeError(f"containers still merge after {MAX_ROUNDS} rounds")
         partitions = max(1, math.ceil(count / PARTITION_ITEMS))
-        done = cut(_round(items, capacity, partitions, number))
-        links.append(done.select("item", "bin"))
-        items = done.filter(F.col("fill") < limit).groupBy(F.col("bin").alias("item")).agg(F.first("fill").alias("size"))
-        before, count = count, items.count()
-        if partitions == 1 or count == 0 or (number > 1 and count > 0.98 * before):
+        done = cut(_round(items, capacity, partitions, len(rounds) + 1))
+        rounds.append(done)
+        items = cut(done.filter(F.col("fill") < limit).groupBy(F.col("bin").alias("item")).agg(F.first("fill").alias("size"), F.count("*").alias("held")))
+        left = items.agg(F.count("*").alias("bins"), F.coalesce(F.sum("held"), F.lit(0)).alias("held")).first()
+        least = [r["size"] for r in items.select("size").orderBy("size").limit(2).collect()]
+        merged = left["held"] < count or left["bins"] < left["held"]
+        if partitions == 1 or len(least) < 2 or sum(least) > capacity or not merged:
             break
-    placed = keyed.select("id", "piece_no", "token_start", "n_tokens", F.col("item").alias("at"))
-    for link in links:
-        placed = placed.join(link.withColumnRenamed("item", "at"), "at", "left").withColumn("at", F.coalesce("bin", "at")).drop("bin")
-    own = full.select("id", "piece_no", "token_start", "n_tokens", (-1 - F.monotonically_increasing_id()).alias("at"))
-    return placed.select("id", "piece_no", "token_start", "n_tokens", F.col("at").alias("container_id")).unionByName(
-        own.select("id", "piece_no", "token_start", "n_tokens", F.col("at").alias("container_id"))
-    )
+        items, count = items.drop("held"), left["bins"]
+    placed = rounds[0].select(*columns, F.col("bin").alias("at"))
+    # rounds after the first only hold underfull containers: their links are joined with one another, and once with the items
+    onward = None
+    for done in reversed(rounds[1:]):
+        step = done.select(F.col("item").alias("at"), "bin")
+        if onward is not None:
+            step = step.join(onward.select(F.col("at").alias("bin"), "final"), "bin", "left").select("at", F.coalesce("final", "bin").alias("final"))
+        else:
+            step = step.withColumnRenamed("bin", "final")
+        onward = step
+    if onward is not None:
+        placed = placed.join(onward, "at", "left").select(*columns, F.coalesce("final", "at").alias("at"))
+    own = pieces.filter(F.col("n_tokens") >= capacity).select(*columns, (-1 - F.col("item")).alias("at"))
+    return placed.unionByName(own).withColumnRenamed("at", "container_id")
 
 
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

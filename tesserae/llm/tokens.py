@@ -2,8 +2,8 @@
 
 The vocabulary file is a parameter; every executor must reach it under that
 path. A text is counted in pieces cut where no token can cross, so a very long
-one needs little more memory than a short one; only a run of 100,000 characters
-without such a place is cut where it stands, which may count a token twice.
+one needs little more memory than a short one; a run without such a place is
+one piece, however long.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How such vocabularies cut a text into words before merging bytes.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE_CHARS = 50_000
+_PLACE = re.compile(r"(?<=\w) (?=\w)")
 
 
 @lru_cache(2)
@@ -37,10 +38,11 @@ def pieces(text: str) -> Iterator[str]:
     """``text`` in parts before a space that follows a letter or digit, where no token crosses."""
     start = 0
     while len(text) - start > PIECE_CHARS:
-        cut = next((m.start() for m in re.finditer(r"(?<=\w) (?=\w)", text[start + PIECE_CHARS : start + 2 * PIECE_CHARS])), None)
-        stop = start + PIECE_CHARS + cut if cut is not None else min(len(text), start + 2 * PIECE_CHARS)
-        yield text[start:stop]
-        start = stop
+        place = _PLACE.search(text, start + PIECE_CHARS)
+        if place is None:
+            break
+        yield text[start : place.start()]
+        start = place.start()
     yield text[start:]
 
 

@@ -46,6 +46,17 @@ def test_large_items_do_not_stop_the_rounds(spark, monkeypatch):
     assert len({r.container_id for r in _pack(spark, [(i, 1500) for i in range(400)])}) == 400
 
 
+def test_rounds_go_on_until_nothing_fits(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PARTITION_ITEMS", 40)
+    rnd = random.Random(9)
+    got = _pack(spark, [(i, rnd.choice([900, 1100, 1300, 700])) for i in range(600)])
+    fill = {}
+    for r in got:
+        fill[r.container_id] = fill.get(r.container_id, 0) + r.n_tokens
+    assert len(got) == 600 and max(fill.values()) <= 2048
+    assert sum(f <= 1024 for f in fill.values()) <= 1
+
+
 def test_pack_nothing(spark):
     assert _pack(spark, []) == [] and _pack(spark, [(None, 5)]) == []
     report = packing.packing_report(packing.pack_items(packing.split_large(spark.createDataFrame([], "id long, n_tokens long")))).first()
@@ -85,6 +96,26 @@ def test_shares_are_met_within_the_repeats(spark, monkeypatch):
     assert 40_000 < smaller <= 56_000
 
 
+def test_tiny_and_lumpy_sources_are_served(spark):
+    docs = [(i, "big", 500) for i in range(2000)] + [(9000, "tiny", 2000), (9001, "tiny", 0), (9100, "lumpy", 40_000), (9101, "lumpy", 300), (9102, "lumpy", 9_000)]
+    sizes = spark.createDataFrame(docs, "id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("big", 0.68, 1), ("tiny", 0.02, 3), ("lumpy", 0.3, 2)], "source string, target_share double, max_repeat int")
+    mixed = mixing.mix_sources(sizes, targets)
+    rows = {r.source: r for r in mixing.mix_report(mixed, sizes, targets).collect()}
+    assert abs(rows["tiny"].actual_share - 0.02) < 0.001 and abs(rows["lumpy"].actual_share - 0.3) < 0.03 and abs(rows["big"].actual_share - 0.68) < 0.03
+    assert rows["tiny"].most_repeats <= 3 and rows["lumpy"].most_repeats <= 2 and rows["big"].most_repeats <= 1
+    alone = mixing.mix_sources(sizes.filter("source <> 'lumpy'"), spark.createDataFrame([("big", 0.98, 1), ("tiny", 0.02, 1)], targets.schema))
+    assert alone.filter("source = 'tiny'").first().repeats == 1
+
+
+def test_too_many_targets_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_TARGETS", 2)
+    sizes = spark.createDataFrame([(i, "abc"[i % 3], 5) for i in range(9)], "id long, source string, n_tokens long")
+    targets = spark.createDataFrame([(s, 0.3, 1) for s in "abc"], "source string, target_share double, max_repeat int")
+    with pytest.raises(ValueError):
+        mixing.mix_sources(sizes, targets)
+
+
 def test_mix_nothing(spark):
     sizes = spark.createDataFrame([], "id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeat int")
@@ -97,7 +128,9 @@ def test_pieces_count_like_the_whole():
     text = " ".join("".join(rnd.choice("abcdefgäñ1") for _ in range(rnd.randint(1, 9))) for _ in range(40_000))
     assert len(text) > 3 * PIECE_CHARS and "".join(pieces(text)) == text
     assert count_tokens(text) == len(encoding(VOCABULARY).encode_ordinary(text))
-    assert count_tokens(None) == count_tokens("") == 0 and count_tokens("a" * 250_000) > 0
+    assert count_tokens(None) == count_tokens("") == 0
+    run = "abcdefgh-" * 30_000  # no place to cut
+    assert count_tokens(run) == len(encoding(VOCABULARY).encode_ordinary(run)) and list(pieces(run)) == [run]
 
 
 @pytest.mark.parametrize("text", ["\x00�", "<|endoftext|>", "🙂" * 1000])
