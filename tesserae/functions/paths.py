@@ -17,7 +17,7 @@ _EDGE_SPACE = r"^[\s\u00A0\uFEFF\u200B]+|[\s\u00A0\uFEFF\u200B]+$"
 # and transform(array(x), v -> ...)[0] names a value that is computed once.
 # A name that is its own place already (most are) is told by a scan without any rewriting.
 _FILE_KEY = r"""
-CASE WHEN {value} RLIKE r'^{top_dirs}/[A-Za-z0-9_./ -]*[A-Za-z0-9_]$' AND NOT contains({value}, '//') AND NOT contains({value}, '/.') THEN {value} ELSE
+CASE WHEN {value} RLIKE r'^{top_dirs}/[A-Za-z0-9_./ -]*[A-Za-z0-9_]\z' AND NOT contains({value}, '//') AND NOT contains({value}, '/.') THEN {value} ELSE
 transform(array(regexp_replace({value}, r'{edge}', '')), t -> CASE WHEN lower(t) NOT IN ({stand_ins}) THEN
   nullif(regexp_replace(transform(array(
     regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(
@@ -55,7 +55,7 @@ def trimmed(value: Column) -> Column:
 
 def file_name(value: Column) -> Column:
     """Last segment of a path in either slash notation."""
-    return F.regexp_extract(value, r"([^/\\]*)$", 1)
+    return F.substring_index(F.translate(value, "\\", "/"), "/", -1)
 
 
 def file_stem(value: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master == "local" or sc.master.startswith("local["):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-ckpt-"))
+        own = tempfile.mkdtemp(prefix="tesserae-ckpt-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(own)
     else:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
@@ -37,6 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``cut`` that nothing will read again."""
+    for df in tables:
+        rdd = df._jdf.queryExecution().logical().rdd()
+        kept = rdd.getCheckpointFile()
+        if kept.isDefined():
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(kept.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

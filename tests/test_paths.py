@@ -6,6 +6,7 @@ from tesserae.functions.paths import file_key, file_name, file_stem, file_suffix
 CASES = {
     "data/a/b.png": "data/a/b.png",
     "  data/a/b.png\t": "data/a/b.png",
+    "data/a/c.png\n": "data/a/c.png", "\ndata/a/c.png": "data/a/c.png",
     "./data/a/b.png": "data/a/b.png",
     "../../data/a/b.png": "data/a/b.png",
     "/mnt/lab/data/a/b.png": "data/a/b.png",
