@@ -278,6 +278,7 @@ def _renames(lines: DataFrame, changed: DataFrame, same_content: float, like_con
         "feed_id", "file_no", "field_name", "token", (F.col("weight") / F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(field))).alias("unit"),
         common.alias("common"), F.sum(common).over(field).alias("commons"),
     )
+    profile = cut(profile)  # it stands on both sides of the pairs
     sides = ["unit", "common", "commons"]
     new = came.join(profile, ["feed_id", "file_no", "field_name"]).withColumnsRenamed({c: f"{c}_new" for c in sides})
     old = went.join(profile.withColumnRenamed("file_no", "before"), ["feed_id", "before", "field_name"])
