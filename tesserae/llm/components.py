@@ -2,10 +2,12 @@
 
 Method: a star per entity (every record points at the entity's smallest
 record), then large-star and small-star steps in turn until the edges rest.
-Every step takes a minimum per node and joins it back; both are salted, so a
-node or entity with a third of all rows is spread over many tasks. Edges live
-in the shared checkpoint folder between rounds; only two numbers per round
-reach the driver.
+Every step takes a minimum per node, of which map-side partials leave a row per
+task, and joins it back; nodes with more than ``HOT`` rows, which are few by
+that count, get theirs by broadcast and their rows are spread by hash, so an
+entity with a third of all rows is no single task. Edges live in the shared
+checkpoint folder between rounds, and only the last round's; two numbers per
+round reach the driver.
 
 Defined cases: records without id are left out; null entities link nothing;
 repeated rows change nothing; an empty table gives an empty result.
@@ -13,42 +15,42 @@ repeated rows change nothing; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.session import cut
+from tesserae.session import cut, release
 
-SALTS = 64
+#: Rows of one node from which on it is hot; at most total / HOT nodes are.
+HOT = 1_000_000
+SALTS = 1024
 
 
-def with_group_min(df: DataFrame, key: str, value: str, salts: int = SALTS) -> DataFrame:
-    """``df`` (key, value) with ``least``, the smallest value of the key.
-
-    Partial minima per (key, salt) come first; at most ``salts`` rows per key
-    meet in the second step, and the join back runs on (key, salt).
-    """
-    salted = df.withColumn("salt", F.pmod(F.xxhash64(value), F.lit(salts)))
-    part = salted.groupBy(key, "salt").agg(F.min(value).alias("part"))
-    full = part.withColumn("least", F.min("part").over(Window.partitionBy(key))).drop("part")
-    return salted.join(full, [key, "salt"]).drop("salt")
+def with_group_min(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``df`` with ``least``, the smallest ``value`` of the keys."""
+    least = df.groupBy(*keys).agg(F.min(value).alias("least"), F.count("*").alias("n"))
+    hot = least.filter(F.col("n") > HOT).select(*keys, F.col("least").alias("hot_least"))
+    spread = F.when(F.col("hot_least").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(value), F.lit(SALTS))).cast("int")
+    known = df.join(F.broadcast(hot), keys, "left").withColumn("salt", spread)
+    cold = least.select(*keys, "least", F.lit(0).alias("salt"))
+    return known.join(cold, [*keys, "salt"], "left").withColumn("least", F.coalesce("hot_least", "least")).drop("salt", "hot_least")
 
 
 def entity_edges(members: DataFrame) -> DataFrame:
-    """(u, v) with u > v from ``members`` (entity, id): a star per entity."""
-    starred = with_group_min(members, "entity", "id")
+    """(u, v) with u > v from ``members`` (entity columns, id): a star per entity."""
+    starred = with_group_min(members, [c for c in members.columns if c != "id"], "id")
     return starred.filter(F.col("id") > F.col("least")).select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
 
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of each node move to the least node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = with_group_min(both, "u", "v").withColumn("least", F.least("u", "least"))
+    least = with_group_min(both, ["u"], "v").withColumn("least", F.least("u", "least"))
     return least.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("least").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the least of these."""
-    least = with_group_min(edges, "u", "v")
+    least = with_group_min(edges, ["u"], "v")
     moved = F.explode(F.array("u", "v")).alias("u")
     return least.select(moved, F.col("least").alias("v")).filter(F.col("u") > F.col("v"))
 
@@ -63,11 +65,15 @@ def components(members: DataFrame, max_rounds: int = 60) -> DataFrame:
     ``members``: (entity, id). Rounds grow with the logarithm of the longest
     chain; not coming to rest within ``max_rounds`` is an error, not a result.
     """
-    members = members.filter(F.col("entity").isNotNull() & F.col("id").isNotNull()).select("entity", "id")
+    members = members.filter(F.col("entity").isNotNull() & F.col("id").isNotNull())
+    # entities are named by 128 bits, far shorter than what they stand for, and worked out once
+    members = cut(members.select("id", F.xxhash64("entity").alias("e1"), F.xxhash64(F.lit("e2"), "entity").alias("e2")))
     edges = cut(entity_edges(members))
+    release(members)
     state = _state(edges)
     for _ in range(max_rounds):
-        edges = cut(small_star(large_star(edges)).distinct())
+        before, edges = edges, cut(small_star(large_star(edges)).distinct())
+        release(before)
         last, state = state, _state(edges)
         if state == last:
             break
@@ -97,3 +103,17 @@ def split_together(records: DataFrame, id_column: str, entities: list[Column], s
     ids = records.select(F.col(id_column).alias("id")).filter("id is not null").distinct()
     whole = ids.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     return whole.withColumn("split", split_of(F.col("component"), shares))
+
+
+def split_report(splits: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Per split: records, components, the share asked for and the actual one, and the largest component."""
+    sizes = splits.groupBy("split", "component").agg(F.count("*").alias("n"))
+    per = sizes.groupBy("split").agg(F.sum("n").alias("n_records"), F.count("*").alias("n_components"), F.max("n").alias("largest_component"))
+    asked = splits.sparkSession.createDataFrame([(k, v / sum(shares.values())) for k, v in shares.items()], "split string, asked_share double")
+    whole = per.agg(F.sum("n_records").alias("whole"))
+    rows = asked.join(per, "split", "left").join(whole)
+    none = F.lit(0)
+    return rows.select(
+        "split", F.coalesce("n_records", none).alias("n_records"), F.coalesce("n_components", none).alias("n_components"), F.coalesce("largest_component", none).alias("largest_component"),
+        "asked_share", F.coalesce(F.col("n_records") / F.col("whole"), F.lit(0.0)).alias("actual_share"),
+    )
