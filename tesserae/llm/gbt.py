@@ -14,9 +14,9 @@ import numpy as np
 
 @dataclass
 class BoostedTrees:
-    trees: int = 40
+    trees: int = 80
     depth: int = 4
-    rate: float = 0.25
+    rate: float = 0.15
     bins: int = 32
     least_weight: float = 2.0
     penalty: float = 1.0
@@ -29,7 +29,8 @@ class BoostedTrees:
     def _binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1).astype(np.int32)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> BoostedTrees:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, margin: np.ndarray | None = None) -> BoostedTrees:
+        """``margin``: log odds known beforehand, which the trees correct; without rows or gain they stay as they are."""
         w = np.ones(len(y)) if weight is None else weight
         marks = np.linspace(0, 1, self.bins + 1)[1:-1]
         self.edges = []
@@ -38,34 +39,31 @@ class BoostedTrees:
             self.edges.append((values[:-1] + values[1:]) / 2 if len(values) <= self.bins else np.unique(np.quantile(values, marks)))
         b = self._binned(x)
         mean = np.clip((w * y).sum() / max(w.sum(), 1e-9), 1e-3, 1 - 1e-3)
-        self.start = float(np.log(mean / (1 - mean)))
-        score = np.full(len(y), self.start)
+        self.start = float(np.log(mean / (1 - mean))) if margin is None else 0.0
+        score = np.full(len(y), self.start) if margin is None else margin.astype(float)
         nodes, leaves = 2**self.depth - 1, 2**self.depth
         self.feature = np.zeros((self.trees, nodes), np.int32)
         self.cut = np.full((self.trees, nodes), self.bins + 1, np.int32)
         self.leaf = np.zeros((self.trees, leaves))
         width, size = x.shape[1], self.bins + 1
+        column = np.arange(width)[None, :] * size
         for t in range(self.trees):
             p = 1 / (1 + np.exp(-score))
             g, h = w * (y - p), w * np.maximum(p * (1 - p), 1e-6)
             node = np.zeros(len(y), np.int64)
             for level in range(self.depth):
                 first, count = 2**level - 1, 2**level
-                best = np.zeros(count)
-                choice = np.zeros((count, 2), np.int64)
-                choice[:, 1] = self.bins + 1
-                for j in range(width):
-                    slot = node * size + b[:, j]
-                    hg = np.bincount(slot, g, count * size).reshape(count, size).cumsum(axis=1)
-                    hh = np.bincount(slot, h, count * size).reshape(count, size).cumsum(axis=1)
-                    tg, th = hg[:, -1:], hh[:, -1:]
-                    gain = hg**2 / (hh + self.penalty) + (tg - hg) ** 2 / (th - hh + self.penalty) - tg**2 / (th + self.penalty)
-                    gain[(hh < self.least_weight) | (th - hh < self.least_weight)] = 0
-                    at = gain.argmax(axis=1)
-                    value = gain[np.arange(count), at]
-                    better = value > best + 1e-9
-                    best[better] = value[better]
-                    choice[better] = np.stack([np.full(better.sum(), j), at[better]], axis=1)
+                # histograms of all features in one pass: cell = (node, feature, bin)
+                slot = (node[:, None] * (width * size) + column + b).ravel()
+                hist = lambda v: np.bincount(slot, np.repeat(v, width), count * width * size).reshape(count, width, size).cumsum(axis=2)
+                hg, hh = hist(g), hist(h)
+                tg, th = hg[:, :, -1:], hh[:, :, -1:]
+                gain = hg**2 / (hh + self.penalty) + (tg - hg) ** 2 / (th - hh + self.penalty) - tg**2 / (th + self.penalty)
+                gain[(hh < self.least_weight) | (th - hh < self.least_weight)] = 0
+                flat = gain.reshape(count, -1)
+                at = flat.argmax(axis=1) if flat.shape[1] else np.zeros(count, np.int64)
+                better = flat[np.arange(count), at] > 1e-9 if flat.shape[1] else np.zeros(count, bool)
+                choice = np.stack([np.where(better, at // size, 0), np.where(better, at % size, self.bins + 1)], axis=1)
                 self.feature[t, first : first + count], self.cut[t, first : first + count] = choice[:, 0], choice[:, 1]
                 node = 2 * node + (b[np.arange(len(y)), choice[node, 0]] > choice[node, 1])
             sg, sh = np.bincount(node, g, leaves), np.bincount(node, h, leaves)
@@ -73,10 +71,10 @@ class BoostedTrees:
             score += self.leaf[t][node]
         return self
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, x: np.ndarray, margin: np.ndarray | None = None) -> np.ndarray:
         """Log odds of each row."""
         b = self._binned(x)
-        rows, out = np.arange(len(x)), np.full(len(x), self.start)
+        rows, out = np.arange(len(x)), np.full(len(x), self.start) if margin is None else margin.astype(float)
         for t in range(self.trees):
             node = np.zeros(len(x), np.int64)
             for level in range(self.depth):

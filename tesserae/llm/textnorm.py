@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ue000\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&[a-z]{2,8};|&#\d{1,6};", re.I)
 #: Letters of other scripts that look like Latin ones.
 _LOOKALIKES = str.maketrans(
@@ -46,45 +46,49 @@ def _redecoded(part: str) -> str:
     return part
 
 
-def tokens_of(text: str) -> tuple[list[str], list[int]]:
-    """(tokens, flags): lower-case words; flag bits 1 capitals, 2 disguised, 4 exclamation after, 8 masked."""
-    text = repaired(unicodedata.normalize("NFKC", text))
-    words, flags = [], []
-    joined: set[str] = set()
+#: Put behind a word whose letters stood apart.
+_JOINED = "\ue000"
 
-    def join(m: re.Match) -> str:
-        word = m[0].replace(m[1], "")
-        joined.add(word)
-        return word
 
-    text = _SPACED.sub(join, text)
-    for m in _TOKEN.finditer(text):
-        raw = m[0]
-        shouted = raw.endswith("!")
-        word = raw.rstrip("!'’-_~*#$@+" if raw[-1] in "!'’-_~" else "!'’")
-        if not word:
-            continue
-        flag = 4 * shouted + (len(word) > 2 and word.isupper())
-        letters = word.translate(_LOOKALIKES) if not word.isascii() else word
-        low = letters.lower().translate(_LOOKALIKES) if not word.isascii() else word.lower()
-        if low != word.lower() or raw in joined or word in joined:
-            flag |= 2
-        if low[0].isdigit() and not _LETTER.search(low):
-            words.append("0")
-            flags.append(flag & 4)
-            continue
-        if not low.isalpha():
-            if _LETTER.search(low) and any(c in "0134578@$!+€9" for c in low) and not re.fullmatch(r"\d+(?:st|nd|rd|th|mm|px|kn|s|h|%)?", low):
-                solved = low.translate(_LEET)
-                if solved.isalpha():
-                    low, flag = solved, flag | 2
-            if _MASK.search(low) and _LETTER.search(low) and not any(c.isdigit() for c in low):
-                bare = _MASK.sub("", low)
-                if len(bare) <= len(low) - 1 and not _COMPOUND.fullmatch(low):
-                    flag |= 8
-        if _REPEAT.search(low):
-            low, flag = _REPEAT.sub(r"\1", low), flag | 2
-        parts = low.split("-") if _COMPOUND.fullmatch(low) else [low.strip("'’")]
-        words += [w if len(w) <= 40 else w[:20] + w[-20:] for w in parts]
-        flags += [flag] * len(parts)
+def raw_tokens(text: str) -> list[str]:
+    """The tokens of a repaired text as written; letters that stood apart are one token, marked as such."""
+    text = repaired(text if text.isascii() else unicodedata.normalize("NFKC", text))
+    return _TOKEN.findall(_SPACED.sub(lambda m: m[0].replace(m[1], "") + _JOINED, text))
+
+
+def plain_words(raw: str) -> tuple[list[str], int]:
+    """(words, flags) of one raw token: lower case, disguises undone; flag bits 1 capitals, 2 disguised, 4 exclamation after, 8 masked."""
+    apart = raw.endswith(_JOINED)
+    raw = raw.replace(_JOINED, "")
+    shouted = raw.endswith("!")
+    word = raw.rstrip("!'’-_~*#$@+" if raw[-1:] in "!'’-_~" else "!'’")
+    if not word:
+        return [], 0
+    flag = 4 * shouted + (len(word) > 2 and word.isupper()) + 2 * apart
+    low = word.lower() if word.isascii() else word.translate(_LOOKALIKES).lower().translate(_LOOKALIKES)
+    if low != word.lower():
+        flag |= 2
+    if low[0].isdigit() and not _LETTER.search(low):
+        return ["0"], flag & 4
+    if not low.isalpha():
+        if _LETTER.search(low) and any(c in "0134578@$!+€9" for c in low) and not re.fullmatch(r"\d+(?:st|nd|rd|th|mm|px|kn|s|h|%)?", low):
+            solved = low.translate(_LEET)
+            if solved.isalpha():
+                low, flag = solved, flag | 2
+        if _MASK.search(low) and _LETTER.search(low) and not any(c.isdigit() for c in low):
+            bare = _MASK.sub("", low)
+            if len(bare) <= len(low) - 1 and not _COMPOUND.fullmatch(low):
+                flag |= 8
+    if _REPEAT.search(low):
+        low, flag = _REPEAT.sub(r"\1", low), flag | 2
+    return low.split("-") if _COMPOUND.fullmatch(low) else [low.strip("'’")], flag
+
+
+def tokens_of(text: str) -> tuple[list[str], list[int]]:
+    """(words, flags) of a text, each word with the flags of its token."""
+    words, flags = [], []
+    for raw in raw_tokens(text):
+        w, f = plain_words(raw)
+        words += w
+        flags += [f] * len(w)
     return words, flags
