@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.functions.paths import file_key
-from tesserae.llm.components import components, split_together
+from tesserae.llm.components import components, split_report, split_together
 from tesserae.llm.mixing import mix_report, mix_sources
 from tesserae.llm.offensive import fit_offensive, score_documents, source_rates
-from tesserae.llm.overlap import capture_overlaps
+from tesserae.llm.overlap import capture_overlaps, overlap_report
 from tesserae.llm.packing import pack_items, packing_report, split_large
 from tesserae.llm.tokens import with_token_counts
 from tesserae.llm.topn import top_n
@@ -26,11 +26,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(members).select(F.col("id").alias("generation_id"), F.col("component").alias("group_id"))
 
 
+def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "generation_records")
+    return split_together(records, "generation_id", [file_key(f) for f in SHARED_FILES], SHARES)
+
+
 def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A split for every record, linked records in one split."""
-    records = table(spark, sf_dir, "generation_records")
-    done = split_together(records, "generation_id", [file_key(f) for f in SHARED_FILES], SHARES)
-    return done.select(F.col("id").alias("generation_id"), F.col("component").alias("group_id"), "split")
+    return _splits(spark, sf_dir).select(F.col("id").alias("generation_id"), F.col("component").alias("group_id"), "split")
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual against asked shares of the splits."""
+    return split_report(_splits(spark, sf_dir), SHARES)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,15 +50,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of samples of one capture, one in training and one in evaluation."""
-    return capture_overlaps(table(spark, sf_dir, "anomaly_samples")).select("sample_id_a", "sample_id_b")
+    return capture_overlaps(table(spark, sf_dir, "anomaly_samples"))
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps per evaluation split and pair of sources."""
-    pairs = capture_overlaps(table(spark, sf_dir, "anomaly_samples"))
-    return pairs.groupBy("split_e", "source_e", "source_t").agg(
-        F.count("*").alias("n_pairs"), F.count_if("same_path").alias("n_same_path")
-    )
+    return overlap_report(table(spark, sf_dir, "anomaly_samples"))
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +110,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_rates(_scored(spark, sf_dir, "source"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found,
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found,
            "p7_packing": p7_packing, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report,
            "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
@@ -133,15 +138,28 @@ reach AS (
 grouped AS (SELECT id AS generation_id, min(label) AS group_id FROM reach GROUP BY id)
 """
 
-SQL = {
-    "p1_found": _GROUPS + "SELECT generation_id, group_id FROM grouped",
-    "p1_splits": _GROUPS
+_SPLITS = (
+    _GROUPS
     + """
 , every AS (
   SELECT DISTINCT g.generation_id, coalesce(x.group_id, g.generation_id) AS group_id
   FROM generation_records g LEFT JOIN grouped x USING (generation_id) WHERE g.generation_id IS NOT NULL),
-placed AS (SELECT *, ('0x' || substr(sha256('split-1|' || group_id), 1, 13))::BIGINT / 16.0e0 ** 13 AS point FROM every)
-SELECT generation_id, group_id, CASE WHEN point < 0.8e0 THEN 'train' WHEN point < 0.9e0 THEN 'validation' ELSE 'test' END AS split FROM placed
+placed AS (SELECT *, ('0x' || substr(sha256('split-1|' || group_id), 1, 13))::BIGINT / 16.0e0 ** 13 AS point FROM every),
+splits AS (
+  SELECT generation_id, group_id, CASE WHEN point < 0.8e0 THEN 'train' WHEN point < 0.9e0 THEN 'validation' ELSE 'test' END AS split FROM placed)
+"""
+)
+
+SQL = {
+    "p1_found": _GROUPS + "SELECT generation_id, group_id FROM grouped",
+    "p1_splits": _SPLITS + "SELECT generation_id, group_id, split FROM splits",
+    "p1_shares": _SPLITS
+    + """
+, sized AS (SELECT split, group_id, count(*) AS n FROM splits GROUP BY ALL),
+per AS (SELECT split, sum(n)::BIGINT AS n_records, count(*) AS n_components, max(n) AS largest_component FROM sized GROUP BY ALL)
+SELECT a.split, coalesce(n_records, 0) AS n_records, coalesce(n_components, 0) AS n_components, coalesce(largest_component, 0) AS largest_component,
+  a.asked_share, coalesce(n_records::DOUBLE / (SELECT sum(n_records) FROM per), 0.0::DOUBLE) AS actual_share
+FROM (VALUES ('train', 0.8::DOUBLE), ('validation', 0.1::DOUBLE), ('test', 0.1::DOUBLE)) a(split, asked_share) LEFT JOIN per USING (split)
 """,
     "p5_found": """
 WITH once AS (
