@@ -31,6 +31,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -178,7 +179,7 @@ class Tokens:
         if len(_SPELLINGS) > REMEMBERED:
             _SPELLINGS = _Spellings()
         raw = [raw_tokens(t) if t else [] for t in texts]
-        number = np.fromiter(map(_SPELLINGS.__getitem__, (x for r in raw for x in r)), np.int64, sum(map(len, raw)))
+        number = np.fromiter(map(_SPELLINGS.__getitem__, chain.from_iterable(raw)), np.int64, sum(map(len, raw)))
         first, name, bits, flags = _SPELLINGS.arrays()
         begin, count = first[number], first[number + 1] - first[number]
         ends = np.cumsum(count)
@@ -406,82 +407,61 @@ def reviewed(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(found.select("doc_id", "text", F.col("y").cast("int").alias("y"), fold.alias("fold")))
 
 
-def _counted(rows: DataFrame, run) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, counts) of what ``run`` finds, summed over partitions; counts by class and fold."""
-    names = [f"c{y}{k}" for y in range(2) for k in range(FOLDS)]
-    found = rows.mapInPandas(run, "code bigint, " + ", ".join(f"{c} bigint" for c in names)).groupBy("code").agg(*[F.sum(c).alias(c) for c in names])
-    # of what one offensive document alone has, only phrases are of use; what is rare on both sides is of none
-    found = found.toPandas()
-    return found["code"].to_numpy(np.int64).view(np.uint64), found[names].to_numpy(np.int64).reshape(-1, 2, FOLDS)
-
-
 def _texts(part: pd.DataFrame) -> list[str | None]:
     return [t if isinstance(t, str) else None for t in part["text"]]
 
 
-def _emit(codes: np.ndarray, cell: np.ndarray) -> pd.DataFrame:
-    """One row per code with its count in each cell (class, fold)."""
-    known, at = np.unique(codes, return_inverse=True)
-    counts = np.bincount(at * 2 * FOLDS + cell, minlength=len(known) * 2 * FOLDS).reshape(len(known), 2 * FOLDS)
-    names = [f"c{y}{k}" for y in range(2) for k in range(FOLDS)]
-    return pd.DataFrame(counts, columns=names).assign(code=known.view(np.int64))[["code", *names]]
+_CELLS = [f"c{y}{k}" for y in range(2) for k in range(FOLDS)]
 
 
-def _per_document(doc: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each code once per document."""
-    order = np.lexsort((codes, doc))
-    doc, codes = doc[order], codes[order]
-    new = np.r_[True, (np.diff(doc) != 0) | (codes[1:] != codes[:-1])] if len(doc) else np.zeros(0, bool)
-    return doc[new], codes[new]
+def _phrases_of(tokens: Tokens, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, code, words) of its phrases, of those in ``among`` if given, and with 0 words of its phrases beside abuse."""
+    owner, found = tokens.owner(), []
+    for n, at, code in tokens.grams():
+        if among is not None:
+            keep = among[np.minimum(np.searchsorted(among, code), len(among) - 1)] == code if len(among) else np.zeros(len(code), bool)
+            at, code = at[keep], code[keep]
+        found.append((owner[at], code, np.full(len(at), n)))
+    found += [(owner[at], code, np.zeros(len(at), np.int64)) for at, code in tokens.beside_abuse()]
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def learn_phrases(rows: DataFrame) -> list[Phrases]:
-    """Phrases learnt from the reviewed documents without each fold, and last from all of them."""
-    offensive = rows.filter("y = 1")
+def _count_phrases(rows: DataFrame, among: np.ndarray | None = None) -> pd.DataFrame:
+    """(code, words, counts by class and fold) over the documents of ``rows``, each document once."""
+    shared = rows.sparkSession.sparkContext.broadcast(among)
 
-    def all_grams(parts: Iterator[pd.DataFrame], among: np.ndarray | None) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            tokens = Tokens.of(_texts(part))
-            cell = (part["y"] * FOLDS + part["fold"]).to_numpy(np.int64)
-            owner = tokens.owner()
-            place, code = (np.concatenate(x) for x in zip(*[(owner[at], code) for _, at, code in tokens.grams()]))
-            if among is not None:
-                keep = among[np.minimum(np.searchsorted(among, code), len(among) - 1)] == code if len(among) else np.zeros(len(code), bool)
-                place, code = place[keep], code[keep]
-            place, code = _per_document(place, code)
-            yield _emit(code, cell[place])
-
-    def context(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            tokens = Tokens.of(_texts(part))
             cell = (part["y"] * FOLDS + part["fold"]).to_numpy(np.int64)
-            owner = tokens.owner()
-            place, code = _per_document(*(np.concatenate(x) for x in zip(*[(owner[at], code) for at, code in tokens.beside_abuse()])))
-            yield _emit(code, cell[place])
+            doc, code, words = _phrases_of(Tokens.of(_texts(part)), shared.value)
+            order = np.lexsort((code, doc))
+            doc, code, words = doc[order], code[order], words[order]
+            new = np.r_[True, (np.diff(doc) != 0) | (code[1:] != code[:-1])] if len(doc) else np.zeros(0, bool)
+            doc, code, words = doc[new], code[new], words[new]
+            known, first, at = np.unique(code, return_index=True, return_inverse=True)
+            counts = np.bincount(at * 2 * FOLDS + cell[doc], minlength=len(known) * 2 * FOLDS).reshape(len(known), 2 * FOLDS)
+            yield pd.DataFrame(counts, columns=_CELLS).assign(code=known.view(np.int64), words=words[first])[["code", "words", *_CELLS]]
 
-    def lengths(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            tokens = Tokens.of(_texts(part))
-            for n, _, code in tokens.grams():
-                code = np.unique(code)
-                yield pd.DataFrame({"code": code.view(np.int64), "words": n})
-
-    inside, met = _counted(offensive, lambda parts: all_grams(parts, None))
-    words = offensive.mapInPandas(lengths, "code bigint, words int").distinct().toPandas()
-    order = np.argsort(inside)
-    inside, met = inside[order], met[order]
-    size = np.zeros(len(inside), np.int64)
-    size[np.searchsorted(inside, words["code"].to_numpy(np.int64).view(np.uint64))] = words["words"]
-    enough = met[:, 1].sum(axis=1) >= np.array((0, *PHRASE_SUPPORT))[size]
-    inside, met, size = inside[enough], met[enough], size[enough]
-    shared = rows.sparkSession.sparkContext.broadcast(inside)
-    code, outside = _counted(rows.filter("y = 0"), lambda parts: all_grams(parts, shared.value))
-    met[np.searchsorted(inside, code), 0] = outside[:, 0]
-    near, beside = _counted(rows, context)
-    often = beside.sum(axis=(1, 2)) >= CONTEXT_SUPPORT
-    near, beside = near[often], beside[often]
+    counted = rows.mapInPandas(run, "code bigint, words int, " + ", ".join(f"{c} bigint" for c in _CELLS))
+    return counted.groupBy("code").agg(F.max("words").alias("words"), *[F.sum(c).alias(c) for c in _CELLS]).toPandas()
+
+
+def learn_phrases(rows: DataFrame) -> list[Phrases]:
+    """Phrases learnt from the reviewed documents without each fold, and last from all of them."""
+    offensive = _count_phrases(rows.filter("y = 1"))
+    least = np.array((0, *PHRASE_SUPPORT))
+    told = offensive[(offensive["words"] > 0) & (offensive[_CELLS].sum(axis=1) >= least[offensive["words"]])]
+    told = told.assign(code=told["code"].to_numpy(np.int64).view(np.uint64)).sort_values("code", ignore_index=True)
+    inside, size = told["code"].to_numpy(np.uint64), told["words"].to_numpy(np.int64)
+    met = told[_CELLS].to_numpy(np.int64).reshape(-1, 2, FOLDS).copy()
+    other = _count_phrases(rows.filter("y = 0"), inside)
+    outside = other[other["words"] > 0]
+    met[np.searchsorted(inside, outside["code"].to_numpy(np.int64).view(np.uint64)), 0] = outside[_CELLS].to_numpy(np.int64).reshape(-1, 2, FOLDS)[:, 0]
+    beside = pd.concat([x[x["words"] == 0] for x in (offensive, other)]).groupby("code", as_index=False)[_CELLS].sum()
+    beside = beside[beside[_CELLS].sum(axis=1) >= CONTEXT_SUPPORT]
+    near = beside["code"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(near)
-    near, beside = near[order], beside[order]
+    near, beside = near[order], beside[_CELLS].to_numpy(np.int64).reshape(-1, 2, FOLDS)[order]
 
     total = np.zeros((2, FOLDS))
     for r in rows.groupBy("y", "fold").count().collect():
@@ -492,7 +472,7 @@ def learn_phrases(rows: DataFrame) -> list[Phrases]:
         neg, pos = np.maximum(1, total[:, use].sum(axis=1))
         n, m = met[:, 1][:, use].sum(axis=1), met[:, 0][:, use].sum(axis=1)
         odds = np.log(np.maximum(n - 0.3, 1e-9) / pos) - np.log((m + 0.02 * n + 0.3) / neg)
-        good = (n >= np.array((0, *PHRASE_SUPPORT))[size]) & (odds >= PHRASE_ODDS)
+        good = (n >= least[size]) & (odds >= PHRASE_ODDS)
         a, b = beside[:, 1][:, use].sum(axis=1), beside[:, 0][:, use].sum(axis=1)
         context_odds = np.log((a + 0.5) / (pos + 1)) - np.log((b + 0.5) / (neg + 1))
         out.append(Phrases(inside[good], odds[good], near, np.clip(context_odds, -2, 2)))
