@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalars import clip, reasons, safe_number
+from tesserae.functions.scalars import clip
 
 
 def quality_score(visibility: Column, l1: Column, outside: Column, flags: Column) -> Column:
@@ -13,24 +13,6 @@ def quality_score(visibility: Column, l1: Column, outside: Column, flags: Column
     return visibility - 2 * l1 - 0.10 * F.greatest(F.lit(0.0), outside - 0.05) - 0.05 * flags
 
 
-def selector_score(quality: Column, visibility: Column, l1: Column, outside: Column, inpaint: Column, flags: Column, critic: Column) -> Column:
-    """Score by which candidates compete for a place."""
-    return quality + 1.5 * visibility - l1 - 0.20 * outside - 0.05 * inpaint - 0.05 * flags + 0.35 * critic
-
-
-def reject_reasons(min_visibility: float = 0.02, max_l1: float = 0.12, max_outside: float = 0.5, min_coverage: float = 0.25, max_fraction: float = 0.58) -> Column:
-    """Why a generated candidate is refused, in fixed order; none if it is accepted."""
-    lite = F.col("tfidg_lite")
-    return reasons(
-        ("quality_flags", F.size("quality_flags") > 0),
-        ("low_defect_visibility", safe_number(F.col("defect_visibility_score")) < min_visibility),
-        ("high_background_change", safe_number(F.col("background_preservation_l1")) > max_l1),
-        ("high_outside_change", safe_number(F.col("outside_refined_change_fraction")) > max_outside),
-        ("low_tfidg_mask_coverage", lite.isNotNull() & (safe_number(lite["adaptive_mask_coverage_score"]) < min_coverage)),
-        ("high_tfidg_mask_coverage_fraction", lite.isNotNull() & (safe_number(lite["adaptive_mask_coverage_fraction"]) > max_fraction)),
-    )
-
-
 def top_k(df: DataFrame, groups: list[str], score: str, tie: str, k: int) -> DataFrame:
     """The ``k`` first rows per group by score, then tie, with ``place``."""
     if k <= 0:
@@ -73,20 +55,9 @@ def first_best(df: DataFrame, keys: list[str], score: str, ordinal: str) -> Data
     return df.withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
 
 
-def policy_adjusted(candidates: DataFrame, rules: DataFrame, policy: str, mode: str, score: str, status: str) -> DataFrame:
-    """Candidate scores moved by the policy's rule for their mode; rejected ones get -1.
-
-    ``rules``: (policy, mode, delta), a small dimension table.
-    """
-    small = F.broadcast(rules.select(F.col("policy").alias("__p"), F.col("mode").alias("__m"), "delta"))
-    joined = candidates.join(small, (F.col(policy) == F.col("__p")) & (F.col(mode) == F.col("__m")), "left").drop("__p", "__m")
-    moved = F.bround(clip(F.col(score) + F.coalesce("delta", F.lit(0.0)), -1.0, 1.5), 4)
-    return joined.withColumn("adjusted", F.when(F.col(status) == "reject", -1.0).otherwise(moved)).drop("delta")
-
-
 def disposition(iou: Column, lower_bound: Column, disagreement: Column) -> Column:
-    """hard_mask_ok, soft_label_only or human_review."""
-    return F.when((lower_bound >= 0.45) & (disagreement <= 0.20), "hard_mask_ok").when(iou >= 0.25, "soft_label_only").otherwise("human_review")
+    """hard_mask_ok, soft_mask_only or needs_review."""
+    return F.when((lower_bound >= 0.45) & (disagreement <= 0.20), "hard_mask_ok").when(iou >= 0.25, "soft_mask_only").otherwise("needs_review")
 
 
 def heuristic_prediction(coverage: Column, agreement: Column, disagreement: Column, area: Column) -> dict[str, Column]:

@@ -9,6 +9,7 @@ from tesserae.functions import scalars as S
 from tesserae.functions.paths import file_name, file_stem, file_suffix, parent_dir
 from tesserae.operators import relational as R
 from tesserae.operators import selection as sel
+from tesserae.operators.policy import Candidate, SelectorSettings, refusals, selector_score
 from tesserae.session import table
 
 QUERIES: dict = {}
@@ -32,19 +33,31 @@ def sql_finite(x: str, default: str = "0") -> str:
 
 
 _V, _L, _O, _I = (sql_finite(c) for c in ("defect_visibility_score", "background_preservation_l1", "outside_refined_change_fraction", "inpaint_mask_area_fraction"))
+_C, _F = sql_finite("tfidg_lite.adaptive_mask_coverage_score"), sql_finite("tfidg_lite.adaptive_mask_coverage_fraction")
 _Q = f"({_V} - 2*{_L} - 0.1e0*greatest(0.0e0, {_O} - 0.05e0) - 0.05e0*nf)"
+#: The selection's bounds and weights; what is not named here has its default.
+SETTINGS = SelectorSettings(min_fraction=0.05, max_fraction=0.58, min_critic=0.2, balance_weight=0.12, fraction_tolerance=0.20, repaired_penalty=0.02,
+                            preferred=(("thin_linear", ("quality_max",)), ("edge_band", ("standard", "quality_max"))))
 _SCORED = f"""
 one AS (SELECT * FROM phase4_records QUALIFY row_number() OVER (PARTITION BY phase4_id ORDER BY ingested_at) = 1),
-flagged AS (SELECT *, coalesce(len(quality_flags), 0) AS nf FROM one),
+flagged AS (SELECT *, coalesce(len(quality_flags), 0) AS nf, coalesce(settings.quality_morphology, quality_profile, 'unknown') AS morphology, coalesce(quality_profile, 'unknown') AS profile,
+  coalesce(critic_guided_generation.selected_repair_index, -1) >= 0 AS repaired FROM one),
 scored AS (SELECT *, round({_Q}, 6) + 0.0e0 AS quality,
-  round({_Q} + 1.5e0*{_V} - {_L} - 0.2e0*{_O} - 0.05e0*{_I} - 0.05e0*nf + 0.35e0*{sql_finite('tfidg_lite.tfidg_lite_score')}, 6) + 0.0e0 AS score,
+  round({_Q} + 1.5e0*{_V} - {_L} - 0.2e0*{_O} - 0.05e0*{_I} - 0.05e0*nf
+    + CASE morphology WHEN 'thin_linear' THEN CASE WHEN profile = 'quality_max' THEN 0.04e0 ELSE -0.03e0 END WHEN 'edge_band' THEN CASE WHEN profile IN ('standard', 'quality_max') THEN 0.04e0 ELSE -0.03e0 END ELSE 0.0e0 END
+    + CASE WHEN tfidg_lite IS NULL THEN 0.0e0 ELSE 0.35e0*{sql_finite('tfidg_lite.tfidg_lite_score')} - 0.12e0*least(1.0e0, abs({_F} - 0.38e0) / 0.2e0) END
+    - CASE WHEN repaired THEN 0.02e0 ELSE 0.0e0 END, 6) + 0.0e0 AS score,
   list_filter([
     CASE WHEN nf > 0 THEN 'quality_flags' END,
-    CASE WHEN {_V} < 0.02 THEN 'low_defect_visibility' END,
-    CASE WHEN {_L} > 0.12 THEN 'high_background_change' END,
-    CASE WHEN {_O} > 0.5 THEN 'high_outside_change' END,
-    CASE WHEN tfidg_lite IS NOT NULL AND {sql_finite('tfidg_lite.adaptive_mask_coverage_score')} < 0.25 THEN 'low_tfidg_mask_coverage' END,
-    CASE WHEN tfidg_lite IS NOT NULL AND {sql_finite('tfidg_lite.adaptive_mask_coverage_fraction')} > 0.58 THEN 'high_tfidg_mask_coverage_fraction' END
+    CASE WHEN {_V} < 0.015 THEN 'low_defect_visibility' END,
+    CASE WHEN {_L} > 0.05 THEN 'high_background_change' END,
+    CASE WHEN {_O} > 0.25 THEN 'high_outside_refined_change' END,
+    CASE WHEN {_I} > 0.2 THEN 'overbroad_inpaint_mask' END,
+    CASE WHEN tfidg_lite IS NULL THEN 'missing_tfidg_lite_metrics' END,
+    CASE WHEN tfidg_lite IS NOT NULL AND {_C} < 0.35 THEN 'low_tfidg_mask_coverage' END,
+    CASE WHEN tfidg_lite IS NOT NULL AND {_F} < 0.05 THEN 'low_tfidg_mask_coverage_fraction' END,
+    CASE WHEN tfidg_lite IS NOT NULL AND {_F} > 0.58 THEN 'high_tfidg_mask_coverage_fraction' END,
+    CASE WHEN tfidg_lite IS NOT NULL AND {sql_finite('tfidg_lite.tfidg_lite_score')} < 0.2 THEN 'low_tfidg_lite_score' END
   ], lambda x: x IS NOT NULL) AS reasons FROM flagged)
 """
 
@@ -57,8 +70,11 @@ def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, l1, out, inp = (S.safe_number(F.col(c)) for c in fields[5:9])
     flags = F.greatest(F.coalesce(F.size("quality_flags"), F.lit(0)), F.lit(0))
     quality = sel.quality_score(v, l1, out, flags)
-    score = sel.selector_score(quality, v, l1, out, inp, flags, S.safe_number(F.col("tfidg_lite.tfidg_lite_score")))
-    return rows.withColumn("quality", F.round(quality, 6) + 0.0).withColumn("score", F.round(score, 6) + 0.0).withColumn("reasons", sel.reject_reasons())
+    morphology = F.coalesce("settings.quality_morphology", "quality_profile", F.lit("unknown"))
+    repaired = F.coalesce(F.col("critic_guided_generation.selected_repair_index"), F.lit(-1)) >= 0
+    c = Candidate(quality, v, l1, out, inp, flags, morphology, F.coalesce("quality_profile", F.lit("unknown")), F.col("tfidg_lite"), repaired)
+    rows = rows.withColumn("repaired", repaired).withColumn("quality", F.round(quality, 6) + 0.0)
+    return rows.withColumn("score", F.round(selector_score(c, SETTINGS), 6) + 0.0).withColumn("reasons", refusals(c, SETTINGS))
 
 
 def measured_candidates(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
@@ -83,7 +99,7 @@ def quality_score(spark, sf_dir):
 
 
 _CAPPED = """
-kinds AS (SELECT phase4_id, category, defect_type, score, coalesce(critic_guided_generation.selected_repair_index, 0) > 0 AS special FROM scored
+kinds AS (SELECT phase4_id, category, defect_type, score, repaired AS special FROM scored
   WHERE len(reasons) = 0 AND category IS NOT NULL AND defect_type IS NOT NULL),
 nth AS (SELECT *, row_number() OVER (PARTITION BY category, defect_type, special ORDER BY score DESC, phase4_id) AS n FROM kinds),
 placed AS (SELECT *, row_number() OVER (PARTITION BY category, defect_type ORDER BY (special AND n > 5)::INT, score DESC, phase4_id)::INT AS place FROM nth)
@@ -92,8 +108,7 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY category, defect_type ORDER
 
 def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored_candidates(spark, sf_dir).filter("size(reasons) = 0 and category is not null and defect_type is not null")
-    repaired = F.coalesce(F.col("critic_guided_generation.selected_repair_index"), F.lit(0)) > 0
-    return sel.capped_top_k(rows, ["category", "defect_type"], "score", "phase4_id", repaired, 10, 0.5, repeated=True)
+    return sel.capped_top_k(rows, ["category", "defect_type"], "score", "phase4_id", F.col("repaired"), 10, 0.5, repeated=True)
 
 
 @query(f"WITH {_SCORED}, {_CAPPED} SELECT category, defect_type, place, phase4_id, score, special AS repaired FROM placed WHERE place <= 10")
@@ -149,65 +164,7 @@ def rollup_report(spark, sf_dir):
     )
 
 
-# --- policies, arbitration ----------------------------------------------------------------------------------------
-
-#: Score changes per policy and mode. Fixed values.
-POLICY_DELTAS = (
-    ("prefer_texture", "fft_notch", 0.70), ("prefer_texture", "sam_box", 0.25), ("prefer_texture", "consensus", -0.40),
-    ("prefer_residual", "nearest_normal", 0.35), ("prefer_residual", "patch_memory", 0.20), ("prefer_residual", "consensus", -0.05),
-    ("score_only", "consensus", 0.20),
-)
-_POLICY = """CASE WHEN defect_type IN ('contamination','stain') THEN 'prefer_texture' WHEN defect_type IN ('chip','crack') THEN 'prefer_residual' ELSE 'score_only' END"""
-_MODES = f"""
-one AS (SELECT * FROM auto_mask_records QUALIFY row_number() OVER (PARTITION BY auto_mask_id ORDER BY ingested_at) = 1),
-long AS (SELECT auto_mask_id, defect_type, settings AS s, unnest(map_keys(settings.candidate_scores)) AS mode, unnest(map_values(settings.candidate_scores)) AS raw FROM one),
-cand AS (SELECT auto_mask_id, mode, {sql_finite('raw')} AS score, coalesce(s.candidate_qc[mode].mask_area, 0) AS area,
-  CASE WHEN coalesce(s.candidate_qc[mode].mask_area, 0) <= 0 THEN 'reject' WHEN len(s.candidate_qc[mode].reasons) > 0 THEN 'warning' ELSE 'pass' END AS status,
-  {_POLICY} AS policy FROM long),
-adj AS (SELECT c.*, CASE WHEN status = 'reject' THEN -1.0e0 ELSE round_even(greatest(-1.0e0, least(1.5e0, score + coalesce(delta, 0.0e0))), 4) END AS adjusted
-  FROM cand c LEFT JOIN (VALUES {', '.join(f"('{p}','{m}',{d}::DOUBLE)" for p, m, d in POLICY_DELTAS)}) r(policy, mode, delta) USING (policy, mode))
-"""
-
-
-def adjusted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(auto_mask_id, mode, score, area, status, policy, adjusted): one row per image and mode."""
-    rows = R.once(table(spark, sf_dir, "auto_mask_records"), "auto_mask_id", "defect_type", "settings")
-    long = rows.select("auto_mask_id", "defect_type", F.col("settings.candidate_qc").alias("qc"), F.explode("settings.candidate_scores").alias("mode", "raw"))
-    qc = F.expr("qc[mode]")
-    area = F.coalesce(qc["mask_area"], F.lit(0))
-    status = F.when(area <= 0, "reject").when(F.size(qc["reasons"]) > 0, "warning").otherwise("pass")
-    cand = long.select("auto_mask_id", "mode", S.safe_number(F.col("raw")).alias("score"), area.alias("area"), status.alias("status"), F.expr(_POLICY).alias("policy"))
-    rules = spark.createDataFrame(list(POLICY_DELTAS), "policy string, mode string, delta double")
-    return sel.policy_adjusted(cand, rules, "policy", "mode", "score", "status")
-
-
-@query(f"WITH {_MODES} SELECT auto_mask_id, mode, policy, status, adjusted FROM adj")
-def policy_adjusted_scores(spark, sf_dir):
-    """Candidate scores after the policy of their defect."""
-    return adjusted_candidates(spark, sf_dir).select("auto_mask_id", "mode", "policy", "status", "adjusted")
-
-
-@query(f"WITH {_MODES} SELECT auto_mask_id, mode, adjusted FROM adj WHERE area > 0 AND status <> 'reject' AND adjusted >= 0 QUALIFY row_number() OVER (PARTITION BY auto_mask_id ORDER BY adjusted DESC, mode) = 1")
-def chosen_candidate(spark, sf_dir):
-    """The best valid candidate of every image; the first mode wins ties."""
-    valid = adjusted_candidates(spark, sf_dir).filter("area > 0 and status <> 'reject' and adjusted >= 0")
-    return sel.first_best(valid, ["auto_mask_id"], "adjusted", "mode").select("auto_mask_id", "mode", "adjusted")
-
-
-@query(
-    f"""WITH {_MODES}, best AS (SELECT auto_mask_id, max(score) AS oracle FROM adj GROUP BY 1),
-pick AS (SELECT auto_mask_id, mode, score FROM adj QUALIFY row_number() OVER (PARTITION BY auto_mask_id ORDER BY adjusted DESC, mode) = 1)
-SELECT auto_mask_id, round(oracle, 6) AS oracle, round(p.score, 6) AS chosen, round(greatest(0.0e0, oracle - p.score), 6) AS regret FROM best JOIN pick p USING (auto_mask_id)"""
-)
-def oracle_regret(spark, sf_dir):
-    """What choosing by adjusted score lost against the best raw score."""
-    rows = adjusted_candidates(spark, sf_dir)
-    best = rows.groupBy("auto_mask_id").agg(F.max("score").alias("oracle"))
-    pick = sel.first_best(rows, ["auto_mask_id"], "adjusted", "mode").select("auto_mask_id", F.col("score").alias("chosen"))
-    both = best.join(pick, "auto_mask_id")
-    regret = F.greatest(F.lit(0.0), F.col("oracle") - F.col("chosen"))
-    return both.select("auto_mask_id", F.round("oracle", 6).alias("oracle"), F.round("chosen", 6).alias("chosen"), F.round(regret, 6).alias("regret"))
-
+# --- predictions, arbitration --------------------------------------------------------------------------------------
 
 _HEUR = """
 lite AS (SELECT phase4_id, {c} AS c, {a} AS a, {d} AS d, {s} AS s FROM one WHERE tfidg_lite IS NOT NULL),
@@ -221,7 +178,7 @@ pred AS (SELECT phase4_id, least(1.0e0, greatest(0.0e0, 0.10e0 + 0.48e0*c + 0.30
 @query(
     f"""WITH one AS (SELECT * FROM phase4_records QUALIFY row_number() OVER (PARTITION BY phase4_id ORDER BY ingested_at) = 1), {_HEUR},
 r AS (SELECT phase4_id, round(iou, 6) AS iou, round(greatest(0.0e0, iou - 0.18e0), 6) AS lower_bound, round(d, 6) AS disagreement FROM pred)
-SELECT phase4_id, iou, lower_bound, CASE WHEN lower_bound >= 0.45 AND disagreement <= 0.2 THEN 'hard_mask_ok' WHEN iou >= 0.25 THEN 'soft_label_only' ELSE 'human_review' END AS disposition FROM r"""
+SELECT phase4_id, iou, lower_bound, CASE WHEN lower_bound >= 0.45 AND disagreement <= 0.2 THEN 'hard_mask_ok' WHEN iou >= 0.25 THEN 'soft_mask_only' ELSE 'needs_review' END AS disposition FROM r"""
 )
 def disposition(spark, sf_dir):
     """Predicted overlap without a model, and what may be done with the mask."""
@@ -354,18 +311,6 @@ def safe_cast(spark, sf_dir):
     return rows.select("phase4_id", S.safe_number(F.col("defect_visibility_score")).alias("visibility"), S.safe_number(F.col("gate_value"), -1.0).alias("gate"))
 
 
-PROFILES = (("linear", ("scratch", "crack", "cut", "thread")), ("patch", ("stain", "contamination", "discolour")), ("edge", ("chip", "burr", "rim")))
-
-
-@query(
-    """SELECT doc_id, CASE WHEN regexp_matches(t, 'scratch|crack|cut|thread') THEN 'linear' WHEN regexp_matches(t, 'stain|contamination|discolour') THEN 'patch'
-  WHEN regexp_matches(t, 'chip|burr|rim') THEN 'edge' ELSE 'plain' END AS profile FROM (SELECT doc_id, replace(lower(coalesce(text, '')), '-', '_') AS t FROM documents)"""
-)
-def keyword_profile(spark, sf_dir):
-    """What kind of structure each text speaks of."""
-    return table(spark, sf_dir, "documents").select("doc_id", S.classify(F.col("text"), PROFILES, "plain").alias("profile"))
-
-
 @query(
     r"""SELECT artifact_id, any_value(regexp_extract(rel_path, '([^/]*)$', 1)) AS name, any_value(regexp_replace(regexp_extract(rel_path, '([^/]*)$', 1), '\.[^.]*$', '')) AS stem,
   any_value(lower(regexp_extract(rel_path, '(\.[^./]*)$', 1))) AS suffix, any_value(regexp_replace(rel_path, '/?[^/]*$', '')) AS dir FROM artifact_inventory GROUP BY 1"""
@@ -377,14 +322,6 @@ def path_parts(spark, sf_dir):
     return files.select("artifact_id", file_name(p).alias("name"), file_stem(p).alias("stem"), file_suffix(p).alias("suffix"), parent_dir(p).alias("dir"))
 
 
-@query("SELECT event_id, (props->>'$.k')::INT AS k FROM events")
-def llm_json_extract(spark, sf_dir):
-    """A value out of the braces in a talkative answer."""
-    e = table(spark, sf_dir, "events")
-    answer = F.concat(F.lit("Sure, here it is:\n"), F.col("props"), F.lit("\nHope that helps."))
-    return e.select("event_id", F.get_json_object(S.answered_json(answer), "$.k").try_cast("int").alias("k"))
-
-
 @query(
     """WITH f AS (SELECT DISTINCT artifact_id, kind, sha256(concat_ws('|', artifact_id::VARCHAR, coalesce(rel_path, ''), coalesce(content_hash, ''))) AS d FROM artifact_inventory WHERE artifact_id IS NOT NULL)
 SELECT kind, sha256(string_agg(d, ',' ORDER BY d)) AS fingerprint, count(*) AS n_rows FROM f GROUP BY kind"""

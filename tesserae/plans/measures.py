@@ -217,33 +217,6 @@ def hash_sample(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id").orderBy(F.sha2(F.concat(F.lit("pick|"), F.col("event_id").cast("string")), 256), "event_id").limit(200)
 
 
-#: Words that name a structure; the first class with a word in the text counts. Fixed values.
-STRUCTURES = (
-    ("edge_border", ("border", "edge", "fray", "seam")),
-    ("repeated_chain", ("zip", "tooth", "teeth", "chain")),
-    ("ring_sector", ("bottle", "rim", "chip", "glass")),
-    ("thin_linear", ("scratch", "crack", "split", "line", "stroke")),
-    ("multi_scuff", ("scuff", "smudge", "rub", "abrasion", "fuzzy")),
-    ("flat_surface_patch", ("contamination", "stain", "foreign", "spot", "surface", "patch")),
-)
-_CLASSES = " ".join(f"WHEN regexp_matches(t, '{'|'.join(w)}') THEN '{n}'" for n, w in STRUCTURES)
-
-
-@query(
-    f"""WITH s AS (SELECT sample_id, replace(lower(coalesce(any_value(category), '') || ' ' || coalesce(any_value(defect_type), '')), '-', '_') AS t FROM anomaly_samples GROUP BY 1),
-p AS (SELECT CASE {_CLASSES} ELSE 'unknown' END AS profile FROM s), m(mode, profiles) AS (VALUES ('polar_ring', ['ring_sector']), ('chain', ['repeated_chain', 'edge_border']), ('generic', NULL))
-SELECT mode, profile, profiles IS NULL OR list_contains(profiles, profile) AS applies, count(*) AS n_rows FROM p, m GROUP BY ALL"""
-)
-def specialist_applicability(spark, sf_dir):
-    """Which specialists apply to which structures; one without a list applies to all."""
-    rows = R.once(table(spark, sf_dir, "anomaly_samples"), "sample_id", "category", "defect_type")
-    text = F.concat_ws(" ", F.coalesce("category", F.lit("")), F.coalesce("defect_type", F.lit("")))
-    profiles = rows.groupBy(S.classify(text, STRUCTURES, "unknown").alias("profile")).agg(F.count("*").alias("n_rows"))
-    dim = spark.createDataFrame([("polar_ring", ["ring_sector"]), ("chain", ["repeated_chain", "edge_border"]), ("generic", None)], "mode string, profiles array<string>")
-    both = R.experiment_matrix(profiles, dim)
-    return both.select("mode", "profile", F.coalesce(F.array_contains("profiles", F.col("profile")), F.lit(True)).alias("applies"), "n_rows")
-
-
 @query(
     """WITH g AS (SELECT generation_id, any_value(model) AS model FROM generation_records GROUP BY 1), a(model, policy) AS (VALUES ('sd15', 'allowed'), ('sd15_gated', 'allowed'), ('mock', 'development_only'))
 SELECT model, coalesce(policy, 'forbidden') AS policy, count(*) AS n_rows FROM g LEFT JOIN a USING (model) GROUP BY ALL"""
