@@ -138,3 +138,17 @@ def test_over_a_table(spark):
     got = {r.id: r.hot for r in H.against_normals(df, df.filter("id between 1 and 3"), run, "id bigint, hot double").collect()}
     assert set(got) == {0, 1, 2, 3} and got[0] > 0.4
     assert H.normal_memory(df.filter("id > 100"), 4).shape[0] == 0
+
+
+def test_a_failing_builder_leaves_the_others():
+    from tesserae.plans.heatmaps import built_candidates
+
+    marked, normals = scene()
+
+    def broken(x, m):
+        raise ValueError("no model")
+
+    got = built_candidates(np.array([7]), marked, normals, {"patchcore_guided": H.memory_heatmap, "broken": broken, "nearest_normal_residual": H.residual_heatmap})
+    by = {r.mode: r for r in got.itertuples()}
+    assert not by["broken"].ok and by["broken"].error == "ValueError: no model" and by["patchcore_guided"].ok and by["patchcore_guided"].area > 0
+    assert by["normal_residual_fusion"].area > 0 and set(by) == {"patchcore_guided", "broken", "nearest_normal_residual", "normal_residual_fusion", "support_constrained_fusion", "ensemble_consensus"}
