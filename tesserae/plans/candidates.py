@@ -372,15 +372,6 @@ def linspace_subsample(spark, sf_dir):
     return R.even_subsample(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id", 50)
 
 
-@query("SELECT n_name AS a, m.r_name AS b FROM nation JOIN region m ON n_regionkey = r_regionkey WHERE r_name || '/' || n_name LIKE 'A%'")
-def path_containment(spark, sf_dir):
-    """Nations below a region's path, by prefix."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    joined = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"])
-    path = F.concat("r_name", F.lit("/"), "n_name")
-    return joined.filter(R.path_within(path, F.col("r_name")) & path.startswith("A")).select(F.col("n_name").alias("a"), F.col("r_name").alias("b"))
-
-
 @query(
     """SELECT generation_id, ('0x' || substr(sha256('"' || coalesce(any_value(category), '') || '"'), 1, 8))::BIGINT AS seed FROM generation_records GROUP BY 1"""
 )

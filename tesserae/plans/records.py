@@ -121,32 +121,6 @@ def latency_summary(spark, sf_dir):
     )
 
 
-@query(
-    """WITH g AS (SELECT generation_id, any_value(settings) AS s FROM generation_records GROUP BY 1), p AS (SELECT 'settings.prompt' AS key, s.prompt AS value FROM g UNION ALL SELECT 'settings.placement_mode', s.placement_mode FROM g)
-SELECT key, count(*) FILTER (regexp_matches(value, '[/\\\\]')) AS n_paths FROM p GROUP BY 1 HAVING n_paths > 0"""
-)
-def config_path_references(spark, sf_dir):
-    """Paths named anywhere inside the settings, by dotted key."""
-    rows = R.once(table(spark, sf_dir, "generation_records"), "generation_id", "settings")
-    return N.path_references(rows, "settings").groupBy("key").agg(F.count("*").alias("n_paths"))
-
-
-@query(
-    """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders), a AS (SELECT * FROM o WHERE n <= 3)
-SELECT o_custkey, list_transform(list(o_totalprice ORDER BY n), lambda x: round(x * 0.75e0 + 25, 4))[1] AS first_fused, count(*) AS n FROM a GROUP BY 1"""
-)
-def zip_fuse(spark, sf_dir):
-    """First fused place of two lists; like its SQL for the first three orders only. The whole lists are in ``zip_fuse_rasters``."""
-    from pyspark.sql import Window
-
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    few = o.withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).filter("n <= 3")
-    lists = few.groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "o_totalprice"))), lambda s: s["o_totalprice"]).alias("a"))
-    lists = lists.withColumn("b", F.transform("a", lambda x: F.lit(100.0)))
-    fused = F.zip_with("a", "b", lambda a, b: F.round(a * 0.75 + b * 0.25, 4))
-    return lists.select("o_custkey", fused[0].alias("first_fused"), F.size("a").cast("bigint").alias("n"))
-
-
 @query(
     """SELECT vec_id AS id, [round(greatest(0e0, least(1e0, (0.5e0 + embedding[i]::DOUBLE / 2) * 0.75e0 + (0.5e0 + embedding[i - 2 * ((i - 1) % 8) + 7]::DOUBLE / 2) * 0.25e0)), 6) FOR i IN generate_series(1, 64)] AS fused FROM embeddings"""
 )

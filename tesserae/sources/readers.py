@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,25 @@ def file_inventory(spark: SparkSession, path: str, suffixes: tuple[str, ...] = I
     return wanted.select(*columns, *([F.sha2("content", 256).alias("sha256")] if hashes else []))
 
 
+def defect_images(spark: SparkSession, root: str, targets: list[tuple[str, str]], most: int = 0, suffixes: tuple[str, ...] = IMAGE_SUFFIXES) -> DataFrame:
+    """(category, defect_type, path) of the images below ``root/category/test/defect_type``, by path, at most ``most`` per target.
+
+    A target without any image is an error.
+    """
+    files = file_inventory(spark, root, suffixes).withColumn("p", F.regexp_extract("path", r"([^/]+)/test/([^/]+)/.+$", 0))
+    files = files.select("path", F.regexp_extract("path", r"([^/]+)/test/([^/]+)/.+$", 1).alias("category"), F.regexp_extract("path", r"([^/]+)/test/([^/]+)/.+$", 2).alias("defect_type"))
+    wanted = F.broadcast(spark.createDataFrame(targets, "category string, defect_type string"))
+    rows = files.join(wanted, ["category", "defect_type"])
+    found = {(r[0], r[1]) for r in rows.select("category", "defect_type").distinct().collect()}  # at most one row per target
+    missing = sorted(set(targets) - found)
+    if missing:
+        raise FileNotFoundError(f"no images for {'/'.join(missing[0])}")
+    if most > 0:
+        order = Window.partitionBy("category", "defect_type").orderBy("path")
+        rows = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).drop("n")
+    return rows.select("category", "defect_type", "path").orderBy("category", "defect_type", "path")
+
+
 def newest_union(spark: SparkSession, combined: str, parts: list[str], schema: T.StructType | str) -> DataFrame:
     """The combined file if there is one, else all parts, each row with the file it came from."""
     jvm = spark._jvm

@@ -52,15 +52,40 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], checks
         raise
     finally:
         _write_text(spark, f"{where}/_status.json", json.dumps({"run": run, "status": status, "error": error, "tables": sorted(tables)}, sort_keys=True))
-    _write_text(spark, f"{root}/NEXT", run)
-    fs, new = _fs(spark, f"{root}/NEXT")
-    _, now = _fs(spark, f"{root}/CURRENT")
+    replace_text(spark, f"{root}/CURRENT", run)
+    return run
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file written beside its place and put there in one rename, so that readers see the old or the new one; writers do not share a name."""
+    beside = f"{path}.{uuid.uuid4().hex}"
+    _write_text(spark, beside, text)
+    _, new = _fs(spark, beside)
+    _, now = _fs(spark, path)
     options = spark._jvm.org.apache.hadoop.fs.Options.Rename
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration())
     modes = spark.sparkContext._gateway.new_array(options, 1)
     modes[0] = options.OVERWRITE
     context.rename(context.makeQualified(new), context.makeQualified(now), modes)
-    return run
+
+
+def write_json(spark: SparkSession, path: str, value: object) -> None:
+    """A value as JSON with sorted keys, two spaces deep, in one rename."""
+    replace_text(spark, path, json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False) + "\n")
+
+
+def markdown_table(df: DataFrame, title: str, most: int = 200) -> str:
+    """The first ``most`` rows of a report as a Markdown table; a report, not a table of records, so a limit belongs to it."""
+    rows = df.limit(most + 1).collect()
+    say = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
+    lines += ["| " + " | ".join(say(v) for v in r) + " |" for r in rows[:most]]
+    return "\n".join(lines + (["", f"More than {most} rows."] if len(rows) > most else [])) + "\n"
+
+
+def write_report(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> None:
+    """A Markdown report with one table per title, in one rename."""
+    replace_text(spark, path, "\n".join(markdown_table(df, title) for title, df in tables.items()))
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
