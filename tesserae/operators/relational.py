@@ -157,11 +157,13 @@ def path_within(path: Column, root: Column) -> Column:
 
 
 def content_fingerprint(df: DataFrame, groups: list[str], identity: str, *columns: str) -> DataFrame:
-    """(groups..., fingerprint): SHA-256 over the sorted digests of a group's rows.
+    """(groups..., fingerprint): SHA-256 over the sorted digests of a group's rows, in two levels.
 
-    Each row is reduced to its digest first, so what is gathered per group is
-    64 characters a row; groups are file sets, not whole tables.
+    Each row is reduced to its digest; digests with the same first three digits
+    make one of at most 4,096 parts, whose own digests, in order of the parts,
+    make the group's. No task gathers more than a part of a group.
     """
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (identity, *columns)]), 256)
-    listed = F.concat_ws(",", F.sort_array(F.collect_list("__d")))
-    return df.withColumn("__d", row).groupBy(*groups).agg(F.sha2(listed, 256).alias("fingerprint"), F.count("*").alias("n_rows"))
+    listed = lambda c: F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(c))), 256)
+    parts = df.withColumn("__d", row).groupBy(*groups, F.substring("__d", 1, 3).alias("__p")).agg(listed("__d").alias("__h"), F.count("*").alias("__n"))
+    return parts.groupBy(*groups).agg(listed(F.concat("__p", "__h")).alias("fingerprint"), F.sum("__n").alias("n_rows"))

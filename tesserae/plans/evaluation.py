@@ -9,6 +9,8 @@ from tesserae.operators import ladders as L
 from tesserae.operators import metrics as M
 from tesserae.operators import relational as R
 from tesserae.operators import vector as V
+from tesserae.operators.quantiles import exact_quantiles
+from tesserae.plans import policies
 from tesserae.plans.candidates import sql_finite
 from tesserae.session import cut, table
 
@@ -108,11 +110,11 @@ SELECT round(i, 6) AS macro_iou, round(d, 6) AS macro_dice, round(tp / greatest(
 def confusion_micro_macro(spark, sf_dir):
     """Overlap per provider averaged, and pooled."""
     rows = judged(spark, sf_dir)
-    p95 = F.percentile("score", F.lit(0.95))
+    p95 = exact_quantiles(rows, [], "score", [0.95]).select(F.round(F.col("q")[0], 6).alias("score_p95"))
     cells = M.confusion(rows, ["provider"], F.col("score") >= 0.5, F.col("truth"))
     ratios = M.overlap_ratios()
     macro = cells.agg(F.avg(ratios["iou"]).alias("i"), F.avg(ratios["dice"]).alias("d"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
-    both = macro.crossJoin(F.broadcast(rows.agg(F.round(p95, 6).alias("score_p95"))))  # one row each
+    both = macro.crossJoin(F.broadcast(p95))  # one row each
     return both.select(
         F.round("i", 6).alias("macro_iou"), F.round("d", 6).alias("macro_dice"), F.round(ratios["iou"], 6).alias("micro_iou"), F.round(ratios["dice"], 6).alias("micro_dice"), "score_p95"
     )
@@ -164,7 +166,7 @@ SELECT event_id, round(CASE WHEN hi > lo THEN pow(least(1.0e0, greatest(0.0e0, (
 def quantile_calibration(spark, sf_dir):
     """Values between two quantiles of their type, squared."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    q = e.groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("lo"), F.percentile("value", F.lit(0.99)).alias("hi"))
+    q = exact_quantiles(e, ["event_type"], "value", [0.5, 0.99]).select("event_type", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     return e.join(q, "event_type").select("event_id", F.round(M.calibrated(F.col("value"), F.col("lo"), F.col("hi"), 2.0), 6).alias("calibrated"))
 
 
@@ -192,22 +194,30 @@ SELECT event_type, round(avg(v), 6) AS macro, round(min(v), 6) AS worst, round(a
 def macro_worst_quartile(spark, sf_dir):
     """Mean over users, the worst user and the worst quarter, per event type."""
     users = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.avg("value").alias("v"))
-    rows = M.worst_quartile(users, ["event_type"], "v", "user_id")
+    rows = M.worst_quartile(users, ["event_type"], "v")
     return rows.select("event_type", *[F.round(c, 6).alias(c) for c in ("macro", "worst", "worst_quartile")])
 
 
 @query(
-    f"""WITH {_JUDGED}, c AS (SELECT category, {_CELLS}, count(*) AS n FROM judged WHERE category IS NOT NULL GROUP BY 1),
-d AS (SELECT 2 * tp / greatest(1, 2 * tp + fp + fn)::DOUBLE AS dice, tp / greatest(1, tp + fn)::DOUBLE AS recall FROM c)
-SELECT round(avg(dice), 6) AS macro_dice, round(min(dice), 6) AS worst_dice, round(avg(recall), 6) AS recall, avg(dice) >= 0.55 AND min(dice) >= 0.30 AND avg(recall) >= 0.90 AS go FROM d"""
+    f"""WITH {_JUDGED}, c AS (SELECT category, {_CELLS} FROM judged WHERE category IS NOT NULL GROUP BY 1),
+d AS (SELECT 2 * tp / greatest(1, 2 * tp + fp + fn)::DOUBLE AS dice, tp / greatest(1, tp + fn)::DOUBLE AS recall FROM c),
+m AS (SELECT round(avg(dice), 6) AS macro_dice, round(min(dice), 6) AS worst_dice, round(avg(recall), 6) AS recall FROM d),
+a AS (SELECT unnest(settings.candidate_predictions) AS p FROM (SELECT * FROM auto_mask_records WHERE auto_mask_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY auto_mask_id ORDER BY ingested_at) = 1)),
+v AS (SELECT round(avg((coalesce(p.disposition, 'needs_review') NOT IN ('needs_review', 'human_review', 'reject'))::INT), 6) AS coverage FROM a WHERE p IS NOT NULL),
+r AS (SELECT round(avg(regret), 6) AS regret FROM ({policies.SQL['oracle_regret']}))
+SELECT macro_dice, worst_dice, recall, coverage, regret, macro_dice >= 0.55 AND worst_dice >= 0.30 AND recall >= 0.90 AND coverage >= 0.75 AND regret <= 0.05 AS go FROM m, v, r"""
 )
 def go_no_go_gate(spark, sf_dir):
-    """Whether macro, worst and recall all clear their bars."""
+    """Whether macro and worst overlap, recall, accepted coverage and regret all clear their bars."""
     cells = M.confusion(judged(spark, sf_dir).filter("category is not null"), ["category"], F.col("score") >= 0.5, F.col("truth"))
     r = M.overlap_ratios()
-    macro, worst, recall = F.avg(r["dice"]), F.min(r["dice"]), F.avg(r["recall"])
-    return cells.agg(F.round(macro, 6).alias("macro_dice"), F.round(worst, 6).alias("worst_dice"), F.round(recall, 6).alias("recall"),
-                     ((macro >= 0.55) & (worst >= 0.30) & (recall >= 0.90)).alias("go"))
+    measures = cells.agg(F.round(F.avg(r["dice"]), 6).alias("macro_dice"), F.round(F.min(r["dice"]), 6).alias("worst_dice"), F.round(F.avg(r["recall"]), 6).alias("recall"))
+    masks = R.once(table(spark, sf_dir, "auto_mask_records"), "auto_mask_id", "settings")
+    said = masks.select(F.explode("settings.candidate_predictions").alias("p")).filter("p is not null").select(F.coalesce("p.disposition", F.lit("needs_review")).alias("d"))
+    coverage = said.agg(F.round(F.avg((~F.col("d").isin("needs_review", "human_review", "reject")).cast("int")), 6).alias("coverage"))
+    regret = policies.oracle_regret(spark, sf_dir).agg(F.round(F.avg("regret"), 6).alias("regret"))
+    rows = measures.crossJoin(coverage).crossJoin(regret)  # one row each
+    return M.gate(rows)
 
 
 @query()
@@ -217,12 +227,19 @@ def bootstrap_ci(spark, sf_dir):
 
 
 @query(f"WITH {_JUDGED} SELECT round(quantile_cont(greatest(0.0e0, score - truth::INT), 0.9), 6) AS residual FROM judged")
-def isotonic_conformal(spark, sf_dir):
+def conformal_residual(spark, sf_dir):
     """How far scores overshoot what reviewers said, at the 90 % level."""
     rows = judged(spark, sf_dir).withColumn("actual", F.col("truth").cast("double"))
     return M.conformal_bound(rows, "score", "actual").select(F.round("residual", 6).alias("residual"))
 
 
+@query()
+def isotonic_conformal(spark, sf_dir):
+    """Scores calibrated on what reviewers said, and what they are at least at the 90 % level."""
+    rows = judged(spark, sf_dir).withColumn("actual", F.col("truth").cast("double"))
+    return M.calibrated_bound(rows, "score", "actual").select("phase4_id", F.round("calibrated", 6).alias("calibrated"), F.round("lower", 6).alias("lower"))
+
+
 # --- neighbours ----------------------------------------------------------------------------------------------------
 
 _VEC = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), t AS (SELECT * FROM e WHERE label <> 0), m AS (SELECT * FROM e WHERE label = 0)"""

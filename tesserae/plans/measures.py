@@ -13,6 +13,7 @@ from tesserae.operators import raster as G
 from tesserae.operators import relational as R
 from tesserae.plans.candidates import sql_finite
 from tesserae.plans.rasters import _PX, images
+from tesserae.operators.quantiles import exact_quantiles
 from tesserae.session import table
 
 QUERIES: dict = {}
@@ -198,7 +199,8 @@ def scale_consistency(spark, sf_dir):
 def foreground_consensus(spark, sf_dir):
     """The median image of all, and which cells it calls foreground."""
     cells = images(spark, sf_dir).select(F.posexplode("values").alias("pos", "v"))
-    return cells.groupBy("pos").agg(F.median("v").alias("m")).select("pos", F.round("m", 6).alias("med"), (F.col("m") >= 0).alias("foreground"))
+    medians = exact_quantiles(cells, ["pos"], "v", [0.5]).withColumn("m", F.col("q")[0])
+    return medians.select("pos", F.round("m", 6).alias("med"), (F.col("m") >= 0).alias("foreground"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tesserae.operators import kernels as K
 from tesserae.operators import ladders as L
 from tesserae.operators import metrics as M
+from tesserae.operators import quantiles as Q
 from tesserae.operators import vector as V
 from tesserae.operators.raster import map_rasters, soft_entropy
 
@@ -66,6 +67,49 @@ def test_bootstrap_takes_a_thousand_rounds(spark):
     assert row == M.bootstrap_interval(df, "g", "v", "n", 1000).first() != M.bootstrap_interval(df, "g", "v", "n", 200).first()
 
 
+def test_bootstrap_is_hierarchical(spark):
+    # groups far apart, rows alike: the interval is that of redrawn groups
+    df = spark.createDataFrame([(f"g{i % 5}", float(i % 5), i) for i in range(500)] + [(None, 9.0, 1000), ("g1", None, 1001)], "g string, v double, n int")
+    row = M.bootstrap_interval(df, "g", "v", "n").first()
+    rng = np.random.default_rng(0)
+    want = np.quantile(rng.integers(0, 5, (20000, 5)).mean(axis=1), [0.025, 0.975])
+    assert abs(row.mean - 2) < 0.1 and abs(row.low - want[0]) <= 0.2 and abs(row.high - want[1]) <= 0.2
+    lone = M.bootstrap_interval(spark.createDataFrame([("a", 1.0, 1), ("b", 3.0, 2)], "g string, v double, n int"), "g", "v", "n").first()
+    assert (lone.low, lone.high) == (1.0, 3.0)
+    assert M.bootstrap_interval(df.limit(0), "g", "v", "n").count() == 0
+
+
+def test_order_statistics_equal_numpy(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(Q, "BINS", 8)
+    sets = {"a": rng.normal(size=301), "b": np.r_[np.full(50, 2.0), 1e300, -1e300, rng.normal(size=40)], "c": np.array([7.0]), None: rng.integers(0, 3, 77).astype(float), "d": np.full(9, -0.5)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in sets.items() for v in vs] + [("a", None), ("a", float("nan")), ("empty", None)], "g string, v double")
+    parts = [0.0, 0.1, 0.5, 0.95, 1.0]
+    got = {r.g: r for r in Q.exact_quantiles(df, ["g"], "v", parts).collect()}
+    assert set(got) == set(sets)
+    for g, vs in sets.items():
+        assert got[g].n == len(vs) and np.allclose(got[g].q, np.quantile(vs, parts), rtol=1e-12)
+    whole = np.concatenate(list(sets.values()))
+    assert np.allclose(Q.exact_quantiles(df, [], "v", parts).first().q, np.quantile(whole, parts), rtol=1e-12)
+    assert Q.exact_quantiles(df.limit(0), [], "v", parts).count() == 0
+    low = {r.g: r for r in M.worst_quartile(df, ["g"], "v").collect()}
+    for g, vs in sets.items():
+        assert np.isclose(low[g].worst_quartile, np.sort(vs)[: max(1, len(vs) // 4)].mean(), rtol=1e-9) and low[g].worst == vs.min()
+
+
+def test_calibrated_bound_equals_pooling_by_hand(spark):
+    rows = [(0.1, 0.0), (0.2, 1.0), (0.3, 0.0), (0.6, 1.0), (0.9, 1.0), (0.95, None), (None, 1.0)]
+    got = {r.p: (r.calibrated, r.lower) for r in M.calibrated_bound(spark.createDataFrame(rows, "p double, y double"), "p", "y").collect()}
+    # 1 and 0 at 0.2 and 0.3 are pooled to a half; overshoots are 0, 0, .5, 0, 0 and their 0.9 quantile .3
+    assert [got[p][0] for p in (0.1, 0.2, 0.3, 0.6, 0.9, 0.95)] == [0.0, 0.5, 0.5, 1.0, 1.0, 1.0] and got[None] == (None, 0.0) or got[None][0] is None
+    assert np.allclose([got[p][1] for p in (0.1, 0.2, 0.6)], [0.0, 0.2, 0.7])
+
+
+def test_gate(spark):
+    row = spark.createDataFrame([(0.55, 0.30, 0.90, 0.75, 0.05), (0.9, 0.9, 0.9, 0.9, 0.06), (0.9, None, 0.9, 0.9, 0.0)], "macro_dice double, worst_dice double, recall double, coverage double, regret double")
+    assert [r.go for r in M.gate(row).collect()] == [True, False, False]
+
+
 def test_neighbours_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(V, "BLOCK_VECTORS", 30)
     x = np.random.default_rng(0).normal(size=(120, 5))
