@@ -150,6 +150,7 @@ direct AS (
 
 SQL = {
     "p2_found": f"WITH {_NAMED} SELECT table_name, field_name, record_id FROM direct",
+    "p2_report": f"WITH {_NAMED} SELECT table_name, field_name, strftime(created_at, '%Y-%m') AS month, 'direct' AS kind, count(*) AS n_refs FROM direct GROUP BY ALL",
     "p3_found": """
 WITH r AS (
   SELECT auto_mask_id, arg_min(settings, ingested_at) AS s, arg_min(mask_variant_paths, ingested_at) AS v, arg_min(mask_variant_overlay_paths, ingested_at) AS o

@@ -90,7 +90,7 @@ def write_report(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the run that is current."""
-    return spark.read.parquet(f"{root}/runs/{_read_text(spark, f'{root}/CURRENT')}/{name}")
+    return spark.read.parquet(f"{root}/runs/{read_text(spark, f'{root}/CURRENT')}/{name}")
 
 
 def copy_changed(spark: SparkSession, source: DataFrame, target: DataFrame) -> DataFrame:
@@ -115,5 +115,11 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str, missing: str | None = None) -> str:
+    """A small file's text; ``missing`` where there is none, an error if that is not given."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        if missing is None:
+            raise FileNotFoundError(path)
+        return missing
     return spark.read.text(path, wholetext=True).first()[0].strip()

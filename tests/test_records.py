@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tesserae.operators import lineage as N
 from tesserae.operators import relational as R
 from tesserae.sources import readers, sinks
-from tesserae.streaming.upsert import stream_upsert, windowed_counts
+from tesserae.streaming.upsert import latest, stream_upsert, windowed_counts
 
 
 def test_ties_in_deduplication(spark):
@@ -126,7 +126,9 @@ def test_stream_upsert(spark, tmp_path):
     run()
     spark.createDataFrame([(2, 5, "new"), (1, 1, "old"), (3, 1, "d")], schema).write.mode("append").parquet(source)
     run()
-    assert {r.k: r.v for r in spark.read.parquet(target).collect()} == {1: "c", 2: "new", 3: "d"}
+    assert {r.k: r.v for r in latest(spark, target, schema).collect()} == {1: "c", 2: "new", 3: "d"}
+    run()  # nothing new
+    assert latest(spark, target, schema).count() == 3 and latest(spark, str(tmp_path / "none"), schema).count() == 0
 
 
 def test_windowed_counts_on_a_stream(spark, tmp_path):
