@@ -80,6 +80,18 @@ def gaussian(x: np.ndarray, sigma: float) -> np.ndarray:
     return x
 
 
+def resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear: shrinking averages over the cells a new one covers, growing goes straight between centres."""
+
+    def weights(n: int, m: int) -> np.ndarray:
+        scale = max(1.0, n / m)
+        centre = (np.arange(m) + 0.5) * n / m - 0.5
+        w = np.maximum(0.0, 1 - np.abs(np.arange(n)[None, :] - centre[:, None]) / scale)
+        return w / w.sum(axis=1, keepdims=True)
+
+    return np.einsum("ai,nij,bj->nab", weights(x.shape[1], height), x, weights(x.shape[2], width))
+
+
 def structure_ridge(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Where brightness changes along one direction only, weighted by how much."""
     smooth = gaussian(x, sigma)

@@ -71,7 +71,8 @@ def heuristic_prediction(coverage: Column, agreement: Column, disagreement: Colu
 def arbitration(auroc: Column, aupro: Column, dice: Column, rate: Column, truth: Column, ratio: Column, base: dict[str, Column]) -> dict[str, Column]:
     """Verdict on a mixing ratio against its evaluator's baseline (columns of ``base``)."""
     ranking, base_ranking = 0.45 * auroc + 0.55 * aupro, 0.45 * base["auroc"] + 0.55 * base["aupro"]
-    dice_gain, ranking_gain = dice - base["dice"] >= 0.005, ranking - base_ranking >= 0.005
+    gain = lambda a, b: F.coalesce(a - b >= 0.005, F.lit(False))  # noqa: E731 - none without a baseline
+    dice_gain, ranking_gain = gain(dice, base["dice"]), gain(ranking, base_ranking)
     inflated = rate > 1.5 * F.greatest(truth, F.lit(1e-6))
     high = ratio >= 0.5
     verdict = (

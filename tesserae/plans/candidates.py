@@ -194,14 +194,14 @@ def disposition(spark, sf_dir):
     f"""WITH one AS (SELECT * FROM phase4_records QUALIFY row_number() OVER (PARTITION BY phase4_id ORDER BY ingested_at) = 1),
 m AS (SELECT provider, variant, round(avg({_V}), 6) AS auroc, round(avg(1 - least(1.0e0, {_L})), 6) AS aupro, round(avg({sql_finite('generation_quality_score')}), 6) AS dice,
   round(avg({_O}), 6) AS rate, round(avg({_I}), 6) AS truth, round(count(*) FILTER (len(quality_flags) > 0) / count(*), 6) AS ratio FROM one WHERE provider IS NOT NULL AND variant IS NOT NULL GROUP BY ALL),
-base AS (SELECT provider, arg_min(auroc, variant) AS b_auroc, arg_min(aupro, variant) AS b_aupro, arg_min(dice, variant) AS b_dice FROM m GROUP BY 1),
-g AS (SELECT *, 0.45e0*auroc + 0.55e0*aupro AS ranking, dice - b_dice >= 0.005 AS dg, (0.45e0*auroc + 0.55e0*aupro) - (0.45e0*b_auroc + 0.55e0*b_aupro) >= 0.005 AS rg,
-  rate > 1.5e0*greatest(truth, 1e-6) AS inf FROM m JOIN base USING (provider))
+base AS (SELECT provider, auroc AS b_auroc, aupro AS b_aupro, dice AS b_dice FROM m WHERE variant = 'zero_gate'),
+g AS (SELECT *, 0.45e0*auroc + 0.55e0*aupro AS ranking, coalesce(dice - b_dice >= 0.005, false) AS dg, coalesce((0.45e0*auroc + 0.55e0*aupro) - (0.45e0*b_auroc + 0.55e0*b_aupro) >= 0.005, false) AS rg,
+  rate > 1.5e0*greatest(truth, 1e-6) AS inf FROM m LEFT JOIN base USING (provider))
 SELECT provider, variant, round(0.45e0*ranking + 0.55e0*dice, 5) AS utility, CASE WHEN ratio >= 0.5 AND inf AND NOT dg THEN 'demote_ratio' WHEN dg AND rg AND NOT inf THEN 'recommended'
   WHEN dg OR rg THEN 'candidate' WHEN ratio >= 0.5 THEN 'demote_ratio' ELSE 'candidate' END AS verdict FROM g"""
 )
 def ratio_arbitration(spark, sf_dir):
-    """Each provider's variants against the provider's first variant."""
+    """Each provider's variants against its baseline, the variant without gate; a provider without one gains nothing."""
     rows = R.once(table(spark, sf_dir, "phase4_records"), "phase4_id", "provider", "variant", "defect_visibility_score", "background_preservation_l1",
                   "generation_quality_score", "outside_refined_change_fraction", "inpaint_mask_area_fraction", "quality_flags")
     n = lambda c: S.safe_number(F.col(c))
@@ -211,8 +211,8 @@ def ratio_arbitration(spark, sf_dir):
         mean(n("generation_quality_score")).alias("dice"), mean(n("outside_refined_change_fraction")).alias("rate"),
         mean(n("inpaint_mask_area_fraction")).alias("truth"), F.round(F.count_if(F.size("quality_flags") > 0) / F.count("*"), 6).alias("ratio"),
     )
-    base = m.groupBy("provider").agg(*[F.min_by(c, "variant").alias(f"b_{c}") for c in ("auroc", "aupro", "dice")])
-    both = m.join(base, "provider")
+    base = m.filter("variant = 'zero_gate'").select("provider", *[F.col(c).alias(f"b_{c}") for c in ("auroc", "aupro", "dice")])
+    both = m.join(base, "provider", "left")
     a = sel.arbitration(F.col("auroc"), F.col("aupro"), F.col("dice"), F.col("rate"), F.col("truth"), F.col("ratio"), {c: F.col(f"b_{c}") for c in ("auroc", "aupro", "dice")})
     return both.select("provider", "variant", F.round(a["utility"], 5).alias("utility"), a["verdict"].alias("verdict"))
 

@@ -101,10 +101,10 @@ _CELLS = "count(*) FILTER (score >= 0.5 AND truth) AS tp, count(*) FILTER (score
 
 
 @query(
-    f"""WITH {_JUDGED}, c AS (SELECT provider, {_CELLS} FROM judged GROUP BY 1),
-m AS (SELECT avg(tp / greatest(1, tp + fp + fn)::DOUBLE) AS i, avg(2 * tp / greatest(1, 2 * tp + fp + fn)::DOUBLE) AS d FROM c),
+    f"""WITH {_JUDGED}, c AS (SELECT provider, {_CELLS}, count(*) AS n FROM judged GROUP BY 1),
+m AS (SELECT avg(tp / greatest(1, tp + fp + fn)::DOUBLE) AS i, avg(2 * tp / greatest(1, 2 * tp + fp + fn)::DOUBLE) AS d, round(avg((tp + fp) / greatest(1, n)::DOUBLE), 6) AS macro_positive_rate, round(avg((tp + fn) / greatest(1, n)::DOUBLE), 6) AS macro_truth_rate FROM c),
 u AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM c)
-SELECT round(i, 6) AS macro_iou, round(d, 6) AS macro_dice, round(tp / greatest(1, tp + fp + fn)::DOUBLE, 6) AS micro_iou, round(2 * tp / greatest(1, 2 * tp + fp + fn)::DOUBLE, 6) AS micro_dice,
+SELECT round(i, 6) AS macro_iou, round(d, 6) AS macro_dice, round(tp / greatest(1, tp + fp + fn)::DOUBLE, 6) AS micro_iou, round(2 * tp / greatest(1, 2 * tp + fp + fn)::DOUBLE, 6) AS micro_dice, macro_positive_rate, macro_truth_rate,
  (SELECT round(quantile_cont(score, 0.95), 6) FROM judged) AS score_p95 FROM m, u"""
 )
 def confusion_micro_macro(spark, sf_dir):
@@ -113,10 +113,11 @@ def confusion_micro_macro(spark, sf_dir):
     p95 = exact_quantiles(rows, [], "score", [0.95]).select(F.round(F.col("q")[0], 6).alias("score_p95"))
     cells = M.confusion(rows, ["provider"], F.col("score") >= 0.5, F.col("truth"))
     ratios = M.overlap_ratios()
-    macro = cells.agg(F.avg(ratios["iou"]).alias("i"), F.avg(ratios["dice"]).alias("d"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    total = F.greatest(F.lit(1), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))
+    macro = cells.agg(F.avg(ratios["iou"]).alias("i"), F.avg(ratios["dice"]).alias("d"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.round(F.avg((F.col("tp") + F.col("fp")) / total), 6).alias("macro_positive_rate"), F.round(F.avg((F.col("tp") + F.col("fn")) / total), 6).alias("macro_truth_rate"))
     both = macro.crossJoin(F.broadcast(p95))  # one row each
     return both.select(
-        F.round("i", 6).alias("macro_iou"), F.round("d", 6).alias("macro_dice"), F.round(ratios["iou"], 6).alias("micro_iou"), F.round(ratios["dice"], 6).alias("micro_dice"), "score_p95"
+        F.round("i", 6).alias("macro_iou"), F.round("d", 6).alias("macro_dice"), F.round(ratios["iou"], 6).alias("micro_iou"), F.round(ratios["dice"], 6).alias("micro_dice"), "macro_positive_rate", "macro_truth_rate", "score_p95"
     )
 
 

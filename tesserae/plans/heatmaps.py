@@ -229,3 +229,18 @@ def offset_bins(spark, sf_dir):
         return pd.DataFrame(rows, columns=["id", "nth", "low", "high"])
 
     return map_rasters(images(spark, sf_dir), run, "id bigint, nth int, low double, high double")
+
+
+@query(
+    f"""WITH {_PX}, w AS (SELECT a, i, greatest(0.0e0, 1 - abs(i - (2 * a + 0.5e0)) / 2) AS w FROM generate_series(0, 3) g(a), generate_series(0, 7) h(i)), n AS (SELECT a, i, w / sum(w) OVER (PARTITION BY a) AS w FROM w)
+SELECT id, y.a::INT AS y, x.a::INT AS x, round(sum(y.w * x.w * v), 6) AS v FROM px JOIN n y ON y.i = px.y JOIN n x ON x.i = px.x GROUP BY id, y.a, x.a"""
+)
+def resized(spark, sf_dir):
+    """Images at half their height and width, cell by cell."""
+
+    def run(ids, x):
+        small = np.round(K.resized(x, 4, 4), 6)
+        n, h, w = small.shape
+        return pd.DataFrame({"id": np.repeat(ids, h * w), "y": np.tile(np.repeat(np.arange(h), w), n).astype(np.int32), "x": np.tile(np.arange(w), n * h).astype(np.int32), "v": small.ravel()})
+
+    return map_rasters(images(spark, sf_dir), run, "id bigint, y int, x int, v double")

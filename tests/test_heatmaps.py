@@ -152,3 +152,10 @@ def test_a_failing_builder_leaves_the_others():
     by = {r.mode: r for r in got.itertuples()}
     assert not by["broken"].ok and by["broken"].error == "ValueError: no model" and by["patchcore_guided"].ok and by["patchcore_guided"].area > 0
     assert by["normal_residual_fusion"].area > 0 and set(by) == {"patchcore_guided", "broken", "nearest_normal_residual", "normal_residual_fusion", "support_constrained_fusion", "ensemble_consensus"}
+
+
+def test_resized():
+    x = RNG.random((2, 6, 4))
+    assert np.allclose(K.resized(x, 6, 4), x) and np.allclose(K.resized(np.full((1, 5, 7), 0.3), 3, 9), 0.3)
+    ramp = np.tile(np.arange(4.0), (1, 2, 1))
+    assert np.allclose(K.resized(ramp, 2, 8)[0, 0], [0, 0.25, 0.75, 1.25, 1.75, 2.25, 2.75, 3])
