@@ -59,11 +59,11 @@ def _chunks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
         yield ids[first:], texts[first:]
 
 
-def shred(records: DataFrame, id_column: str, fields: list[str], children: tuple[ChildTable, ...]) -> DataFrame:
+def shred(records: DataFrame, id_column: str, fields: list[str], children: tuple[ChildTable, ...], values: bool = True) -> DataFrame:
     """(id, child_table, field, parent_key, child_key, value) of every child row.
 
     ``field`` is the member of the path the value stands under, ``value`` its
-    JSON text.
+    JSON text, or null if values are not asked for.
     """
     first = F.struct(records["ingested_at"].isNull().alias("late"), records["ingested_at"])
     once = records.filter(records[id_column].isNotNull()).groupBy(records[id_column].alias("id")).agg(F.min_by(F.struct(*[records[f] for f in fields]), first).alias("r"))
@@ -74,13 +74,14 @@ def shred(records: DataFrame, id_column: str, fields: list[str], children: tuple
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield from _shred_texts(ids, texts, children, batch.schema.field(0).type)
+                yield from _shred_texts(ids, texts, children, batch.schema.field(0).type, values)
 
     return source.mapInArrow(run, schema)
 
 
-def _shred_texts(ids: list, texts: list[str], children: tuple[ChildTable, ...], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _shred_texts(ids: list, texts: list[str], children: tuple[ChildTable, ...], id_type: pa.DataType, values: bool = True) -> Iterator[pa.RecordBatch]:
     index = JsonIndex(texts)
+    known = pa.array(ids, id_type)
     for child in children:
         for path in child.paths:
             rows = index.select(path)
@@ -91,16 +92,16 @@ def _shred_texts(ids: list, texts: list[str], children: tuple[ChildTable, ...],
             up = rows
             for _ in range(child.parent_levels):
                 up = index.parent[up]
-            parents = [index.label(r) for r in up] if child.parent_levels else [""] * len(rows)
+            parents = index.labels(up) if child.parent_levels else [""] * len(rows)
             field = next(p for p in reversed(path[:-1]) if p not in "*#")
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([ids[d] for d in index.doc[rows]], id_type),
-                    pa.array([child.name] * len(rows)),
-                    pa.array([field] * len(rows)),
+                    known.take(pa.array(index.doc[rows])),
+                    pa.repeat(child.name, len(rows)),
+                    pa.repeat(field, len(rows)),
                     pa.array(parents),
-                    pa.array([index.label(r) for r in rows]),
-                    pa.array([index.text(r) for r in rows]),
+                    pa.array(index.labels(rows)),
+                    pa.array(index.texts(rows)) if values else pa.nulls(len(rows), pa.string()),
                 ],
                 ["id", "child_table", "field", "parent_key", "child_key", "value"],
             )

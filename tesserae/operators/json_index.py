@@ -121,6 +121,19 @@ class JsonIndex:
         """Key of a member, or place of an element as text."""
         return self.key(row) if self.key_start[row] >= 0 else str(self.position[row])
 
+    def labels(self, rows: np.ndarray) -> list[str]:
+        """``label`` of many rows."""
+        starts, stops, data = self.key_start[rows].tolist(), self.key_stop[rows].tolist(), self.data
+        out = [data[a:b].decode() if a >= 0 else str(p) for a, b, p in zip(starts, stops, self.position[rows].tolist())]
+        for i in (i for i, t in enumerate(out) if "\\" in t):
+            out[i] = self.label(rows[i])
+        return out
+
+    def texts(self, rows: np.ndarray) -> list[str]:
+        """``text`` of many rows."""
+        data = self.data
+        return [data[a:b].decode() for a, b in zip(self.start[rows].tolist(), self.stop[rows].tolist())]
+
     def select(self, path: tuple[str, ...]) -> np.ndarray:
         """Rows at ``path``; ``*`` is any key, ``#`` any element."""
         rows = np.flatnonzero(self.depth == 1)

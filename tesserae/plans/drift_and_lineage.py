@@ -36,14 +36,14 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(_orphans(spark, sf_dir))
 
 
-def _shredded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _shredded(spark: SparkSession, sf_dir: str, values: bool = True) -> DataFrame:
     fields = ["settings", "mask_variant_paths", "mask_variant_overlay_paths"]
-    return shred(table(spark, sf_dir, "auto_mask_records"), "auto_mask_id", fields, AUTO_MASK_CHILDREN)
+    return shred(table(spark, sf_dir, "auto_mask_records"), "auto_mask_id", fields, AUTO_MASK_CHILDREN, values)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every flat child row with its parent's and its own key."""
-    return linked_rows(_shredded(spark, sf_dir)).withColumnRenamed("id", "auto_mask_id")
+    return linked_rows(_shredded(spark, sf_dir, values=False)).withColumnRenamed("id", "auto_mask_id")
 
 
 def p3_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
