@@ -48,11 +48,6 @@ def file_key(value: str, top_dirs: str = TOP_DIRS) -> Column:
     return F.expr(_FILE_KEY.format(value=value, edge=_EDGE_SPACE, stand_ins=named, top_dirs=top_dirs))
 
 
-def trimmed(value: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(value, _EDGE_SPACE, "")
-
-
 def file_name(value: Column) -> Column:
     """Last segment of a path in either slash notation."""
     return F.substring_index(F.translate(value, "\\", "/"), "/", -1)

@@ -75,20 +75,6 @@ def answered_json(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
-def any_word(text: Column, words: tuple[str, ...]) -> Column:
-    """Whether the text has any of the words after lower-casing and ``-`` to ``_``."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "-", "_").rlike("|".join(words))
-
-
-def classify(text: Column, classes: tuple[tuple[str, tuple[str, ...]], ...], default: str) -> Column:
-    """Name of the first class any of whose words the text has."""
-    out = None
-    for name, words in classes:
-        met = any_word(text, words)
-        out = F.when(met, name) if out is None else out.when(met, name)
-    return F.lit(default) if out is None else out.otherwise(default)
-
-
 def reasons(*named: tuple[str, Column]) -> Column:
     """Names of the conditions that hold, in the order given; one that is null does not hold."""
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in named]))

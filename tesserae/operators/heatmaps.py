@@ -16,7 +16,6 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tesserae.operators import kernels as K
 from tesserae.operators.raster import map_rasters

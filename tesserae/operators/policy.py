@@ -227,6 +227,12 @@ def candidate_of(candidates: Column, mode: str) -> Column:
     return F.get(F.filter(candidates, lambda c: c["mode"] == mode), F.lit(0))
 
 
+def scratch_morphology(policy: Column) -> Column:
+    """Morphology a policy stands for; not_scratch for those of other defects."""
+    known = F.create_map(*[F.lit(x) for kv in MORPHOLOGY.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, policy), F.lit("not_scratch"))
+
+
 def selection_policy(category: Column, defect: Column, description: Column, region: Column, candidates: Column) -> Column:
     """Name of the policy of an image. ``region`` is [x1, y1, x2, y2]."""
     text = spoken(category, defect, description)

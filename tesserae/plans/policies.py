@@ -187,10 +187,10 @@ def specialist_applicability(spark, sf_dir):
     return rows.select("sample_id", F.array_compact(F.array(*fits)).alias("specialists"))
 
 
-@query(f"WITH {_IMAGES}, {_CANDIDATES} SELECT auto_mask_id, policy, gate FROM gated")
+@query(f"WITH {_IMAGES}, {_CANDIDATES} SELECT auto_mask_id, policy, gate, CASE WHEN defect <> 'scratch' THEN 'not_scratch' WHEN aspect >= 2.2 OR (normal_comps >= 3 AND NOT hinted) THEN 'scratch_band' WHEN hinted THEN 'multi_scuff' ELSE 'single_stroke' END AS morphology FROM gated")
 def selection_policies(spark, sf_dir):
     """Policy of every image, and what the chain gate says of it."""
-    return images(spark, sf_dir).select("auto_mask_id", "policy", F.col("why").alias("gate"))
+    return images(spark, sf_dir).select("auto_mask_id", "policy", F.col("why").alias("gate"), P.scratch_morphology(F.col("policy")).alias("morphology"))
 
 
 @query(f"WITH {_IMAGES}, {_CANDIDATES}, {_ADJUSTED} SELECT auto_mask_id, mode, policy, status, round(adjusted, 6) AS adjusted FROM adj")

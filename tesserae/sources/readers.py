@@ -28,7 +28,7 @@ def lenient_json(spark: SparkSession, path: str | list[str], schema: T.StructTyp
 
 def manifest_rows(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
     """Rows of manifests that are JSON lines, one JSON list, or one object with ``rows``."""
-    shape = schema if isinstance(schema, str) else schema.simpleString()
+    shape = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).simpleString()
     whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
     kind = F.when(F.col("t").startswith("["), "list").when(F.expr("try_variant_get(try_parse_json(concat('[', t, ']')), '$[0].rows') is not null"), "rows").otherwise("lines")
     kinds = whole.withColumn("kind", kind)
