@@ -39,7 +39,7 @@ def samples(spark, sf_dir):
 
 @query(
     f"""WITH {_SAMPLES} SELECT category || '/' || defect_type AS target, split, (row_number() OVER (PARTITION BY category, defect_type, split ORDER BY sample_id) - 1)::INT AS place, sample_id, image_path FROM s
-WHERE split IN ('adaptation', 'held_out') AND category IS NOT NULL AND defect_type IS NOT NULL QUALIFY place < 20"""
+WHERE split IN ('adaptation', 'held_out') AND category IS NOT NULL AND defect_type IS NOT NULL QUALIFY split = 'adaptation' OR place < 20"""
 )
 def manifest_flatten(spark, sf_dir):
     """Samples of nested manifests: all of the adaptation split, at most twenty held out per target."""
