@@ -138,7 +138,7 @@ class _Spellings(dict):
         self._arrays: tuple | None = None
 
     def __missing__(self, raw: str) -> int:
-        words, flag = plain_words(raw)
+        words, flag = plain_words(raw, _words())
         for w in words:
             plain, hidden = _plain(w, bool(flag & 8))
             parts = [plain]

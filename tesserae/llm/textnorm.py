@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Container
 
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ue000\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&[a-z]{2,8};|&#\d{1,6};", re.I)
@@ -56,8 +57,11 @@ def raw_tokens(text: str) -> list[str]:
     return _TOKEN.findall(_SPACED.sub(lambda m: m[0].replace(m[1], "") + _JOINED, text))
 
 
-def plain_words(raw: str) -> tuple[list[str], int]:
-    """(words, flags) of one raw token: lower case, disguises undone; flag bits 1 capitals, 2 disguised, 4 exclamation after, 8 masked."""
+def plain_words(raw: str, known: Container[str] = ()) -> tuple[list[str], int]:
+    """(words, flags) of one raw token: lower case, disguises undone; flag bits 1 capitals, 2 disguised, 4 exclamation after, 8 masked.
+
+    A letter written three times or more stands for one, or for two where that is a ``known`` word.
+    """
     apart = raw.endswith(_JOINED)
     raw = raw.replace(_JOINED, "")
     shouted = raw.endswith("!")
@@ -80,7 +84,8 @@ def plain_words(raw: str) -> tuple[list[str], int]:
             if len(bare) <= len(low) - 1 and not _COMPOUND.fullmatch(low):
                 flag |= 8
     if _REPEAT.search(low):
-        low, flag = _REPEAT.sub(r"\1", low), flag | 2
+        twice = _REPEAT.sub(r"\1\1", low)
+        low, flag = twice if twice in known else _REPEAT.sub(r"\1", low), flag | 2
     return low.split("-") if _COMPOUND.fullmatch(low) else [low.strip("'’")], flag
 
 

@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.1"
     "text,word",
     [
         ("you 1d10t", "idiot"), ("you i d i o t", "idiot"), ("you i.d.i.o.t", "idiot"), ("you idiооt", "idiot"), ("you iiiiidiot", "idiot"),
-        ("YOU IDIOT!", "idiot"), ("you id​iot", "idiot"), ("<b>idiot</b>", "idiot"), ("idi*t", "idiot"), ("idoit", "idiot"),
+        ("YOU IDIOT!", "idiot"), ("you id​iot", "idiot"), ("<b>idiot</b>", "idiot"), ("idi*t", "idiot"), ("idoit", "idiot"), ("dumbassss", "dumbass"),
     ],
 )
 def test_disguises_are_undone(text, word):
