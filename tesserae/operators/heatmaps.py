@@ -15,7 +15,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tesserae.operators import kernels as K
 from tesserae.operators.raster import map_rasters
@@ -257,6 +258,33 @@ def fused_mask(masks: np.ndarray, least_votes: int, support: np.ndarray | None =
     return out
 
 
+def combined_mask(masks: Column, modes: list[str], operation: str) -> Column:
+    """Union or intersection of the masks of all ``modes`` out of a map from mode to mask; null if one is missing or nothing is left."""
+    join = {"union": lambda a, b: F.greatest(a, b), "intersection": lambda a, b: F.least(a, b)}
+    if operation not in join or not modes:
+        raise ValueError(f"cannot combine {modes} by {operation}")
+    parts = [F.try_element_at(masks, F.lit(m)) for m in modes]
+    out = parts[0]
+    for p in parts[1:]:
+        out = F.zip_with(out, p, join[operation])  # null if either is
+    return F.when(F.exists(out, lambda v: v > 0), out)
+
+
+#: A window's score: its 98th percentile and the mean of its hottest twentieth. Fixed values.
+WINDOW_WEIGHTS, WINDOW_PERCENTILE, WINDOW_PART = (0.65, 0.35), 98.0, 20
+
+
+def window_scores(heat: np.ndarray, height: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tops, scores (n, windows)) of windows of full width slid down each image; one window if the image is lower than it."""
+    tops = np.arange(0, max(1, heat.shape[1] - height + 1), max(1, stride))
+    scores = []
+    for top in tops:
+        cells = np.sort(heat[:, top : top + height].reshape(len(heat), -1), axis=1)
+        hottest = cells[:, -max(1, cells.shape[1] // WINDOW_PART) :].mean(axis=1)
+        scores.append(WINDOW_WEIGHTS[0] * np.percentile(cells, WINDOW_PERCENTILE, axis=1) + WINDOW_WEIGHTS[1] * hottest)
+    return tops, np.stack(scores, axis=1)
+
+
 def weighted_fusion(mean: np.ndarray, greatest: np.ndarray, agreement: np.ndarray) -> np.ndarray:
     """Evidence maps as one: mean, greatest and agreement at .58, .27 and .15."""
     return 0.58 * mean + 0.27 * greatest + 0.15 * agreement

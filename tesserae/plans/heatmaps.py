@@ -244,3 +244,32 @@ def resized(spark, sf_dir):
         return pd.DataFrame({"id": np.repeat(ids, h * w), "y": np.tile(np.repeat(np.arange(h), w), n).astype(np.int32), "x": np.tile(np.arange(w), n * h).astype(np.int32), "v": small.ravel()})
 
     return map_rasters(images(spark, sf_dir), run, "id bigint, y int, x int, v double")
+
+
+@query(
+    f"""WITH {_PX}, s AS (SELECT id, y, quantile_cont(v, 0.98) AS q, max(v) AS m FROM (SELECT id, y, v FROM px UNION ALL SELECT id, y - 1, v FROM px WHERE y > 0 UNION ALL SELECT id, y - 2, v FROM px WHERE y > 1) WHERE y <= 5 GROUP BY ALL)
+SELECT id, y::INT AS top, round(0.65e0 * q + 0.35e0 * m, 6) AS score FROM s"""
+)
+def window_scores(spark, sf_dir):
+    """Scores of windows of three rows slid down every image."""
+
+    def run(ids, x):
+        tops, scores = H.window_scores(x, 3, 1)
+        return pd.DataFrame({"id": np.repeat(ids, len(tops)), "top": np.tile(tops, len(ids)).astype(np.int32), "score": np.round(scores.ravel(), 6)})
+
+    return map_rasters(images(spark, sf_dir), run, "id bigint, top int, score double")
+
+
+@query(
+    f"""WITH {_PX}, f AS (SELECT id, v >= 0.1 AS a, v <= 0.2 AS b, (id % 3 <> 0) AS there FROM px), c AS (SELECT id, there, count(*) FILTER (a OR b) AS u, count(*) FILTER (a AND b) AS i FROM f GROUP BY ALL)
+SELECT id, CASE WHEN there AND u > 0 THEN u END AS united, CASE WHEN there AND i > 0 THEN i END AS shared FROM c"""
+)
+def combined_masks(spark, sf_dir):
+    """Sizes of the union and the intersection of two masks; images that lack one of them have neither."""
+    rows = images(spark, sf_dir)
+    mask = lambda test: F.transform("values", lambda v: test(v).cast("int"))
+    masks = F.map_filter(F.create_map(F.lit("a"), mask(lambda v: v >= 0.1), F.lit("b"), mask(lambda v: v <= 0.2)), lambda k, v: (k == "a") | (F.col("id") % 3 != 0))
+    rows = rows.withColumn("masks", masks)
+    size = lambda how: F.size(F.filter(H.combined_mask(F.col("masks"), ["a", "b"], how), lambda v: v > 0)).cast("bigint")
+    some = lambda how: F.when(H.combined_mask(F.col("masks"), ["a", "b"], how).isNotNull(), size(how))
+    return rows.select("id", some("union").alias("united"), some("intersection").alias("shared"))

@@ -159,3 +159,20 @@ def test_resized():
     assert np.allclose(K.resized(x, 6, 4), x) and np.allclose(K.resized(np.full((1, 5, 7), 0.3), 3, 9), 0.3)
     ramp = np.tile(np.arange(4.0), (1, 2, 1))
     assert np.allclose(K.resized(ramp, 2, 8)[0, 0], [0, 0.25, 0.75, 1.25, 1.75, 2.25, 2.75, 3])
+
+
+def test_windows_and_combined_masks(spark):
+    from pyspark.sql import functions as F
+
+    heat = np.zeros((1, 10, 4))
+    heat[0, 6] = [0.2, 0.4, 0.6, 0.8]
+    tops, scores = H.window_scores(heat, 4, 3)
+    assert tops.tolist() == [0, 3, 6] and scores[0, 0] == 0
+    cells = np.r_[np.zeros(12), 0.2, 0.4, 0.6, 0.8]
+    assert np.isclose(scores[0, 1], 0.65 * np.percentile(cells, 98) + 0.35 * 0.8) and H.window_scores(heat, 40, 3)[1].shape == (1, 1)
+    rows = [({"a": [1, 1, 0], "b": [0, 1, 0]},), ({"a": [1, 0, 0]},), ({"a": [1, 0], "b": [0, 1]},), (None,)]
+    df = spark.createDataFrame(rows, "m map<string, array<int>>")
+    got = df.select(H.combined_mask(F.col("m"), ["a", "b"], "union").alias("u"), H.combined_mask(F.col("m"), ["a", "b"], "intersection").alias("i")).collect()
+    assert [(r.u, r.i) for r in got] == [([1, 1, 0], [0, 1, 0]), (None, None), ([1, 1], None), (None, None)]
+    with pytest.raises(ValueError):
+        H.combined_mask(F.col("m"), ["a"], "difference")
