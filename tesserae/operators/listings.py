@@ -6,6 +6,7 @@ nothing; ties are broken by the columns named; empty tables give empty results.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,6 +132,49 @@ def profiles_for(kind: Column, requested: list[str]) -> Column:
     return F.when(F.size(suits) > 0, suits).otherwise(F.array(default))
 
 
+#: How much a retry boosts mask noise and contrast by morphology; 1 for others. Fixed values.
+RETRY_BOOST = {"micro_chip": 1.25, "tooth_break": 1.15, "scratch_band": 1.0, "single_stroke": 0.9, "crack_band": 1.0, "multi_scuff": 0.7}
+
+
+@dataclass(frozen=True)
+class RetrySettings:
+    """Steps by which each further attempt of a generation goes, and where they end."""
+
+    strength_step: float = 0.05
+    guidance_step: float = 0.4
+    step_increment: int = 2
+    extra_strength: float = 0.03
+    extra_guidance: float = 0.2
+    extra_steps: int = 2
+    max_strength: float = 0.85
+    max_guidance: float = 10.0
+    max_steps: int = 40
+    noise_step: float = 0.035
+    max_noise: float = 0.08
+    contrast_step: float = 0.08
+    max_contrast: float = 0.16
+    seed_stride: int = 97_531
+
+
+def retry_settings(attempt: Column, refused: Column, kind: Column, strength: Column, guidance: Column, steps: Column, seed: Column, s: RetrySettings) -> Column:
+    """struct<strength, guidance, steps, noise, contrast, seed, reason> of attempt number ``attempt``; the first (0) is as given.
+
+    A retry for too little coverage of the mask, or for no reason that was
+    noted, goes further and boosts the mask; ``refused`` are the reasons.
+    """
+    again = F.coalesce(attempt, F.lit(0)) > 0
+    bare = again & ((F.coalesce(F.size(refused), F.lit(0)) <= 0) | F.coalesce(F.array_contains(refused, "low_mask_coverage"), F.lit(False)))
+    more = F.when(bare, 1).otherwise(0)
+    moved = lambda value, step, extra, most: F.when(again, F.least(F.lit(most), value + step * attempt + extra * more)).otherwise(value)
+    factor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RETRY_BOOST.items() for x in kv]), kind), F.lit(1.0))
+    boost = lambda step, most: F.when(bare, F.least(F.lit(most), step * attempt * factor)).otherwise(0.0)
+    return F.struct(
+        moved(strength, s.strength_step, s.extra_strength, s.max_strength).alias("strength"), moved(guidance, s.guidance_step, s.extra_guidance, s.max_guidance).alias("guidance"),
+        moved(steps, s.step_increment, s.extra_steps, s.max_steps).alias("steps"), boost(s.noise_step, s.max_noise).alias("noise"), boost(s.contrast_step, s.max_contrast).alias("contrast"),
+        F.when(again, seed + s.seed_stride * attempt).otherwise(seed).alias("seed"), F.when(bare, "low_mask_coverage").alias("reason"),
+    )
+
+
 def united_box(boxes: Column, width: int, height: int, padding: float) -> Column:
     """[x1, y1, x2, y2] around all boxes, padded by a share of its sides and kept inside the image; null without boxes."""
     side = lambda i, pick: pick(F.transform(boxes, lambda b: b[i]))

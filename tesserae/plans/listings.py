@@ -213,3 +213,23 @@ def incremental_merge(spark, sf_dir):
     files = table(spark, sf_dir, "artifact_inventory").select(F.col("rel_path").alias("path"))
     done = L.carried_rows(rows.select("generation_id", "output_path"), stored, ["generation_id"], "output_path", files)
     return done.select("generation_id", "action", F.round(F.when(~F.isnan("stored_latency"), F.col("stored_latency")), 6).alias("stored_latency"))
+
+
+@query(
+    """WITH one AS (SELECT * FROM phase4_records WHERE phase4_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY phase4_id ORDER BY ingested_at) = 1),
+a AS (SELECT phase4_id, generation_seed, greatest(0, coalesce(critic_guided_generation.selected_repair_index, 0)) AS n, settings.quality_morphology AS m,
+  (CASE WHEN quality_flags IS NULL THEN 0 ELSE len(quality_flags) END = 0 OR coalesce(tfidg_lite.adaptive_mask_coverage_score < 0.35, false)) AS low FROM one)
+SELECT phase4_id, round(CASE WHEN n > 0 THEN least(0.85e0, 0.55e0 + 0.05e0 * n + CASE WHEN low THEN 0.03e0 ELSE 0 END) ELSE 0.55e0 END, 6) AS strength,
+  (CASE WHEN n > 0 THEN least(40, 20 + 2 * n + CASE WHEN low THEN 2 ELSE 0 END) ELSE 20 END)::INT AS steps,
+  round(CASE WHEN n > 0 AND low THEN least(0.08e0, 0.035e0 * n * CASE m WHEN 'single_stroke' THEN 0.9e0 WHEN 'multi_scuff' THEN 0.7e0 ELSE 1.0e0 END) ELSE 0 END, 6) AS noise,
+  CASE WHEN n > 0 THEN generation_seed + 97531 * n ELSE generation_seed END AS seed FROM a"""
+)
+def retry_settings(spark, sf_dir):
+    """Settings of each candidate's last attempt: its flags are the reasons noted, and too little coverage is one of them."""
+    rows = R.once(table(spark, sf_dir, "phase4_records"), "phase4_id", "generation_seed", "critic_guided_generation", "settings", "quality_flags", "tfidg_lite")
+    attempt = F.greatest(F.lit(0), F.coalesce("critic_guided_generation.selected_repair_index", F.lit(0)))
+    low = F.coalesce(F.col("tfidg_lite.adaptive_mask_coverage_score") < 0.35, F.lit(False))
+    refused = F.concat(F.coalesce("quality_flags", F.array().cast("array<string>")), F.when(low, F.array(F.lit("low_mask_coverage"))).otherwise(F.array().cast("array<string>")))
+    again = L.retry_settings(attempt, refused, F.col("settings.quality_morphology"), F.lit(0.55), F.lit(7.5), F.lit(20), F.col("generation_seed"), L.RetrySettings())
+    rows = rows.select("phase4_id", again.alias("s"))
+    return rows.select("phase4_id", F.round("s.strength", 6).alias("strength"), "s.steps", F.round("s.noise", 6).alias("noise"), "s.seed")

@@ -54,6 +54,17 @@ def test_profiles_and_morphology(spark):
         L.profiles_for(F.col("m"), ["unheard"])
 
 
+def test_retries_go_by_steps_to_their_ends(spark):
+    rows = [(0, ["low_mask_coverage"], "multi_scuff"), (1, ["low_mask_coverage"], "micro_chip"), (2, ["texture"], "multi_scuff"), (3, [], "x"), (9, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "n int, r array<string>, m string")
+    s = L.retry_settings(F.col("n"), F.col("r"), F.col("m"), F.lit(0.55), F.lit(7.5), F.lit(20), F.lit(5), L.RetrySettings())
+    got = [tuple(round(v, 6) if isinstance(v, float) else v for v in r.s) for r in df.select(s.alias("s")).collect()]
+    assert got == [
+        (0.55, 7.5, 20, 0.0, 0.0, 5, None), (0.63, 8.1, 24, 0.04375, 0.1, 97536, "low_mask_coverage"), (0.65, 8.3, 24, 0.0, 0.0, 195067, None),
+        (0.73, 8.9, 28, 0.08, 0.16, 292598, "low_mask_coverage"), (0.85, 10.0, 40, 0.08, 0.16, 877784, "low_mask_coverage"), (0.55, 7.5, 20, 0.0, 0.0, 5, None),
+    ]
+
+
 def test_descriptions_in_order(spark):
     known = spark.createDataFrame([("a/1.png", "own"), ("c/d", "target"), ("c", "category"), ("e", ""), (None, "x")], "key string, text string")
     df = spark.createDataFrame([("a/1.png", "c", "d"), ("a/2.png", "c", "d"), ("a/3.png", "c", "z"), ("a/4.png", "e", "z")], "p string, c string, d string")
