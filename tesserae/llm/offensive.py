@@ -229,12 +229,34 @@ class Phrases:
     context: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     context_odds: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    @staticmethod
-    def look_up(known: np.ndarray, odds: np.ndarray, code: np.ndarray) -> np.ndarray:
-        if not len(known):
-            return np.zeros(len(code))
-        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
-        return np.where(known[at] == code, odds[at], 0.0)
+    def __post_init__(self) -> None:
+        self._seen, self._near = _marked(self.code), _marked(self.context)
+
+    def find(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, odds) of the codes that are phrases."""
+        return _found(self._seen, self.code, self.odds, code)
+
+    def find_context(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _found(self._near, self.context, self.context_odds, code)
+
+
+#: Bits of a code by which most codes that are no phrase are told without a search.
+_MARK_BITS = 18
+
+
+def _marked(code: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << _MARK_BITS, bool)
+    out[code >> np.uint64(64 - _MARK_BITS)] = True
+    return out
+
+
+def _found(marked: np.ndarray, known: np.ndarray, odds: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = np.flatnonzero(marked[code >> np.uint64(64 - _MARK_BITS)])
+    if not len(place):
+        return place, np.zeros(0)
+    at = np.minimum(np.searchsorted(known, code[place]), len(known) - 1)
+    same = known[at] == code[place]
+    return place[same], odds[at[same]]
 
 
 def _columns() -> list[str]:
@@ -265,13 +287,15 @@ def _block(tokens: Tokens, phrases: Phrases, own: np.ndarray) -> np.ndarray:
     counted = np.arange(len(tokens.name)) - np.repeat(tokens.first[:-1], size) < np.repeat(own, size)
     at = np.r_[0, np.cumsum(counted)][tokens.first[full]]
 
+    every = bool(counted.all())
+
     def sums(x: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(x) + 1)
+        total = np.zeros(len(x) + 1, np.int32 if x.dtype == bool else np.float64)
         np.cumsum(x, out=total[1:])
         return total[stop] - total[:-1]
 
     def largest(x: np.ndarray) -> np.ndarray:
-        return np.maximum.reduceat(x[counted], at)
+        return np.maximum.reduceat(x if every else x[counted], at)
 
     here = {name: (tokens.bits & bit) > 0 for name, bit in _BIT.items()}
     w = {name: sums(x) for name, x in here.items()}
@@ -282,16 +306,16 @@ def _block(tokens: Tokens, phrases: Phrases, own: np.ndarray) -> np.ndarray:
 
     evidence, strongest, weak = np.zeros(len(tokens.name)), np.zeros(len(tokens.name)), np.zeros(len(tokens.name))
     for words, place, code in tokens.grams():
-        odds = Phrases.look_up(phrases.code, phrases.odds, code)
-        hit = np.flatnonzero(odds)
-        evidence[place[hit]] += odds[hit]
-        strongest[place[hit]] = np.maximum(strongest[place[hit]], odds[hit])
+        hit, odds = phrases.find(code)  # a place has one phrase of so many words
+        evidence[place[hit]] += odds
+        strongest[place[hit]] = np.maximum(strongest[place[hit]], odds)
         if words > 2:
             weak[place[hit]] += 1
     ev = sums(evidence)
     odds = np.zeros(len(tokens.name))
     for place, code in tokens.beside_abuse():
-        odds[place] += Phrases.look_up(phrases.context, phrases.context_odds, code)
+        hit, value = phrases.find_context(code)
+        odds[place[hit]] += value
     around = sums(odds)
     some = abuse + w["sexual"] + w["threat"] > 0
     beside = np.where(some, around, _NO_CONTEXT)

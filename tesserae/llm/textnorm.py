@@ -32,7 +32,8 @@ def repaired(text: str) -> str:
             text = re.sub(r"[ÂÃâ][\x80-\xff€-™ŒœŠšŽžŸƒˆ˜‚„†‡…‰‹›‘’“”•–—]{1,2}", lambda m: _redecoded(m[0]), text)
         except Exception:  # noqa: BLE001 - a text that can't be repaired stays as it is
             pass
-    text = _INVISIBLE.sub("", text)
+    if not text.replace("\n", " ").isprintable():
+        text = _INVISIBLE.sub("", text)
     if "<" in text or "&" in text:
         text = _MARKUP.sub(" ", text)
     return text

@@ -79,9 +79,9 @@ def test_phrases_are_learnt_without_the_fold_they_serve(spark):
     learnt = O.learn_phrases(df)
     code = {n: c for n, _, c in O.Tokens.of(["walk into the cold"]).grams()}
     lone = {n: c for n, _, c in O.Tokens.of(["one peculiar sentence"]).grams()}
-    assert all((O.Phrases.look_up(p.code, p.odds, code[4]) > O.PHRASE_ODDS).all() for p in learnt)
-    assert [bool((O.Phrases.look_up(p.code, p.odds, lone[3]) > 0).all()) for p in learnt] == [False, True, True, True]
-    assert all((O.Phrases.look_up(p.code, p.odds, np.concatenate([c for _, _, c in O.Tokens.of(["the mask fits"]).grams()])) == 0).all() for p in learnt)
+    assert all((p.find(code[4])[1] > O.PHRASE_ODDS).all() and len(p.find(code[4])[0]) == len(code[4]) for p in learnt)
+    assert [len(p.find(lone[3])[0]) == len(lone[3]) for p in learnt] == [False, True, True, True]
+    assert all(not len(p.find(np.concatenate([c for _, _, c in O.Tokens.of(["the mask fits"]).grams()]))[0]) for p in learnt)
 
 
 def test_few_labels_stay_near_the_fixed_weighting(spark):
