@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.operators.quantiles import exact_quantiles, null_safe_join, order_statistics
+from tesserae.session import cut
 
 
 def confusion(df: DataFrame, groups: list[str], predicted: Column, truth: Column, *more: Column) -> DataFrame:
@@ -65,7 +66,7 @@ def worst_quartile(df: DataFrame, group: list[str], value: str) -> DataFrame:
 
 def robust_stats(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """(group..., med, mad): median and median absolute deviation."""
-    med = exact_quantiles(df, group, value, [0.5]).select(*group, F.col("q")[0].alias("med"))
+    med = cut(exact_quantiles(df, group, value, [0.5]).select(*group, F.col("q")[0].alias("med")))
     apart = null_safe_join(df.select(*group, value), med, group).withColumn("__d", F.abs(F.col(value) - F.col("med")))
     return exact_quantiles(apart, [*group, "med"], "__d", [0.5]).select(*group, "med", F.col("q")[0].alias("mad"))
 

@@ -17,8 +17,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.session import cut
+
 #: Bins per group; a window over the counts of one group's bins is one task.
-BINS = 1 << 14
+BINS = 1 << 12
 
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,38 +40,40 @@ def order_statistics(df: DataFrame, groups: list[str], value: str, ranks: Callab
     v = F.col(value).cast("double")
     rows = rows.select(*keys, v.alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
     scale = lambda x: F.signum(x) * F.log1p(F.abs(x))
-    span = rows.groupBy(*keys).agg(scale(F.min("__v")).alias("__lo"), scale(F.max("__v")).alias("__hi"))
+    # per group and per bin there are few rows; kept, they save reading the input again for each use
+    span = cut(rows.groupBy(*keys).agg(scale(F.min("__v")).alias("__lo"), scale(F.max("__v")).alias("__hi")))
     placed = null_safe_join(rows, span, keys)
     part = (scale(F.col("__v")) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
     placed = placed.select(*keys, "__v", F.when(F.col("__hi") > F.col("__lo"), F.least(F.lit(BINS - 1), F.floor(part * BINS))).otherwise(0).cast("int").alias("__bin"))
 
-    counts = placed.groupBy(*keys, "__bin").agg(F.count("*").alias("__c"))
-    own = Window.partitionBy(*keys)
-    counts = counts.withColumn("__n", F.sum("__c").over(own)).withColumn("__before", F.sum("__c").over(own.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c"))
-    counts = counts.withColumn("__ranks", ranks(F.col("__n")))
-    here = F.filter("__ranks", lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__c")))
-    wanted = counts.select(*keys, "__bin", "__n", "__before", here.alias("__here")).filter(F.size("__here") > 0)
+    counts = cut(placed.groupBy(*keys, "__bin").agg(F.count("*").alias("__c")))
+    sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    asked = sizes.select(*keys, "__n", F.explode(F.array_distinct(ranks(F.col("__n")))).alias("__r"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("__before", upto - F.col("__c"))
+    hit = null_safe_join(counts, asked, keys).filter((F.col("__r") >= F.col("__before")) & (F.col("__r") < F.col("__before") + F.col("__c"))).drop("__c")
+    wanted = hit.select(*keys, "__bin", "__before").distinct()
 
-    kept = null_safe_join(placed, wanted, [*keys, "__bin"])
-    kept = kept.groupBy(*keys, "__bin", "__v").agg(F.count("*").alias("__c"), *[F.first(c).alias(c) for c in ("__n", "__before", "__here")])
+    kept = null_safe_join(placed, wanted, [*keys, "__bin"]).groupBy(*keys, "__bin", "__before", "__v").agg(F.count("*").alias("__c"))
     upto = F.sum("__c").over(Window.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
-    kept = kept.withColumn("__upto", upto)
-    met = F.filter("__here", lambda r: (r < F.col("__upto")) & (r >= F.col("__upto") - F.col("__c")))
-    found = kept.select(*keys, "__n", "__v", F.explode(met).alias("__r"))
+    kept = kept.withColumn("__upto", upto).drop("__before")
+    found = null_safe_join(kept, hit.drop("__before"), [*keys, "__bin"]).filter((F.col("__r") < F.col("__upto")) & (F.col("__r") >= F.col("__upto") - F.col("__c")))
     out = found.groupBy(*keys).agg(F.first("__n").alias("n"), F.map_from_entries(F.collect_list(F.struct("__r", "__v"))).alias("at"))
     return out.select(*groups, "n", "at")
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, parts: list[float]) -> DataFrame:
     """(groups..., n, q): the quantiles at ``parts``, between neighbouring ranks in proportion."""
-    place = lambda n, p: (n - 1) * F.lit(float(p))
+    # one lambda over all parts: an expression per part would take long to plan for many of them
+    listed = F.expr(f"array({', '.join(f'{float(p)!r}D' for p in parts)})")
+    place = lambda n, p: (n - 1) * p
     low = lambda n, p: F.floor(place(n, p)).cast("bigint")
     high = lambda n, p: F.ceil(place(n, p)).cast("bigint")
-    found = order_statistics(df, groups, value, lambda n: F.array_distinct(F.array(*[f(n, p) for p in parts for f in (low, high)])))
+    found = order_statistics(df, groups, value, lambda n: F.flatten(F.transform(listed, lambda p: F.array(low(n, p), high(n, p)))))
     n, at = F.col("n"), F.col("at")
 
-    def quantile(p: float) -> Column:
+    def quantile(p: Column) -> Column:
         a, b = at[low(n, p)], at[high(n, p)]
         return F.when(a == b, a).otherwise(a + (b - a) * (place(n, p) - low(n, p)))
 
-    return found.select(*groups, "n", F.array(*[quantile(p) for p in parts]).alias("q"))
+    return found.select(*groups, "n", F.transform(listed, quantile).alias("q"))

@@ -51,6 +51,13 @@ def _sql_alias(x: str, kind: str) -> str:
     return f"CASE {x} {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in ALIASES[kind].items())} ELSE {x} END"
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with further columns that are computed once, however often they are used: what an explode gives out is not folded into its uses."""
+    for name, value in columns.items():
+        rows = rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+    return rows
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Auto-mask records with known names, a valid region, their candidates, policy and gate."""
     rows = R.once(table(spark, sf_dir, "auto_mask_records"), "auto_mask_id", "category", "defect_type", "description", "region_xyxy", "settings")
@@ -67,22 +74,22 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     placed = P.validated_region(F.col("region_xyxy"), SIZE, SIZE)
-    rows = rows.select(
+    found = F.coalesce(F.transform(F.map_entries(scores), candidate), F.array().cast(f"array<{P.CANDIDATE}>"))
+    rows = _once(rows, candidates=found, placed=placed).select(
         "auto_mask_id", normalised(F.col("category"), "category").alias("category"), normalised(F.col("defect_type"), "defect").alias("defect"), "description",
-        F.coalesce(F.transform(F.map_entries(scores), candidate), F.array().cast(f"array<{P.CANDIDATE}>")).alias("candidates"), placed.alias("placed"),
+        "candidates", "placed", F.col("placed.region").alias("region"), F.array(F.lit(SIZE), F.lit(SIZE)).alias("size"),
     )
-    rows = rows.select("*", F.col("placed.region").alias("region"), F.array(F.lit(SIZE), F.lit(SIZE)).alias("size"))
-    rows = rows.withColumn("policy", P.selection_policy(F.col("category"), F.col("defect"), F.col("description"), F.col("region"), F.col("candidates")))
+    rows = _once(rows, policy=P.selection_policy(F.col("category"), F.col("defect"), F.col("description"), F.col("region"), F.col("candidates")))
     box = F.coalesce(P.candidate_of(F.col("candidates"), "patchcore_guided")["box_fraction"], F.lit(0.0))
     longest = F.greatest(F.col("region")[2] - F.col("region")[0], F.col("region")[3] - F.col("region")[1]) / SIZE
     gate = P.chain_gate(F.col("placed.status"), longest, F.least(F.lit(1.0), box * 8), F.least(F.lit(1.0), box * 4))
-    return rows.withColumn("gate", gate).withColumn("met", F.col("gate.enabled")).withColumn("why", F.col("gate.reason"))
+    return _once(rows, gate=gate).withColumn("met", F.col("gate.enabled")).withColumn("why", F.col("gate.reason"))
 
 
 def adjusted_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``images`` with ``adjusted``, the moved score of every candidate."""
-    rows = images(spark, sf_dir).withColumn("adjusted", P.adjusted_candidates("candidates", "policy", "region", "size", "met"))
-    return rows.withColumn("adjusted", P.with_ensemble(F.col("adjusted"), F.col("policy")))
+    rows = _once(images(spark, sf_dir), adjusted=P.adjusted_candidates("candidates", "policy", "region", "size", "met"))
+    return _once(rows, adjusted=P.with_ensemble(F.col("adjusted"), F.col("policy")))
 
 
 def _has(text: str, words: tuple[str, ...]) -> str:
@@ -203,9 +210,9 @@ def policy_adjusted_scores(spark, sf_dir):
 def _valid(rows: DataFrame) -> DataFrame:
     """Only candidates with a mask, not refused and not below 0."""
     both = F.filter(F.arrays_zip("candidates", "adjusted"), lambda z: (z["candidates"]["mask_area"] > 0) & (z["candidates"]["status"] != "reject") & (z["adjusted"]["adjusted"] >= 0))
-    rows = rows.withColumn("both", both)
-    rows = rows.withColumn("candidates", F.transform("both", lambda z: z["candidates"])).withColumn("adjusted", F.transform("both", lambda z: z["adjusted"]))
-    return rows.withColumn("chosen", P.best_mode(F.col("adjusted")))
+    rows = _once(rows, both=both)
+    rows = _once(rows, candidates=F.transform("both", lambda z: z["candidates"]), adjusted=F.transform("both", lambda z: z["adjusted"]))
+    return _once(rows, chosen=P.best_mode(F.col("adjusted")))
 
 
 _REGION = "(y2-y1) / 512.0e0"
@@ -230,7 +237,7 @@ SELECT auto_mask_id, mode AS first_mode, CASE reason WHEN 'score_selection' THEN
 def chosen_candidate(spark, sf_dir):
     """The candidate taken for every image: the best valid one, or the one the arbitration puts in its place."""
     rows = _valid(adjusted_images(spark, sf_dir)).filter("chosen is not null")
-    done = rows.select("auto_mask_id", F.col("chosen").alias("first_mode"), P.arbitrated("candidates", "chosen", "policy", "region", "size", "met", "why").alias("a"))
+    done = _once(rows, a=P.arbitrated("candidates", "chosen", "policy", "region", "size", "met", "why")).withColumnRenamed("chosen", "first_mode")
     return done.select("auto_mask_id", "first_mode", "a.mode", "a.reason")
 
 
@@ -242,7 +249,7 @@ SELECT auto_mask_id, round(oracle, 6) AS oracle, round(coalesce(score, -1.0e0),
 )
 def oracle_regret(spark, sf_dir):
     """What choosing by adjusted score lost against the best raw score."""
-    rows = adjusted_images(spark, sf_dir).withColumn("mode", P.best_mode(F.col("adjusted"))).filter("mode is not null")
+    rows = _once(adjusted_images(spark, sf_dir), mode=P.best_mode(F.col("adjusted"))).filter("mode is not null")
     best = F.array_max(F.transform("candidates", lambda c: F.coalesce(c["score"], F.lit(-1.0))))
     chosen = F.coalesce(F.get(F.filter("candidates", lambda c: c["mode"] == F.col("mode")), F.lit(0))["score"], F.lit(-1.0))
     rows = rows.select("auto_mask_id", best.alias("oracle"), chosen.alias("chosen"))
