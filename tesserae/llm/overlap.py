@@ -3,13 +3,15 @@
 Method: distinct evaluation texts are spread over shards; each shard holds a
 compressed full-text index of its texts. The distinct training texts that may
 be in the shard are streamed through backward search, which gives their
-maximal matches; the spans of a pair of texts are merged and their bytes
-counted. Equal texts are one text with many members, so a group of copies
-costs one search.
+matches; the spans of a pair of texts are merged and their bytes counted. Equal
+texts are one text with many members, so a group of copies costs one search.
 
-Pictures are compared as the text of their capture: station, view, day, time,
-running number, category and defect type, each in one notation. Two pictures
-show one capture if the merged spans cover the whole text.
+Pictures are compared by their names as written (in lower case), with the
+common spelling of category and defect type behind them. Day, time and number
+are searched backward as one run of digits, branching where writers put
+separators or leading zeros; station, view and the two values are further
+spans. Two pictures show one capture if the spans cover every byte with which
+the training name says these.
 
 Defined cases: rows without split, id or path take no part; a row delivered
 twice counts once; empty tables give an empty result; other columns are not
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,80 +35,153 @@ from tesserae.session import broadcast_if_small, cut
 
 #: Distinct evaluation texts one index holds, and training texts streamed at it in one task, about.
 SHARD_TEXTS = 20_000
-#: Least bytes of a maximal match; the shortest capture has 25.
+#: Least bytes of a maximal match of texts without fields.
 LEAST_MATCH = 24
+#: Training texts of one batch of backward searches.
+BATCH = 20_000
+#: Places of moments compared at once, about: many stations may share a moment.
+PLACES = 500_000
 
 
-def shard_overlaps(evaluation: DataFrame, training: DataFrame, least: int = LEAST_MATCH) -> DataFrame:
-    """(text_e, text_t, matched, spans) of distinct texts that share spans.
+def shard_overlaps(evaluation: DataFrame, training: DataFrame, least: int = LEAST_MATCH, find=None) -> DataFrame:
+    """(text_e, text_t, matched, spans, whole) of distinct texts that share spans.
 
     Both sides are (route, text) with distinct texts; texts of a pair asked for
     have equal routes, and few texts have the same. ``matched`` is the number of
-    bytes of the training text covered by merged spans, ``spans`` their number.
+    bytes of the training text covered by merged spans, ``spans`` their number,
+    ``whole`` the number of bytes that could be. ``find(known, asked)`` yields
+    the spans; without it they are maximal matches of at least ``least`` bytes.
     """
     sizes = evaluation.count(), training.count()
     shards = max(1, math.ceil(max(sizes) / SHARD_TEXTS))
     shard = F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int").alias("shard")
+    find = find or (lambda known, asked: _verbatim(known, asked, least))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _search(left["text"].tolist(), right["text"].tolist(), least)
+        return _search(left["text"].tolist(), right["text"].tolist(), find)
 
-    # a given number of partitions stays as it is, so that small shards are not put into one task
-    ev, tr = [side.select(shard, "text").repartition(shards, "shard").groupBy("shard") for side in (evaluation, training)]
-    return ev.cogroup(tr).applyInPandas(search, "text_e string, text_t string, matched int, spans int")
+    # the alias tells the sides apart if both come from one table; a given number of partitions stays as it is, so that small shards are not put into one task
+    ev, tr = [side.select(shard, F.col("text").alias("text")).repartition(shards, "shard").groupBy("shard") for side in (evaluation, training)]
+    return ev.cogroup(tr).applyInPandas(search, "text_e string, text_t string, matched int, spans int, whole int")
 
 
-def _search(known: list[str], asked: list[str], least: int) -> pd.DataFrame:
-    columns = ["text_e", "text_t", "matched", "spans"]
-    if not known or not asked:
-        return pd.DataFrame({c: [] for c in columns})
-    index = FMIndex([t.encode() for t in known])
+def _search(known: list[str], asked: list[str], find) -> pd.DataFrame:
     parts = []
-    for first in range(0, len(asked), 20_000):
-        chunk = [t.encode() for t in asked[first : first + 20_000]]
+    if known and asked:
+        for spans, sayable in find([t.encode() for t in known], [t.encode() for t in asked]):
+            whole = _merged(sayable.assign(e=0)).set_index("q")["matched"]
+            merged = _merged(spans)
+            parts.append(merged.assign(whole=merged["q"].map(whole)))
+    found = pd.concat(parts) if parts else pd.DataFrame(columns=["q", "e", "matched", "spans", "whole"])
+    texts = {"text_e": [known[i] for i in found["e"]], "text_t": [asked[i] for i in found["q"]]}
+    return pd.DataFrame({**texts, **{c: found[c].to_numpy("int32") for c in ("matched", "spans", "whole")}})
+
+
+def _merged(spans: pd.DataFrame) -> pd.DataFrame:
+    """(q, e, matched, spans): bytes covered by the merged spans of a pair, and how many are left."""
+    spans = spans.drop_duplicates().sort_values(["q", "e", "start"])
+    reach = spans.groupby(["q", "e"])["stop"].cummax().groupby([spans["q"], spans["e"]]).shift(fill_value=0)
+    spans["new"] = (spans["stop"] - np.maximum(spans["start"], reach)).clip(lower=0)
+    spans["apart"] = (spans["start"] >= reach).astype("int32")
+    return spans.groupby(["q", "e"], as_index=False).agg(matched=("new", "sum"), spans=("apart", "sum"))
+
+
+def _verbatim(known: list[bytes], asked: list[bytes], least: int) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """Maximal matches that end where a word ends, and whole texts as what can match."""
+    index = FMIndex(known)
+    for first in range(0, len(asked), BATCH):
+        chunk = asked[first : first + BATCH]
         ends = [np.array([*(m.end() for m in re.finditer(rb"[a-z0-9]+", t) if least <= m.end() < len(t)), len(t)], np.int64) for t in chunk]
         query, start, stop, low, high = index.maximal_matches(chunk, ends, least)
         match, text = index.texts_of(low, high)
         spans = pd.DataFrame({"q": query[match] + first, "e": text, "start": start[match], "stop": stop[match]})
-        spans = spans.drop_duplicates().sort_values(["q", "e", "start"])
-        reach = spans.groupby(["q", "e"])["stop"].cummax().groupby([spans["q"], spans["e"]]).shift(fill_value=0)
-        spans["new"] = (spans["stop"] - np.maximum(spans["start"], reach)).clip(lower=0)
-        spans["apart"] = (spans["start"] >= reach).astype("int32")
-        parts.append(spans.groupby(["q", "e"], as_index=False).agg(matched=("new", "sum"), spans=("apart", "sum")))
-    found = pd.concat(parts)
-    return pd.DataFrame(
-        {
-            "text_e": [known[i] for i in found["e"]],
-            "text_t": [asked[i] for i in found["q"]],
-            "matched": found["matched"].astype("int32"),
-            "spans": found["spans"].astype("int32"),
-        }
-    )
+        yield spans, pd.DataFrame({"q": np.arange(len(chunk)) + first, "start": 0, "stop": [len(t) for t in chunk]})
 
 
 # --- names of pictures ---------------------------------------------------------------------------------------------
 
-_STATION = r"(?:^|[^a-z0-9])st0*(\d+)(?=[^0-9]|$)"
-_VIEW = r"(?:^|[^a-z0-9])v0*(\d+)(?=[^0-9]|$)"
+_STATION = r"(?:^|[^a-z0-9])(st0*)(\d+)(?=[^0-9]|$)"
+_VIEW = r"(?:^|[^a-z0-9])(v0*)(\d+)(?=[^0-9]|$)"
 _MOMENT = r"(?:^|[^0-9])((?:19|20)\d\d)[-_. ]?([01]\d)[-_. ]?([0-3]\d)[-_. t]+([0-2]\d)[-_.: ]?([0-5]\d)[-_.: ]?([0-5]\d)[-_. ]+0*(\d+)(?=[^0-9]|$)"
 
 
-def capture_text(image_path: str) -> Column:
-    """Canonical text of a picture's capture: ``|st24|v1|20240127|065744|24686|``.
+#: What may stand between the digits of a capture's day, time and number, by the digits left of it (see ``_MOMENT``).
+_GAPS = {14: [(b"0", True, True), (b"-_. ", True, False)], 8: [(b"-_. t", True, False)]}
+_GAPS |= {at: [(b"-_.: ", False, True)] for at in (12, 10)} | {at: [(b"-_. ", False, True)] for at in (6, 4)}
+#: Ends a name, before the spellings of its values.
+_NAME_END = "\n"
+#: Bytes the index keeps for itself; in a name they are as good as any other separator.
+_RESERVED = bytes([2, 2, *range(2, 256)])
+
+
+def capture_moment(name: Column) -> Column:
+    """Digits of day, time and number in a lower-case name: ``2024012706574424686``; null where it does not say them."""
+    digits = F.regexp_replace(F.regexp_extract(name, _MOMENT, 0), r"[^0-9]+", "")
+    number = lambda d: F.regexp_replace(F.substring(d, 15, 1 << 30), r"^0+(?=\d)", "")
+    # named, so that it is computed once
+    return F.transform(F.array(digits), lambda d: F.when(d != "", F.concat(F.substring(d, 1, 14), number(d))))[0]
+
+
+_PATTERNS = [re.compile(p.encode()) for p in (_MOMENT, _STATION, _VIEW)]
+
 
-    Station, view and running number lose leading zeros and the time its
-    separators. Null where the name does not say all five.
+def _fields(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(texts that say all, spans of moment, station, view and values in each, digits of its moment).
+
+    A span is (start, where what counts begins, stop): letters and leading
+    zeros belong to station and view, so none lies within another.
     """
-    once = lambda value, of: F.transform(F.array(value), of)[0]  # noqa: E731 - names a value that is computed once
-    # eight digits of the day, six of the time, then the number
-    read = lambda n: F.struct(
-        F.regexp_replace(F.regexp_extract(n, _MOMENT, 0), r"[^0-9]+", "").alias("d"), F.regexp_extract(n, _STATION, 1).alias("s"), F.regexp_extract(n, _VIEW, 1).alias("v")
-    )
-    number = lambda p: F.regexp_replace(F.substring(p["d"], 15, 1 << 30), r"^0+(?=\d)", "")
-    bar = F.lit("|")
-    text = lambda p: F.concat(F.lit("|st"), p["s"], F.lit("|v"), p["v"], bar, F.substring(p["d"], 1, 8), bar, F.substring(p["d"], 9, 6), bar, number(p), bar)
-    said = lambda p: (p["s"] != "") & (p["v"] != "") & (p["d"] != "")
-    return once(once(F.lower(file_stem(F.col(image_path))), read), lambda p: F.when(said(p), text(p)))
+    at, spans, moments = [], [], []
+    for i, text in enumerate(texts):
+        end = text.rindex(_NAME_END.encode())
+        moment, station, view = [p.search(text, 0, end) for p in _PATTERNS]
+        if moment and station and view:
+            at.append(i)
+            letters = [(m.start(1), m.start(2), m.end(2)) for m in (station, view)]
+            spans.append([(moment.start(1), moment.start(1), moment.end(7)), *letters, (end + 1, end + 1, len(text))])
+            moments.append(b"".join(moment.groups()))
+    return np.array(at, np.int64), np.array(spans, np.int64).reshape(-1, 4, 3), moments
+
+
+def _captures(known: list[bytes], asked: list[bytes]) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """Spans in which names say the same of a capture, and all spans in which the asked names say it.
+
+    The moment is found anywhere in the indexed names and must be the one its
+    name says; other spans are looked for in the names found by it.
+    """
+    known, asked = [[t.translate(_RESERVED) for t in side] for side in (known, asked)]
+    (known_at, own, _), (asked_at, said, moments) = _fields(known), _fields(asked)
+    if not len(known_at):
+        return
+    index = FMIndex([known[i] for i in known_at], own[:, 1:, 1])
+    for first in range(0, len(asked_at), BATCH):
+        query, *ways = index.gapped_matches(moments[first : first + BATCH], _GAPS)
+        portion = np.cumsum(ways[1] - ways[0]) // PLACES
+        for some in (portion == p for p in np.unique(portion)):
+            low, high, size = [w[some] for w in ways]
+            match, e, offset = index.places_of(low, high)
+            there = (offset == own[e, 0, 0]) & (offset + size[match] == own[e, 0, 2])
+            q, e = query[some][match[there]] + first, e[there]
+            if len(q):
+                yield _spans(index, asked, asked_at, known_at, own, said, q, e)
+
+
+def _spans(index: FMIndex, asked: list[bytes], asked_at, known_at, own, said, q, e) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The frames of ``_captures`` for names q and e of one moment each."""
+    found = [(q, e, said[q, 0])]
+    for field in (1, 2, 3):
+        _, core, stop = said[q, field].T
+        which, pieces = pd.factorize(np.array([asked[i][a:b] for i, a, b in zip(asked_at[q], core, stop)], object))
+        rows = np.zeros((2, len(pieces)), np.int64)
+        piece, begin, _, low, high = index.maximal_matches(list(pieces), [np.array([len(p)]) for p in pieces], 1)
+        rows[:, piece[begin == 0]] = low[begin == 0], high[begin == 0]
+        row = index.mark_rows[e, field - 1]
+        same = (rows[0, which] <= row) & (row < rows[1, which]) & (stop - core == own[e, field, 2] - own[e, field, 1])
+        found.append((q[same], e[same], said[q[same], field]))
+    q, e, span = [np.concatenate(c) for c in zip(*found)]
+    every = np.unique(q)
+    sayable = pd.DataFrame({"q": np.repeat(asked_at[every], 4), "start": said[every, :, 0].ravel(), "stop": said[every, :, 2].ravel()})
+    return pd.DataFrame({"q": asked_at[q], "e": known_at[e], "start": span[:, 0], "stop": span[:, 2]}), sayable
 
 
 def plain_spelling(value: Column) -> Column:
@@ -140,7 +216,11 @@ def canonical_values(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def capture_rows(samples: DataFrame) -> DataFrame:
-    """(sample_id, side, split, source, image_path, text) of samples that take part; side e or t."""
+    """(sample_id, side, split, source, image_path, route, text) of samples that take part; side e or t.
+
+    ``text`` is the picture's name as written, in lower case, with the common
+    spellings of its category and type behind it; ``route`` is its moment.
+    """
     rows = samples.filter("split in ('adaptation', 'held_out', 'locked') and image_path is not null and sample_id is not null")
     rows = cut(rows.select("sample_id", "category", "defect_type", "split", "source", "image_path").dropDuplicates(["sample_id"]))
     # spellings are few beside rows, but not bounded: counted before they are broadcast
@@ -149,20 +229,19 @@ def capture_rows(samples: DataFrame) -> DataFrame:
     for column, short in (("category", "c"), ("defect_type", "d")):
         own = known.filter(F.col("column") == column).select(F.col("raw").alias(column), F.col("canonical").alias(short))
         rows = rows.join(broadcast_if_small(own, count), column)
-    text = F.concat(capture_text("image_path"), "c", F.lit("|"), "d", F.lit("|"))
     side = F.when(F.col("split") == "adaptation", "t").otherwise("e")
-    # exploded, so that the filter does not compute the text a second time
-    return cut(rows.select("sample_id", side.alias("side"), "split", "source", "image_path", F.explode(F.array(text)).alias("text")).filter("text is not null"))
+    # inlined, so that the filter does not compute them a second time
+    said = F.transform(F.array(F.lower(file_stem(F.col("image_path")))), lambda n: F.struct(n.alias("name"), capture_moment(n).alias("route")))
+    rows = rows.select("sample_id", side.alias("side"), "split", "source", "image_path", "c", "d", F.inline(said)).filter("route is not null")
+    text = F.concat("name", F.lit(_NAME_END), "c", F.lit("|"), "d", F.lit("|"))
+    return cut(rows.select("sample_id", "side", "split", "source", "image_path", "route", text.alias("text")))
 
 
 def same_captures(rows: DataFrame) -> DataFrame:
-    """(text_e, text_t) of captures that stand on both sides, as found by the index."""
-    texts = cut(rows.select("side", "text").distinct())
-    # a capture lies whole before the fifth separator; its texts differ in nothing but category and type
-    route = F.substring_index("text", "|", 6).alias("route")
-    found = shard_overlaps(*[texts.filter(F.col("side") == s).select(route, "text") for s in "et"])
-    whole = (F.col("matched") == F.octet_length("text_t")) & (F.octet_length("text_e") == F.octet_length("text_t"))
-    return cut(found.filter(whole & (F.col("spans") == 1)).select("text_e", "text_t"))
+    """(text_e, text_t) of names on both sides that say one capture, as found by the index."""
+    texts = cut(rows.select("side", "route", "text").distinct())
+    found = shard_overlaps(*[texts.filter(F.col("side") == s).select("route", "text") for s in "et"], find=_captures)
+    return cut(found.filter("matched = whole").select("text_e", "text_t"))
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
@@ -178,7 +257,7 @@ def capture_overlaps(samples: DataFrame) -> DataFrame:
 
 
 def overlap_report(samples: DataFrame) -> DataFrame:
-    """(split_e, source_e, source_t, n_pairs, n_same_path) from counts per capture, without writing out any pair."""
+    """(split_e, source_e, source_t, n_pairs, n_same_path) from counts per name, without writing out any pair."""
     rows = capture_rows(samples)
     same = same_captures(rows)
     keys, one = ["split", "source"], F.count("*").alias("n")
